@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.operators.rowindex import global_row_index
+from gradewell.operators.rowindex import global_row_index, hex_bucket
 
 
 def hash_key(id_col: str, seed: int, salt: str = ""):
@@ -27,7 +27,8 @@ def assign_folds(df: DataFrame, id_col: str, k: int, seed: int,
                  strata: Sequence[str] = (), fold_col: str = "fold") -> DataFrame:
     """Add ``fold_col`` (INT). With no strata this is a balanced random k-fold."""
     keyed = df.withColumn("_fold_h", hash_key(id_col, seed))
-    ranked = global_row_index(keyed, ["_fold_h", id_col], strata=strata, name="_fold_rn")
+    ranked = global_row_index(keyed, ["_fold_h", id_col], strata=strata,
+                              bucket=hex_bucket("_fold_h"), name="_fold_rn")
     return ranked.withColumn(fold_col, F.pmod(F.col("_fold_rn") - 1, F.lit(k)).cast("int")) \
         .drop("_fold_h", "_fold_rn")
 
@@ -44,7 +45,8 @@ def repeated_folds(df: DataFrame, id_col: str, k: int, seeds: Sequence[int],
     rep = df.select(id_col, *strata, F.inline(seed_arr))
     keyed = rep.withColumn("_fold_h", F.md5(F.concat(
         F.col("_seed").cast("string"), F.lit(":"), F.col(id_col).cast("string"))))
-    ranked = global_row_index(keyed, ["_fold_h", id_col], strata=["cv_id", *strata], name="_rn")
+    ranked = global_row_index(keyed, ["_fold_h", id_col], strata=["cv_id", *strata],
+                              bucket=hex_bucket("_fold_h"), name="_rn")
     return ranked.select(F.col("cv_id").cast("int"), id_col,
                          F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int").alias("fold"))
 
@@ -143,7 +145,7 @@ def iterative_folds(df: DataFrame, id_col: str, label_cols: Sequence[str], k: in
     spark = df.sparkSession
     bounds_df = spark.createDataFrame(bounds, [*labs, "fold", "_lo", "_hi"])
     ranked = global_row_index(lab.withColumn("_h", hash_key(id_col, seed)), ["_h", id_col],
-                              strata=labs, name="_rn")
+                              strata=labs, bucket=hex_bucket("_h"), name="_rn")
     # bounds has at most tuples x k rows (bounded by 2^labels x k): safe to broadcast.
     joined = ranked.join(F.broadcast(bounds_df), labs, "inner").where(
         (F.col("_rn") >= F.col("_lo")) & (F.col("_rn") <= F.col("_hi")))

@@ -2,11 +2,13 @@
 
 ``row_number() over (partition by s order by k)`` puts a whole stratum on one
 task; a stratum holding a third of all rows then sorts a third of the data in
-one task. Here the data is range-partitioned on ``(strata, order)`` into many
-partitions, each partition is sorted locally, and only a tiny table of
-per-partition counts (at most partitions + strata rows) is windowed and
-broadcast back. The order columns must form a unique key (append the id), so
-partition contents and local order are deterministic and survive task retries.
+one task. Here every row also carries an order-compatible *bucket* (a coarse
+function of the leading order key, e.g. the first hex digits of an md5 key or
+the hour of a timestamp): all rows of bucket b sort before those of bucket
+b+1. Rows are numbered inside (strata, bucket) windows, and a small table of
+per-bucket counts supplies each bucket's offset. Everything is a
+deterministic function of the data, so retried tasks recompute the same
+numbers.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _n_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def hex_bucket(hex_col: str | Column, digits: int = 3) -> Column:
+    """Bucket from the leading hex digits of an md5 key (16^digits uniform buckets)."""
+    c = F.col(hex_col) if isinstance(hex_col, str) else hex_col
+    return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]):
@@ -30,37 +32,30 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]):
 
 
 def global_row_index(df: DataFrame, order: Sequence, strata: Sequence[str] = (),
-                     name: str = "rn", num_partitions: int | None = None) -> DataFrame:
+                     bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """Add a 1-based ``name`` column numbering rows by ``order`` within ``strata``.
 
-    ``order`` items are column names or ``Column`` sort expressions (use
-    ``F.col(c).desc()`` for descending keys); together they must be unique.
     Equivalent to ``row_number() over (partition by strata order by order)``.
+    ``order`` items are column names or sort expressions and must form a unique
+    key. ``bucket`` must be non-decreasing in ``order`` (rows with equal bucket
+    are contiguous in the order); without it the stratum is one bucket.
     """
-    n = _n_partitions(df, num_partitions)
-    sort_keys = [F.col(s).asc_nulls_first() for s in strata] + [
-        F.col(o).asc() if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys)
-    tagged = ranged.withColumn("_gw_pid", F.spark_partition_id()).withColumn(
-        "_gw_mid", F.monotonically_increasing_id())
-    stats = tagged.groupBy("_gw_pid", *strata).agg(
-        F.count(F.lit(1)).alias("_gw_n"), F.min("_gw_mid").alias("_gw_first"))
-    before = Window.partitionBy(*strata).orderBy("_gw_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_gw_before", F.coalesce(F.sum("_gw_n").over(before), F.lit(0)))
-    # stats has one row per (partition, stratum present in it): bounded by
-    # partitions + strata, so broadcasting it is safe for bounded strata.
-    stats = stats.select(
-        F.col("_gw_pid").alias("_gw_pid_r"), *[F.col(s).alias(f"_gw_s_{s}") for s in strata],
-        "_gw_before", "_gw_first")
-    cond = tagged["_gw_pid"] == stats["_gw_pid_r"]
+    b = bucket if bucket is not None else F.lit(0)
+    sort_keys = [F.col(o).asc() if isinstance(o, str) else o for o in order]
+    with_b = df.withColumn("_gw_b", b)
+    counts = with_b.groupBy(*strata, "_gw_b").agg(F.count(F.lit(1)).alias("_gw_n"))
+    before = Window.partitionBy(*strata).orderBy("_gw_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(s).alias(f"_gw_s_{s}") for s in strata],
+                            F.col("_gw_b").alias("_gw_b_r"),
+                            F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias("_gw_before"))
+    cond = with_b["_gw_b"] == offsets["_gw_b_r"]
     for s in strata:
-        cond = cond & tagged[s].eqNullSafe(stats[f"_gw_s_{s}"])
-    joined = tagged.join(F.broadcast(stats), cond, "inner")
-    rn = F.col("_gw_before") + F.col("_gw_mid") - F.col("_gw_first") + F.lit(1)
+        cond = cond & with_b[s].eqNullSafe(offsets[f"_gw_s_{s}"])
+    joined = with_b.join(offsets, cond, "inner")
+    inner = Window.partitionBy(*strata, "_gw_b").orderBy(*sort_keys)
+    rn = F.col("_gw_before") + F.row_number().over(inner)
     return joined.withColumn(name, rn.cast("long")).drop(
-        "_gw_pid", "_gw_mid", "_gw_pid_r", "_gw_before", "_gw_first",
-        *[f"_gw_s_{s}" for s in strata])
+        "_gw_b", "_gw_b_r", "_gw_before", *[f"_gw_s_{s}" for s in strata])
 
 
 def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str,

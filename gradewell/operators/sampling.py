@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.operators.rowindex import global_row_index
+from gradewell.operators.rowindex import global_row_index, hex_bucket
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int, epochs: int = 1) -> DataFrame:
@@ -17,7 +17,8 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int, epochs: int = 1) -> Da
     rep = df.select(id_col).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     keyed = rep.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                                    F.col(id_col).cast("string"))))
-    out = global_row_index(keyed, ["_h", id_col], strata=["epoch"], name="pos")
+    out = global_row_index(keyed, ["_h", id_col], strata=["epoch"], bucket=hex_bucket("_h"),
+                           name="pos")
     return out.select("epoch", id_col, "pos")
 
 
