@@ -91,11 +91,12 @@ def sql_essays_folds(seed: int = DEFAULT_SEED, k: int = N_FOLDS) -> str:
     return f"SELECT *, {sql_fold_expr(seed=seed, k=k)} AS fold FROM ({sql_features(SQL_ESSAYS)})"
 
 
-def sql_coef(x: str, src: str = "ef") -> str:
+def sql_coef(x: str, src: str = "ef", lam: float = 0.0) -> str:
     sums = ", ".join(f"sum({t}) AS sy_{t}, sum({x} * {t}) AS sxy_{t}" for t in TARGETS)
     tr = ", ".join(f"sum(sy_{t}) OVER () - sy_{t} AS sy_{t}, sum(sxy_{t}) OVER () - sxy_{t} AS sxy_{t}"
                    for t in TARGETS)
-    bs = ", ".join(f"(sxy_{t} - sx * sy_{t} / n) / (sxx - sx * sx / n + 0.0) AS b_{t}" for t in TARGETS)
+    bs = ", ".join(f"(sxy_{t} - sx * sy_{t} / n) / (sxx - sx * sx / n + {float(lam)!r}) AS b_{t}"
+                   for t in TARGETS)
     return f"""
   SELECT fold, {', '.join(f'(sy_{t} - b_{t} * sx) / n AS a_{t}, b_{t}' for t in TARGETS)}
   FROM (SELECT *, {bs} FROM (

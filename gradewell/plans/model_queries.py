@@ -1 +1,246 @@
-"""Placeholder."""
+"""Per-(fold, target) models: ridge, kernel-approximated SVR, linear head,
+boosted trees, checkpoint scoring and ensembles, feature groups, file keys."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from gradewell.config import DEFAULT_SEED, N_FOLDS, SEEDS
+from gradewell.functions import text as tx
+from gradewell.functions import vectors as vf
+from gradewell.operators import ensemble, features, folds as fo, gradient, linear, metrics, scoring, trees
+from gradewell.plans import common as c
+from gradewell.plans.registry import query
+from gradewell.session import scratch_path
+from gradewell.sources import files, tables
+
+T = c.TARGETS
+R6 = c.r6
+EMB_T = ("label", "label_high")
+RIDGE_LAMBDA = 1.0
+WEIGHTS = {"chars": 0.5, "lines": 0.3, "words": 0.2}
+
+
+def _emb_folds(spark, sf):
+    emb = tables.table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("x"),
+        F.col("label").cast("double").alias("label"),
+        (F.col("label") >= 5).cast("double").alias("label_high"))
+    return fo.assign_folds(emb, "vec_id", N_FOLDS, DEFAULT_SEED)
+
+
+def _fold_rmse(long):
+    err = metrics.error_table(long, by=("fold",))
+    return err.select("fold", "target", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
+
+
+@query("ridge_kfold", "J6", sql=lambda: f"""
+WITH ef AS ({c.sql_essays_folds()}), coef AS ({c.sql_coef('x_chars', lam=RIDGE_LAMBDA)})
+{' UNION ALL '.join(f"SELECT fold, '{t}' AS target, round(a_{t}, 6) AS intercept, round(b_{t}, 6) AS slope FROM coef" for t in T)}""")
+def ridge_kfold(spark, sf):
+    """One-feature ridge per (fold, target) from per-fold sums (train = total - fold)."""
+    ef = c.essays_folds(spark, sf)
+    coef = linear.univariate_fold_fit(ef, "x_chars", T, lam=RIDGE_LAMBDA)
+    pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"a_{t}").alias("intercept"),
+                               F.col(f"b_{t}").alias("slope")) for t in T])
+    out = coef.select("fold", F.inline(pairs))
+    return out.select("fold", "target", R6("intercept").alias("intercept"), R6("slope").alias("slope"))
+
+
+@query("ridge_kfold_embeddings", "J6 J7")
+def ridge_kfold_embeddings(spark, sf):
+    """64-feature ridge for every (fold, target): per-fold Gram matrices from one
+    pass, solved on the driver; out-of-fold RMSE per cell."""
+    ef = _emb_folds(spark, sf).cache()
+    gram = linear.fold_gram(ef, "x", EMB_T, d=64).collect()       # k rows of d x d
+    weights = linear.solve_fold_ridge(gram, 64, len(EMB_T), lam=RIDGE_LAMBDA)
+    coef = linear.coef_table(spark, weights, EMB_T)
+    long = linear.predict_linear(ef.select("vec_id", "fold", "x", *EMB_T), coef, "x") \
+        .select("vec_id", "fold", "target",
+                F.when(F.col("target") == "label", F.col("label")).otherwise(F.col("label_high")).alias("y"),
+                "pred")
+    return _fold_rmse(long).select("fold", "target", R6("rmse").alias("rmse"))
+
+
+def _cells_rmse(spark, sf, loss, fmap_kind, iters, lam_scale):
+    ef = _emb_folds(spark, sf).checkpoint()      # cut lineage: scanned once per iteration
+    d = 64
+    if fmap_kind == "rff":
+        gamma = gradient.feature_scale_gamma(ef, "x", d)
+        fmap = gradient.FourierFeatures.draw(d, 256, gamma, seed=DEFAULT_SEED)
+    else:
+        fmap = gradient.Identity()
+    n_train = ef.count() * (N_FOLDS - 1) / N_FOLDS
+    model = gradient.fit_cells(ef, "x", EMB_T, N_FOLDS, d, fmap=fmap, loss=loss,
+                               lam=lam_scale / n_train, iters=iters)
+    pred = gradient.predict_cells(ef, model, "x", ["vec_id", "fold", *EMB_T],
+                                  "vec_id long, fold int, label double, label_high double")
+    long = pred.select("vec_id", "fold", "target",
+                       F.when(F.col("target") == "label", F.col("label")).otherwise(F.col("label_high")).alias("y"),
+                       "pred")
+    return _fold_rmse(long).select("fold", "target", R6("rmse").alias("rmse"))
+
+
+@query("svr_rff_kfold", "J3 J7 C10")
+def svr_rff_kfold(spark, sf):
+    """SVR(C=1) re-aimed: RBF kernel via 256 random Fourier features, smoothed
+    epsilon-insensitive loss, every fold x target cell fitted in the same passes."""
+    return _cells_rmse(spark, sf, "eps_insensitive", "rff", iters=60, lam_scale=1.0)
+
+
+@query("linear_head_fit", "J5")
+def linear_head_fit(spark, sf):
+    """Multi-target linear head on frozen vectors with Smooth-L1 loss."""
+    return _cells_rmse(spark, sf, "smooth_l1", "identity", iters=60, lam_scale=1.0)
+
+
+@query("gbt_kfold", "J4 E5 E7")
+def gbt_kfold(spark, sf):
+    """Boosted trees per (fold, target) with best-prefix early stopping."""
+    ef = _emb_folds(spark, sf).cache()
+    rows = trees.gbt_kfold(ef, "x", EMB_T, N_FOLDS, max_iter=20, patience=5, seed=42)
+    out = spark.createDataFrame(rows, "fold int, target string, best_iter int, stop_iter int, "
+                                      "n_trees int, valid_rmse double")
+    return out.withColumn("valid_rmse", R6("valid_rmse"))
+
+
+# ---------------------------------------------------------------- checkpoints
+
+def _checkpoints(spark, sf):
+    """Fit the three baseline families, save them to the model registry and load
+    them back as checkpoint rows (model, fold, target, intercept, slope, feature)."""
+    base = c.essays_folds(spark, sf).cache()
+    frames = []
+    for m, x in c.MODELS.items():
+        coef = linear.univariate_fold_fit(base, x, T)
+        pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"a_{t}").alias("intercept"),
+                                   F.col(f"b_{t}").alias("slope")) for t in T])
+        frames.append(coef.select(F.lit("baseline").alias("run"), F.lit(0).alias("cv_id"),
+                                  F.lit(m).alias("model"), F.lit(x).alias("feature"), "fold",
+                                  F.inline(pairs)))
+    allc = frames[0]
+    for f in frames[1:]:
+        allc = allc.unionByName(f)
+    path = scratch_path(spark, "registry")
+    files.registry_save(allc, path)
+    loaded = files.registry_load(spark, path, "baseline")
+    return [r.asDict() for r in loaded.collect()]   # families x folds x targets rows
+
+
+def _scored(spark, sf):
+    docs = c.featurised(tables.unlabelled(spark, sf))
+    return scoring.score_checkpoints(docs, _checkpoints(spark, sf), list(c.MODELS.values()))
+
+
+def _sql_checkpoint_preds() -> str:
+    parts = []
+    for m, x in c.MODELS.items():
+        for t in T:
+            parts.append(f"""SELECT u.text_id, '{m}' AS model, c.fold, '{t}' AS target,
+                                    c.a_{t} + c.b_{t} * u.{x} AS pred
+                             FROM u, ({c.sql_coef(x)}) c""")
+    return f"""WITH ef AS ({c.sql_essays_folds()}), u AS ({c.sql_features(c.SQL_UNLABELLED)})
+               {' UNION ALL '.join(parts)}"""
+
+
+@query("batch_scoring", "J9 J10 J14 K3 K6 A7", sql=lambda: f"""
+SELECT text_id, model, fold, target, round(pred, 6) AS pred FROM ({_sql_checkpoint_preds()})""")
+def batch_scoring(spark, sf):
+    s = _scored(spark, sf)
+    return s.select("text_id", "model", "fold", "target", R6("pred").alias("pred"))
+
+
+@query("checkpoint_ensemble", "J8 J10 D8 D9 J17", sql=lambda: f"""
+WITH p AS (SELECT text_id, model, target, avg(pred) AS pred FROM ({_sql_checkpoint_preds()}) GROUP BY 1, 2, 3),
+     w AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, {w} AS w" for m, w in WEIGHTS.items())}),
+     b AS (SELECT p.text_id, p.target, sum(w.w * p.pred) / sum(w.w) AS v FROM p JOIN w ON p.model = w.model GROUP BY 1, 2)
+SELECT text_id, {', '.join(f"round(max(v) FILTER (WHERE target = '{t}'), 6) AS {t}" for t in T)}
+FROM b GROUP BY text_id""")
+def checkpoint_ensemble(spark, sf):
+    """Mean over each family's fold checkpoints, weighted blend of families,
+    pivoted into the submission's target columns."""
+    s = _scored(spark, sf)
+    fam = s.groupBy("text_id", "model", "target").agg(F.avg("pred").alias("pred"))
+    wide = fam.groupBy("text_id", "model").pivot("target", list(T)).agg(F.first("pred"))
+    weights = spark.createDataFrame(list(WEIGHTS.items()), "model string, w double")
+    out = ensemble.weighted_blend(wide, weights, "text_id", T)
+    return out.select("text_id", *[R6(t).alias(t) for t in T])
+
+
+# ---------------------------------------------------------------- feature groups
+
+GROUPS = {"g_low": [0, 1], "g_high": [2, 3], "g_all": [0, 1, 2, 3]}
+
+
+@query("feature_group_runner", "A5 J11 J12 C7")
+def feature_group_runner(spark, sf):
+    """Feature groups (sets of encoder blocks) -> feature store -> concatenation
+    -> k-fold ridge -> per-group, per-fold RMSE."""
+    emb = tables.table(spark, sf, "embeddings")
+    wanted = spark.createDataFrame([(b,) for b in range(4)], "block int")
+    store = scratch_path(spark, "feature-store")
+
+    def compute(missing):
+        blocks = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("e")) \
+            .select("vec_id", F.inline(F.array(*[
+                F.struct(F.lit(b).alias("block"), vf.l2_normalise(F.slice("e", b * 16 + 1, 16)).alias("vec"))
+                for b in range(4)])))
+        return blocks.join(F.broadcast(missing), "block", "left_semi")
+
+    blocks = files.feature_store_get_or_compute(spark, store, wanted, ["block"], compute)
+    labels = _emb_folds(spark, sf).select("vec_id", "fold", *EMB_T)
+    results = []
+    for g, ids in GROUPS.items():
+        feats = features.hconcat(blocks.where(F.col("block").isin(ids)), "vec_id", n_blocks=len(ids))
+        ef = feats.join(labels, "vec_id").withColumnRenamed("vec", "x").cache()
+        d = 16 * len(ids)
+        gram = linear.fold_gram(ef, "x", EMB_T, d=d).collect()
+        coef = linear.coef_table(spark, linear.solve_fold_ridge(gram, d, len(EMB_T), RIDGE_LAMBDA), EMB_T)
+        long = linear.predict_linear(ef, coef, "x").select(
+            "vec_id", "fold", "target",
+            F.when(F.col("target") == "label", F.col("label")).otherwise(F.col("label_high")).alias("y"),
+            "pred")
+        results.append(_fold_rmse(long).withColumn("group_id", F.lit(g)))
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out.select("group_id", "fold", "target", R6("rmse").alias("rmse"))
+
+
+# ---------------------------------------------------------------- file keys
+
+NAME_RE = r"^(.*)_gpu(\d+)_fold(\d+)_best$"
+
+
+@query("file_keys", "A6 A8 E9 G5 G6 G7", sql=lambda: f"""
+WITH k AS (SELECT DISTINCT cv_id, fold FROM ({' UNION ALL '.join(
+    f"SELECT {i} AS cv_id, {c.sql_fold_expr('doc_id', seed=s)} AS fold FROM labels" for i, s in enumerate(SEEDS))})),
+     m AS ({' UNION ALL '.join(f"SELECT '{m}' AS model" for m in c.MODELS)}),
+     p AS (SELECT '/models/' || m.model || '/' || printf('%s_gpu%d_fold%d_best', m.model, k.cv_id, k.fold) || '.pth' AS path
+           FROM k, m),
+     s AS (SELECT path, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM p)
+SELECT path, stem, regexp_extract(stem, '{NAME_RE}', 1) AS model,
+       CASE WHEN CAST(regexp_extract(stem, '{NAME_RE}', 2) AS INTEGER) = 0 THEN {SEEDS[0]} ELSE {SEEDS[1]} END AS seed,
+       CAST(regexp_extract(stem, '{NAME_RE}', 3) AS INTEGER) AS fold
+FROM s""")
+def file_keys(spark, sf):
+    """Checkpoint-style artefact names formatted from the fold table, then the
+    (model, seed, fold) keys parsed back from the paths; one path per key."""
+    lab = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"), "quality", "toxic")
+    keys = fo.repeated_folds(lab, "text_id", N_FOLDS, SEEDS, strata=c.STRATA).select("cv_id", "fold").distinct()
+    models = spark.createDataFrame([(m,) for m in c.MODELS], "model string")
+    # keys x models: two tiny dimension tables (<= 2k rows x 3 models)
+    names = keys.withColumn("_one", F.lit(1)).join(F.broadcast(models.withColumn("_one", F.lit(1))), "_one")
+    path = F.concat(F.lit("/models/"), F.col("model"), F.lit("/"),
+                    F.format_string("%s_gpu%d_fold%d_best", F.col("model"), F.col("cv_id"), F.col("fold")),
+                    F.lit(".pth"))
+    found = names.select(path.alias("path"))
+    stem = tx.stem(F.col("path"))
+    parsed = found.select("path", stem.alias("stem")).select(
+        "path", "stem", F.regexp_extract("stem", NAME_RE, 1).alias("model"),
+        F.when(F.regexp_extract("stem", NAME_RE, 2).cast("int") == 0, F.lit(SEEDS[0]))
+        .otherwise(F.lit(SEEDS[1])).alias("seed"),
+        F.regexp_extract("stem", NAME_RE, 3).cast("int").alias("fold"))
+    unique = files.unique_match(parsed, ["model", "seed", "fold"])
+    return unique.join(parsed.select("path", "stem"), "path").select("path", "stem", "model", "seed", "fold")
