@@ -62,14 +62,19 @@ def univariate_predict_all_folds(df: DataFrame, coef: DataFrame, x: str,
     """Test-side prediction averaged over the k fold models.
 
     The mean of k affine models is the affine model with mean coefficients, so
-    the k-row coefficient table is reduced to one row first and no row is
-    multiplied by k.
+    the k-row coefficient table is reduced to one scalar struct first and no
+    row is multiplied by k.
     """
-    mean_coef = coef.agg(*[F.avg(c).alias(c) for t in targets for c in (f"a_{t}", f"b_{t}")]) \
-        .withColumn("_one", F.lit(1))
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(mean_coef), "_one", "left")
-    return joined.select(*df.columns, *[
-        (F.col(f"a_{t}") + F.col(f"b_{t}") * F.col(x)).alias(t) for t in targets])
+    m = mean_coefficients(coef, targets)
+    return df.select(*df.columns, *[
+        (m.getField(f"a_{t}") + m.getField(f"b_{t}") * F.col(x)).alias(t) for t in targets])
+
+
+def mean_coefficients(coef: DataFrame, targets: Sequence[str]):
+    """Scalar subquery (one struct) holding the fold-averaged coefficients;
+    evaluated once and used like a literal, so no join is needed."""
+    return coef.agg(F.struct(*[F.avg(c).alias(c) for t in targets
+                               for c in (f"a_{t}", f"b_{t}")]).alias("m")).scalar()
 
 
 # --------------------------------------------------------------------------

@@ -21,16 +21,13 @@ def pool_labels(labelled_folds: DataFrame, pool: DataFrame,
                 targets: Sequence[str], fold_col: str = "fold") -> DataFrame:
     """``(fold, text_id, t…)``: the pool scored by each fold's model (J14, reduce='none').
 
-    Pool rows are repeated once per fold with a generator and equi-joined to
-    the k-row coefficient table (broadcast).
+    Pool rows are repeated once per fold with a generator (k from a scalar
+    subquery) and equi-joined to the k-row coefficient table (broadcast).
     """
     coef = linear.univariate_fold_fit(labelled_folds, x, targets, fold_col=fold_col)
-    k_folds = coef.select(fold_col).agg(F.max(fold_col).alias("_kmax"))
+    k_max = coef.agg(F.max(fold_col)).scalar()
     feats = featurise(pool).select("text_id", x)
-    per_fold = feats.withColumn("_one", F.lit(1)).join(
-        F.broadcast(k_folds.withColumn("_one", F.lit(1))), "_one") \
-        .withColumn(fold_col, F.explode(F.sequence(F.lit(0), F.col("_kmax")))) \
-        .drop("_one", "_kmax")
+    per_fold = feats.withColumn(fold_col, F.explode(F.sequence(F.lit(0), k_max)))
     scored = linear.univariate_predict(per_fold, coef, x, targets, fold_col=fold_col, prefix="")
     return scored.select(fold_col, "text_id", *targets)
 
@@ -39,9 +36,8 @@ def augment(train_folds: DataFrame, labels: DataFrame, texts: DataFrame,
             fold_col: str, targets: Sequence[str]) -> DataFrame:
     """Per split f: labelled rows with fold != f (role 'train') union the pseudo
     rows keyed to f joined to their texts (role 'pseudo')."""
-    k_max = train_folds.agg(F.max(fold_col).alias("_kmax")).withColumn("_one", F.lit(1))
-    train = train_folds.withColumn("_one", F.lit(1)).join(F.broadcast(k_max), "_one") \
-        .withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_kmax")))) \
+    k_max = train_folds.agg(F.max(fold_col)).scalar()
+    train = train_folds.withColumn("_split", F.explode(F.sequence(F.lit(0), k_max))) \
         .where(F.col("_split") != F.col(fold_col)) \
         .select(F.col("_split").alias(fold_col), "text_id", F.lit("train").alias("role"), *targets)
     pseudo = labels.join(texts.select("text_id"), "text_id", "inner") \

@@ -117,3 +117,20 @@ SELECT run AS user_id, step, {_sql_minutes('el')} AS elapsed, {_sql_minutes('el
 def eta_report(spark, sf):
     e = logs.eta(_steps(spark, sf), REPORT_EVERY)
     return e.select(F.col("run").alias("user_id"), "step", "elapsed", "remain")
+
+
+@query("meter_stream", "D7 E4 (L1 streaming)", sql=f"""
+SELECT run AS user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       count(*) AS n_updates, round(sum(val * n) / nullif(sum(n), 0), 6) AS avg
+FROM ({SQL_LOG}) GROUP BY run, date_trunc('day', ts)""")
+def meter_stream(spark, sf):
+    """The meter as a Structured Streaming aggregation over the events files
+    (watermarked daily windows), drained with an availableNow trigger."""
+    from gradewell.streaming import meter
+
+    schema = tables.table(spark, sf, "events").schema
+    stream = meter.metric_stream(spark, f"{sf.rstrip('/')}/events*.parquet", schema)
+    out = meter.run_to_table(spark, meter.windowed_meter(stream))
+    return out.select(F.col("run").alias("user_id"),
+                      F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "n_updates", r6("avg").alias("avg"))

@@ -229,9 +229,7 @@ def file_keys(spark, sf):
     (model, seed, fold) keys parsed back from the paths; one path per key."""
     lab = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"), "quality", "toxic")
     keys = fo.repeated_folds(lab, "text_id", N_FOLDS, SEEDS, strata=c.STRATA).select("cv_id", "fold").distinct()
-    models = spark.createDataFrame([(m,) for m in c.MODELS], "model string")
-    # keys x models: two tiny dimension tables (<= 2k rows x 3 models)
-    names = keys.withColumn("_one", F.lit(1)).join(F.broadcast(models.withColumn("_one", F.lit(1))), "_one")
+    names = keys.withColumn("model", F.explode(F.array(*[F.lit(m) for m in c.MODELS])))
     path = F.concat(F.lit("/models/"), F.col("model"), F.lit("/"),
                     F.format_string("%s_gpu%d_fold%d_best", F.col("model"), F.col("cv_id"), F.col("fold")),
                     F.lit(".pth"))

@@ -190,11 +190,9 @@ def repeated_cv_mean(spark, sf):
     err = metrics.error_table(metrics.to_long(oofs, ["cv_id", "text_id", "fold"], T),
                               by=("cv_id", "fold"))
     cv = metrics.rmse_by_fold(err, group=("cv_id",)).where(F.col("target") == "mcrmse") \
-        .agg(F.avg("rmse").alias("cv_mean")).withColumn("_one", F.lit(1))
-    preds = oofs.groupBy("text_id").agg(*[F.avg(f"pred_{t}").alias(f"pred_{t}") for t in T]) \
-        .withColumn("_one", F.lit(1))
-    out = preds.join(F.broadcast(cv), "_one")  # cv is one row
-    return out.select("text_id", *[R6(f"pred_{t}").alias(f"pred_{t}") for t in T], R6("cv_mean").alias("cv_mean"))
+        .agg(F.avg("rmse")).scalar()
+    preds = oofs.groupBy("text_id").agg(*[F.avg(f"pred_{t}").alias(f"pred_{t}") for t in T])
+    return preds.select("text_id", *[R6(f"pred_{t}").alias(f"pred_{t}") for t in T], R6(cv).alias("cv_mean"))
 
 
 # ---------------------------------------------------------------- submissions
