@@ -119,9 +119,14 @@ class CellModel:
 def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
               d: int, fmap=None, loss: str = "squared", lam: float = 1e-3,
               iters: int = 80, eps: float = 0.1, delta: float = 0.1, tol: float = 1e-6,
-              fold_col: str = "fold") -> CellModel:
+              rel_tol: float = 1e-4, fold_col: str = "fold") -> CellModel:
     """Fit all k x T cells. ``df`` should be persisted by the caller (it is
-    scanned once per iteration)."""
+    scanned once per iteration).
+
+    Nesterov acceleration with adaptive restart (momentum is dropped when the
+    objective rises) and a stop when the mean objective changes by less than
+    ``rel_tol`` (relative) for three iterations in a row.
+    """
     fmap = fmap or Identity()
     D = fmap.out_dim(d)
     cols = k * len(targets)
@@ -134,7 +139,9 @@ def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     reg = np.ones((D + 1, 1))
     reg[0] = 0.0
     point = W.copy()
-    for it in range(iters):
+    momentum_age = 0
+    flat = 0
+    for _ in range(iters):
         parts = data.mapInPandas(_partials(point, fmap, feature_col, fold_col, targets, k,
                                            loss, eps, delta), schema)
         row = parts.agg(Summarizer.sum(array_to_vector("g")).alias("g"),
@@ -146,13 +153,21 @@ def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
         cnt = np.maximum(np.array(row["c"]), 1.0)
         grad = np.array(row["g"]).reshape(D + 1, cols) / cnt + lam * reg * point
         obj = np.array(row["l"]) / cnt + 0.5 * lam * (reg * point * point).sum(axis=0)
-        history.append(float(obj.mean()))
+        cur = float(obj.mean())
+        if history and cur > history[-1]:
+            momentum_age = 0                     # adaptive restart
+        if history and abs(history[-1] - cur) <= rel_tol * abs(history[-1]):
+            flat += 1
+        else:
+            flat = 0
+        history.append(cur)
         if step is None:
             step = 1.0 / (curvature(loss, delta) * row["z"] + lam)
         W_next = point - step * grad
-        point = W_next + (it / (it + 3.0)) * (W_next - Y_prev)
+        point = W_next + (momentum_age / (momentum_age + 3.0)) * (W_next - Y_prev)
+        momentum_age += 1
         Y_prev = W_next
-        if np.abs(grad).max() < tol:
+        if np.abs(grad).max() < tol or flat >= 3:
             break
     return CellModel(Y_prev, k, tuple(targets), fmap, history)
 

@@ -8,6 +8,7 @@ bucketed row index. Special ids: 0 = PAD, 1 = CLS, 2 = SEP, 3 = UNK.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from gradewell.operators.rowindex import global_row_index
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
 N_SPECIAL = 4
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
-VOCAB_BROADCAST_MAX = 2_000_000   # entries; larger vocabularies are shuffle-joined
+VOCAB_BROADCAST_MAX = 2_000_000   # entries (~100 MB); larger vocabularies are shuffle-joined
 
 
 def tokens(text: Column) -> Column:
@@ -44,11 +45,15 @@ def build_vocab(tok_rows: DataFrame) -> DataFrame:
 
 
 def attach_ids(tok_rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Map tokens to ids. The vocabulary is broadcast only after checking its
-    size; otherwise a shuffle join (AQE splits skewed hot tokens)."""
-    n = vocab.count()
-    v = vocab.select("token", "token_id")
-    if n <= VOCAB_BROADCAST_MAX:
+    """Map tokens to ids.
+
+    The vocabulary is persisted and counted first (the counting pass is the
+    pass that builds it, so nothing is tokenised twice for it). It is
+    broadcast only when that count is within ``VOCAB_BROADCAST_MAX``;
+    otherwise it is a shuffle join, and AQE splits skewed hot-token partitions.
+    """
+    v = vocab.select("token", "token_id").persist(StorageLevel.MEMORY_AND_DISK)
+    if v.count() <= VOCAB_BROADCAST_MAX:
         v = F.broadcast(v)
     return tok_rows.join(v, "token", "left").withColumn(
         "token_id", F.coalesce(F.col("token_id"), F.lit(UNK)))

@@ -8,6 +8,7 @@ two stay in step.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,15 @@ def featurised(df: DataFrame, text_col: str = "full_text") -> DataFrame:
 
 def essays_folds(spark: SparkSession, sf: str, seed: int = DEFAULT_SEED,
                  k: int = N_FOLDS) -> DataFrame:
-    """Labelled essays + text features + stratified fold (strata = label tuple)."""
-    ess = featurised(tables.essays(spark, sf))
-    return fo.assign_folds(ess, "text_id", k, seed, strata=STRATA)
+    """Labelled essays + text features + stratified fold (strata = label tuple).
+
+    The text is reduced to its scalar features before the fold shuffle, so no
+    document body travels through an exchange.
+    """
+    ess = featurised(tables.essays(spark, sf)).drop("full_text")
+    # persisted once: every fit, prediction and score of a run reuses the fold
+    # table (a few numbers per essay) instead of recomputing the folds.
+    return fo.assign_folds(ess, "text_id", k, seed, strata=STRATA).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def oof(spark: SparkSession, sf: str, model: str = "chars", seed: int = DEFAULT_SEED,
@@ -54,7 +61,7 @@ def test_predictions(spark: SparkSession, sf: str, model: str = "chars",
     x = MODELS[model]
     ef = base if base is not None else essays_folds(spark, sf, seed, k)
     coef = linear.univariate_fold_fit(ef, x, TARGETS)
-    test = featurised(tables.unlabelled(spark, sf))
+    test = featurised(tables.unlabelled(spark, sf)).drop("full_text")
     return linear.univariate_predict_all_folds(test, coef, x, TARGETS).select("text_id", *TARGETS)
 
 

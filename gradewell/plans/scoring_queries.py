@@ -15,8 +15,10 @@ R6 = c.r6
 
 
 def _errors(spark, sf, model="chars"):
+    """(fold, target, sse, n): k x T rows, persisted because every score level
+    is derived from it."""
     long = metrics.to_long(c.oof(spark, sf, model), ["text_id", "fold"], T)
-    return metrics.error_table(long, by=("fold",))
+    return metrics.error_table(long, by=("fold",)).persist()
 
 
 # ---------------------------------------------------------------- flagship
@@ -80,7 +82,7 @@ def _pooled_scores(spark, sf):
     allm = frames[0]
     for f in frames[1:]:
         allm = allm.unionByName(f)
-    err = metrics.error_table(allm, by=("model", "fold"))
+    err = metrics.error_table(allm, by=("model", "fold")).persist()
     cv = metrics.cv_scores(err, group=("model",)).where(
         (F.col("scope") == "pooled") & (F.col("target") == "mcrmse"))
     return cv.select("model", "score")

@@ -82,8 +82,9 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_features(text: Column) -> dict[str, Column]:
     """Cheap scalar text features used by the SQL-expressible baseline models."""
     n_chars = F.length(text)
-    n_lines = F.lit(1) + n_chars - F.length(F.regexp_replace(text, "\n", ""))
-    n_words = F.size(F.split(text, " "))
+    # counts by literal removal: no regex and no intermediate arrays
+    n_lines = F.lit(1) + n_chars - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_words = F.lit(1) + n_chars - F.length(F.replace(text, F.lit(" "), F.lit("")))
     return {
         "x_chars": F.log1p(n_chars.cast("double")),
         "x_lines": F.log1p(n_lines.cast("double")),
