@@ -25,6 +25,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.operators.parallel import spread
+
 Q = 8            # characters per gram
 W = 16           # grams per window
 MIN_LEN = W + Q - 1
@@ -107,9 +109,9 @@ def contained_pairs(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id:
     not matched.
     """
     spark = texts.sparkSession
-    pats = patterns.select(F.col(pat_id), F.col(text_col).alias("_p")).where(
-        F.col("_p").isNotNull() & (F.length("_p") > 0))
-    docs = texts.select(F.col(text_id), F.col(text_col).alias("_t"))
+    pats = spread(patterns.select(F.col(pat_id), F.col(text_col).alias("_p")).where(
+        F.col("_p").isNotNull() & (F.length("_p") > 0)))
+    docs = spread(texts.select(F.col(text_id), F.col(text_col).alias("_t")))
 
     long_p = pats.where(F.length("_p") >= MIN_LEN)
     pat_mins = long_p.select(pat_id, "_p").mapInPandas(

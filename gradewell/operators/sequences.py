@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.operators.parallel import spread
 from gradewell.operators.rowindex import global_row_index
 
 # FIXED VALUES: special token ids and the token pattern (words or one symbol)
@@ -27,17 +28,20 @@ def tokens(text: Column) -> Column:
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, tpos, token)``: one row per token occurrence, 0-based position."""
-    return docs.select(id_col, F.posexplode(tokens(F.coalesce(F.col(text_col), F.lit(""))))
-                       .alias("tpos", "token"))
+    return spread(docs.select(id_col, text_col)).select(
+        id_col, F.posexplode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tpos", "token"))
 
 
 def build_vocab(tok_rows: DataFrame) -> DataFrame:
     """``(token, cnt, token_id)``; ids from N_SPECIAL by (count desc, token).
 
     The numbering bucket is (-count, first two characters): order-compatible
-    with (count desc, token) and it splits the huge low-count tail.
+    with (count desc, token) and it splits the huge low-count tail. The
+    distinct-token counts are persisted (they are read twice by the row index
+    and are far smaller than the token occurrences they summarise).
     """
-    counts = tok_rows.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = tok_rows.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     bucket = F.struct((-F.col("cnt")).alias("c"), F.substring("token", 1, 2).alias("p"))
     ranked = global_row_index(counts, [F.col("cnt").desc(), F.col("token").asc()],
                               bucket=bucket, name="_rank")
@@ -62,7 +66,8 @@ def attach_ids(tok_rows: DataFrame, vocab: DataFrame) -> DataFrame:
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, token_length)`` with token_length counting CLS and SEP (H2)."""
     n = F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    return docs.select(id_col, n.alias("n_tokens"), (n + F.lit(2)).alias("token_length"))
+    return spread(docs.select(id_col, text_col)).select(
+        id_col, n.alias("n_tokens"), (n + F.lit(2)).alias("token_length"))
 
 
 def truncate_pad_long(ids: DataFrame, lens: DataFrame, max_len: int,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradewell.config import SEEDS, TEMPLATE_GRADE
-from gradewell.operators import ensemble, metrics, pseudo
+from gradewell.operators import ensemble, linear, metrics, pseudo
 from gradewell.plans import common as c
 from gradewell.plans.registry import query
 from gradewell.sources import tables
@@ -129,12 +129,16 @@ WEIGHTS = {"chars": 0.5, "lines": 0.3, "words": 0.2}
 
 
 def _submissions(spark, sf):
+    """``(text_id, model, t…)``: every model family scores the unlabelled essays
+    in one scan; each family's fold-mean coefficients arrive as a scalar subquery."""
     base = c.essays_folds(spark, sf)
-    subs = None
-    for m in c.MODELS:
-        s = c.test_predictions(spark, sf, m, base=base).withColumn("model", F.lit(m))
-        subs = s if subs is None else subs.unionByName(s)
-    return subs
+    test = c.featurised(tables.unlabelled(spark, sf)).drop("full_text")
+    per_model = []
+    for m, x in c.MODELS.items():
+        coef = linear.mean_coefficients(linear.univariate_fold_fit(base, x, T), T)
+        per_model.append(F.struct(F.lit(m).alias("model"), *[
+            (coef.getField(f"a_{t}") + coef.getField(f"b_{t}") * F.col(x)).alias(t) for t in T]))
+    return test.select("text_id", F.inline(F.array(*per_model)))
 
 
 def _sql_submissions() -> str:
