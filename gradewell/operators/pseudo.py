@@ -8,7 +8,7 @@ pseudo rows never reach a validation set.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from gradewell.operators import linear
 
 
-def pool_labels(labelled_folds: DataFrame, pool: DataFrame,
-                featurise: Callable[[DataFrame], DataFrame], x: str,
+def pool_labels(labelled_folds: DataFrame, pool_features: DataFrame, x: str,
                 targets: Sequence[str], fold_col: str = "fold") -> DataFrame:
     """``(fold, text_id, t…)``: the pool scored by each fold's model (J14, reduce='none').
 
@@ -26,7 +25,7 @@ def pool_labels(labelled_folds: DataFrame, pool: DataFrame,
     """
     coef = linear.univariate_fold_fit(labelled_folds, x, targets, fold_col=fold_col)
     k_max = coef.agg(F.max(fold_col)).scalar()
-    feats = featurise(pool).select("text_id", x)
+    feats = pool_features.select("text_id", x)
     per_fold = feats.withColumn(fold_col, F.explode(F.sequence(F.lit(0), k_max)))
     scored = linear.univariate_predict(per_fold, coef, x, targets, fold_col=fold_col, prefix="")
     return scored.select(fold_col, "text_id", *targets)

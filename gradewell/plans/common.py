@@ -31,17 +31,36 @@ def featurised(df: DataFrame, text_col: str = "full_text") -> DataFrame:
     return df.select("*", *[v.alias(k) for k, v in feats.items()])
 
 
+def doc_features(spark: SparkSession, sf: str) -> DataFrame:
+    """``(text_id, x_…)``: scalar text features computed in the documents scan,
+    so document bodies never enter an exchange."""
+    docs = tables.table(spark, sf, "documents")
+    feats = tables.text_features(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.col("doc_id").alias("text_id"), *[v.alias(k) for k, v in feats.items()])
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("text_id"), *[F.col(t).cast("double").alias(t) for t in TARGETS])
+
+
 def essays_folds(spark: SparkSession, sf: str, seed: int = DEFAULT_SEED,
                  k: int = N_FOLDS) -> DataFrame:
     """Labelled essays + text features + stratified fold (strata = label tuple).
 
-    The text is reduced to its scalar features before the fold shuffle, so no
-    document body travels through an exchange.
+    Folds are numbered on the small labels table alone; the documents are
+    scanned once, reduced to scalar features, and joined by id. The result is
+    persisted: every fit, prediction and score of a run reuses it.
     """
-    ess = featurised(tables.essays(spark, sf)).drop("full_text")
-    # persisted once: every fit, prediction and score of a run reuses the fold
-    # table (a few numbers per essay) instead of recomputing the folds.
-    return fo.assign_folds(ess, "text_id", k, seed, strata=STRATA).persist(StorageLevel.MEMORY_AND_DISK)
+    folds = fo.assign_folds(labelled(spark, sf), "text_id", k, seed, strata=STRATA)
+    return folds.join(doc_features(spark, sf), "text_id", "inner") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def unlabelled_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Unlabelled essays as ``(text_id, x_…)``; features before the anti-join."""
+    ids = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"))
+    return doc_features(spark, sf).join(ids, "text_id", "left_anti")
 
 
 def oof(spark: SparkSession, sf: str, model: str = "chars", seed: int = DEFAULT_SEED,
@@ -61,7 +80,7 @@ def test_predictions(spark: SparkSession, sf: str, model: str = "chars",
     x = MODELS[model]
     ef = base if base is not None else essays_folds(spark, sf, seed, k)
     coef = linear.univariate_fold_fit(ef, x, TARGETS)
-    test = featurised(tables.unlabelled(spark, sf)).drop("full_text")
+    test = unlabelled_features(spark, sf)
     return linear.univariate_predict_all_folds(test, coef, x, TARGETS).select("text_id", *TARGETS)
 
 

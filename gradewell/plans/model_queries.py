@@ -129,7 +129,7 @@ def _checkpoints(spark, sf):
 
 
 def _scored(spark, sf):
-    docs = c.featurised(tables.unlabelled(spark, sf))
+    docs = c.unlabelled_features(spark, sf)
     return scoring.score_checkpoints(docs, _checkpoints(spark, sf), list(c.MODELS.values()))
 
 

@@ -132,7 +132,7 @@ def _submissions(spark, sf):
     """``(text_id, model, t…)``: every model family scores the unlabelled essays
     in one scan; each family's fold-mean coefficients arrive as a scalar subquery."""
     base = c.essays_folds(spark, sf)
-    test = c.featurised(tables.unlabelled(spark, sf)).drop("full_text")
+    test = c.unlabelled_features(spark, sf)
     per_model = []
     for m, x in c.MODELS.items():
         coef = linear.mean_coefficients(linear.univariate_fold_fit(base, x, T), T)
@@ -232,7 +232,7 @@ FROM pl JOIN ({c.SQL_UNLABELLED}) x ON pl.text_id = x.text_id""")
 def pseudo_augment(spark, sf):
     """Training part of every fold plus pseudo-labelled pool rows of the same fold's model."""
     base = c.essays_folds(spark, sf)
-    labels = pseudo.pool_labels(base, tables.unlabelled(spark, sf), c.featurised, "x_chars", T)
+    labels = pseudo.pool_labels(base, c.unlabelled_features(spark, sf), "x_chars", T)
     texts = tables.unlabelled(spark, sf)
     out = pseudo.augment(base.select("text_id", "fold", *T), labels, texts, "fold", T)
     return out.select("fold", "text_id", "role", *[R6(t).alias(t) for t in T])
