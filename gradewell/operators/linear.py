@@ -83,7 +83,7 @@ def mean_coefficients(coef: DataFrame, targets: Sequence[str]):
 # --------------------------------------------------------------------------
 
 
-def _gram_partials(feature_col: str, fold_col: str, targets: Sequence[str], d: int):
+def _gram_partials(feature_col: str, fold_col: str, targets: Sequence[str], d: int, fmap=None):
     t_n = len(targets)
 
     def fn(batches):
@@ -92,6 +92,8 @@ def _gram_partials(feature_col: str, fold_col: str, targets: Sequence[str], d: i
             if pdf.empty:
                 continue
             X = np.stack(pdf[feature_col].to_numpy()).astype(np.float64)
+            if fmap is not None:
+                X = fmap(X)
             X = np.hstack([np.ones((X.shape[0], 1)), X])
             Y = pdf[list(targets)].to_numpy(dtype=np.float64)
             for f, idx in pdf.groupby(fold_col).indices.items():
@@ -110,7 +112,7 @@ def _gram_partials(feature_col: str, fold_col: str, targets: Sequence[str], d: i
 
 
 def fold_gram(df: DataFrame, feature_col: str, targets: Sequence[str], d: int,
-              fold_col: str = "fold") -> DataFrame:
+              fold_col: str = "fold", fmap=None) -> DataFrame:
     """Per-fold sufficient statistics ``(fold, xtx, xty, yty, n)`` (with intercept column).
 
     Each partition emits one partial row per fold it holds; Spark's partial
@@ -120,7 +122,7 @@ def fold_gram(df: DataFrame, feature_col: str, targets: Sequence[str], d: int,
     from pyspark.ml.stat import Summarizer
 
     parts = df.select(fold_col, feature_col, *targets).mapInPandas(
-        _gram_partials(feature_col, fold_col, targets, d),
+        _gram_partials(feature_col, fold_col, targets, d, fmap),
         f"{fold_col} int, xtx array<double>, xty array<double>, yty array<double>, n long")
     summed = parts.groupBy(fold_col).agg(
         Summarizer.sum(array_to_vector("xtx")).alias("xtx"),
@@ -133,18 +135,25 @@ def fold_gram(df: DataFrame, feature_col: str, targets: Sequence[str], d: int,
 
 
 def solve_fold_ridge(gram_rows, d: int, n_targets: int, lam: float,
-                     fold_col: str = "fold") -> dict[int, np.ndarray]:
+                     fold_col: str = "fold", per_row: bool = False) -> dict[int, np.ndarray]:
     """Driver-side solve: W_f = (XtX_total - XtX_f + lam*I')^-1 (XtY_total - XtY_f).
 
-    The intercept (index 0) is not penalised. Returns fold -> (d+1) x T matrix.
+    The intercept (index 0) is not penalised. With ``per_row`` the penalty is
+    ``lam`` times the fold's training-row count (the mean-loss objective).
+    Returns fold -> (d+1) x T matrix.
     """
     mats = {int(r[fold_col]): (np.array(r["xtx"]).reshape(d + 1, d + 1),
-                               np.array(r["xty"]).reshape(d + 1, n_targets)) for r in gram_rows}
+                               np.array(r["xty"]).reshape(d + 1, n_targets), float(r["n"]))
+            for r in gram_rows}
     tot_a = sum(m[0] for m in mats.values())
     tot_b = sum(m[1] for m in mats.values())
-    pen = lam * np.eye(d + 1)
-    pen[0, 0] = 0.0
-    return {f: np.linalg.solve(tot_a - a + pen, tot_b - b) for f, (a, b) in mats.items()}
+    tot_n = sum(m[2] for m in mats.values())
+    out = {}
+    for f, (a, b, n) in mats.items():
+        pen = lam * (tot_n - n if per_row else 1.0) * np.eye(d + 1)
+        pen[0, 0] = 0.0
+        out[f] = np.linalg.solve(tot_a - a + pen, tot_b - b)
+    return out
 
 
 def coef_table(spark, weights: dict[int, np.ndarray], targets: Sequence[str],

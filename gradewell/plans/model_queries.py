@@ -86,13 +86,13 @@ def _cells_rmse(spark, sf, loss, fmap_kind, iters, lam_scale):
 def svr_rff_kfold(spark, sf):
     """SVR(C=1) re-aimed: RBF kernel via 256 random Fourier features, smoothed
     epsilon-insensitive loss, every fold x target cell fitted in the same passes."""
-    return _cells_rmse(spark, sf, "eps_insensitive", "rff", iters=60, lam_scale=1.0)
+    return _cells_rmse(spark, sf, "eps_insensitive", "rff", iters=30, lam_scale=1.0)
 
 
 @query("linear_head_fit", "J5")
 def linear_head_fit(spark, sf):
     """Multi-target linear head on frozen vectors with Smooth-L1 loss."""
-    return _cells_rmse(spark, sf, "smooth_l1", "identity", iters=60, lam_scale=1.0)
+    return _cells_rmse(spark, sf, "smooth_l1", "identity", iters=30, lam_scale=1.0)
 
 
 @query("gbt_kfold", "J4 E5 E7")

@@ -89,12 +89,27 @@ def test_gradient_routine_converges_to_closed_form(spark):
     y = X @ np.array([1.0, -2.0, 0.5, 0.0, 3.0]) + 0.7
     df = spark.createDataFrame([(i, int(i % 2), X[i].tolist(), float(y[i])) for i in range(400)],
                                "id long, fold int, x array<double>, y double").cache()
-    m = gradient.fit_cells(df, "x", ["y"], 2, 5, loss="squared", lam=1e-6, iters=400)
+    cold = gradient.fit_cells(df, "x", ["y"], 2, 5, loss="squared", lam=1e-6, iters=200,
+                              tol=1e-6, warm_start=False)
+    warm = gradient.fit_cells(df, "x", ["y"], 2, 5, loss="squared", lam=1e-6, iters=3)
     for f in range(2):
         tr = np.array([i % 2 != f for i in range(400)])
         Xa = np.hstack([np.ones((tr.sum(), 1)), X[tr]])
         ref = np.linalg.lstsq(Xa, y[tr], rcond=None)[0]
-        assert np.allclose(m.weights[:, f], ref, atol=2e-2)
+        assert np.allclose(cold.weights[:, f], ref, atol=2e-2)
+        assert np.allclose(warm.weights[:, f], ref, atol=1e-4)   # ridge warm start is the optimum
+
+
+def test_gradient_objective_never_rises_at_best_point(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(300, 4))
+    y = np.sign(X[:, 0]) * 2 + rng.normal(scale=0.3, size=300)
+    df = spark.createDataFrame([(i, int(i % 3), X[i].tolist(), float(y[i])) for i in range(300)],
+                               "id long, fold int, x array<double>, y double").cache()
+    m = gradient.fit_cells(df, "x", ["y"], 3, 4, loss="eps_insensitive", lam=1e-3, iters=25,
+                           warm_start=False)
+    assert min(m.history) <= m.history[0]
+    assert np.isfinite(m.weights).all()
 
 
 def test_rff_approximates_kernel(spark):
