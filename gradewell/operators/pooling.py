@@ -191,3 +191,23 @@ def attention_params(seed: int, d: int) -> dict:
 def to_long(vecs: DataFrame, key: str = "doc_id", vec: str = "vec") -> DataFrame:
     """``(key, dim, value)`` rows for comparison and reporting."""
     return vecs.select(key, F.posexplode(vec).alias("dim", "value"))
+
+
+# ---------------------------------------------------------------- selector
+
+POOLERS = {
+    "mean": lambda st, layer, **kw: mean_pool(st, layer),
+    "max": lambda st, layer, **kw: max_pool(st, layer, **kw),
+    "min": lambda st, layer, **kw: min_pool(st, layer, **kw),
+    "first": lambda st, layer, **kw: first_token(st, layer),
+    "weightedlayer": lambda st, layer, weights, **kw: weighted_layer_pool(st, weights),
+    "mixed": lambda st, layer, weights, **kw: mixed_pool(st, weights),
+    "attention": lambda st, layer, params, **kw: attention_pool(st, layer, params),
+}
+
+
+def pool(states: DataFrame, name: str, layer: int, **kw) -> DataFrame:
+    """Pooling chosen by configuration name; every pooler is DataFrame -> DataFrame."""
+    if name not in POOLERS:
+        raise ValueError(f"unknown pooling {name!r}; choose from {sorted(POOLERS)}")
+    return POOLERS[name](states, layer, **kw)

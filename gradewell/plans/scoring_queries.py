@@ -236,3 +236,22 @@ def pseudo_augment(spark, sf):
     texts = tables.unlabelled(spark, sf)
     out = pseudo.augment(base.select("text_id", "fold", *T), labels, texts, "fold", T)
     return out.select("fold", "text_id", "role", *[R6(t).alias(t) for t in T])
+
+
+@query("stream_scoring", "J8 J9 (L2 streaming)", sql=lambda: f"""
+SELECT text_id, {', '.join(f'round({t}, 6) AS {t}' for t in T)} FROM ({c.sql_test_predictions()})""")
+def stream_scoring(spark, sf):
+    """Unlabelled documents arriving as a file stream, anti-joined to the static
+    labels and scored by the static fold-mean model (stream-static)."""
+    from gradewell.streaming import meter
+
+    docs_schema = tables.table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", 1) \
+        .parquet(f"{sf.rstrip('/')}/documents*.parquet")
+    feats = tables.text_features(F.coalesce(F.col("text"), F.lit("")))
+    stream = stream.select(F.col("doc_id").alias("text_id"), *[v.alias(k) for k, v in feats.items()])
+    ids = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"))
+    pending = stream.join(ids, "text_id", "left_anti")
+    coef = linear.univariate_fold_fit(c.essays_folds(spark, sf), "x_chars", T)
+    scored = meter.run_to_table(spark, meter.score_stream(pending, coef, "x_chars", T), mode="append")
+    return scored.select("text_id", *[R6(t).alias(t) for t in T])

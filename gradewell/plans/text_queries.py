@@ -105,3 +105,18 @@ def url_parts(spark, sf):
     u = F.col("url")
     return pages.select("page_id", tx.basename(u).alias("basename"), tx.stem(u).alias("stem"),
                         tx.artefact_name(u).alias("artefact"))
+
+
+@query("essay_sources", "B1 F2 B4", sql="""
+SELECT d.doc_id AS text_id,
+       CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'train' ELSE 'test' END AS src,
+       CAST(length(coalesce(d.text, '')) AS INTEGER) AS n_chars
+FROM documents d""")
+def essay_sources(spark, sf):
+    """Labelled and unlabelled essays stacked with a constant lineage tag."""
+    n = F.length(F.coalesce(F.col("text"), F.lit("")))
+    docs = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), n.alias("n_chars"))
+    ids = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"))
+    train = docs.join(ids, "text_id", "left_semi").withColumn("src", F.lit("train"))
+    test = docs.join(ids, "text_id", "left_anti").withColumn("src", F.lit("test"))
+    return train.unionByName(test).select("text_id", "src", "n_chars")

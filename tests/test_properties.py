@@ -166,3 +166,29 @@ def test_unpivot_pivot_roundtrip(spark):
 def test_every_labelled_row_one_oof_prediction(spark):
     o = c.oof(spark, SF_MID)
     assert o.count() == o.select("text_id").distinct().count() == tables.table(spark, SF_MID, "labels").count()
+
+
+def test_hot_stratum_is_split_into_buckets(spark):
+    """One stratum holds a third of the rows: numbering stays exact and the
+    window runs per (stratum, bucket), never over a whole stratum."""
+    df = spark.range(0, 9000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50 + 1).alias("s"),
+        F.md5(F.col("id").cast("string")).alias("h"))
+    got = rowindex.global_row_index(df, ["h", "id"], strata=["s"], bucket=rowindex.hex_bucket("h", 2))
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("h", "id")))
+    assert got.select("id", "rn").exceptAll(ref.select("id", "rn")).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_gw_b" in plan.split("Window [row_number()")[1].split("\n")[0]
+    hot = got.where(F.col("s") == 0).groupBy(rowindex.hex_bucket("h", 2).alias("b")).count()
+    assert hot.count() > 200 and hot.agg(F.max("count")).first()[0] < 3000 / 100
+
+
+def test_pooling_selector(spark):
+    from gradewell.operators import pooling
+
+    rows = [(0, 0, p, 1, [float(p), 1.0]) for p in range(3)]
+    st = spark.createDataFrame(rows, "doc_id long, layer int, pos int, mask int, vec array<double>")
+    assert pooling.pool(st, "mean", 0).first().vec == pytest.approx([1.0, 1.0])
+    assert pooling.pool(st, "max", 0).first().vec == pytest.approx([2.0, 1.0])
+    with pytest.raises(ValueError):
+        pooling.pool(st, "nope", 0)
