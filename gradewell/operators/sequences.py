@@ -81,16 +81,19 @@ def truncate_pad_long(ids: DataFrame, lens: DataFrame, max_len: int,
     body = ids.where(F.col("tpos") < keep).select(
         id_col, (F.col("tpos") + 1).cast("int").alias("pos"),
         F.col("token_id").cast("int").alias("input_id"), F.lit(1).alias("attention_mask"))
-    kept = F.least(F.col("n_tokens"), F.lit(keep))
-    frame = lens.select(id_col, kept.alias("_k"))
-    cls = frame.select(id_col, F.lit(0).alias("pos"), F.lit(CLS).alias("input_id"),
-                       F.lit(1).alias("attention_mask"))
-    sep = frame.select(id_col, (F.col("_k") + 1).cast("int").alias("pos"), F.lit(SEP).alias("input_id"),
-                       F.lit(1).alias("attention_mask"))
-    pad = frame.where(F.col("_k") + 2 < max_len).select(
-        id_col, F.explode(F.sequence((F.col("_k") + 2).cast("int"), F.lit(max_len - 1))).alias("pos"),
-        F.lit(PAD).alias("input_id"), F.lit(0).alias("attention_mask"))
-    return body.unionByName(cls).unionByName(sep).unionByName(pad)
+    kept = F.least(F.col("n_tokens"), F.lit(keep)).cast("int")
+
+    def cell(pos, tok, m):
+        return F.struct(pos.cast("int").alias("pos"), F.lit(tok).alias("input_id"),
+                        F.lit(m).alias("attention_mask"))
+
+    # CLS, SEP and every PAD position of a document come from one generator over
+    # its length row, so the lengths are read once.
+    pads = F.transform(F.sequence(kept + 2, F.lit(max_len)), lambda p: cell(p, PAD, 0))
+    specials = F.concat(F.array(cell(F.lit(0), CLS, 1), cell(kept + 1, SEP, 1)),
+                        F.filter(pads, lambda c: c["pos"] < F.lit(max_len)))
+    frame = lens.select(id_col, F.inline(specials))
+    return body.unionByName(frame)
 
 
 def truncate_pad_arrays(id_arrays: DataFrame, max_len: int, seq_col: str = "ids") -> DataFrame:

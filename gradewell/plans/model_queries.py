@@ -12,7 +12,7 @@ from gradewell.functions import vectors as vf
 from gradewell.operators import ensemble, features, folds as fo, gradient, linear, metrics, scoring, trees
 from gradewell.plans import common as c
 from gradewell.plans.registry import query
-from gradewell.session import scratch_path
+from gradewell.session import ensure_checkpoint_dir, scratch_path
 from gradewell.sources import files, tables
 
 T = c.TARGETS
@@ -64,6 +64,7 @@ def ridge_kfold_embeddings(spark, sf):
 
 
 def _cells_rmse(spark, sf, loss, fmap_kind, iters, lam_scale):
+    ensure_checkpoint_dir(spark)                # the cluster's shared folder, or a test folder
     ef = _emb_folds(spark, sf).checkpoint()      # cut lineage: scanned once per iteration
     d = 64
     if fmap_kind == "rff":
