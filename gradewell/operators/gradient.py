@@ -21,11 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.operators.treesum import partition_id, tree_sum
+
 
 class Identity:
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def _partials(W: np.ndarray, fmap, feature_col: str, fold_col: str, targets: Seq
             lv += (val * M).sum(axis=0)
             cnt += M.sum(axis=0)
         yield pd.DataFrame({"g": [g.ravel().tolist()], "l": [lv.tolist()], "c": [cnt.tolist()],
-                            "z": [zmax]})
+                            "z": [zmax], "_part": [partition_id()]})
 
     return fn
 
@@ -145,7 +145,7 @@ def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
         for f, Wf in solve_fold_ridge(gram, D, len(targets), lam, fold_col, per_row=True).items():
             W[:, f * len(targets):(f + 1) * len(targets)] = Wf
     data = df.select(fold_col, feature_col, *targets)
-    schema = "g array<double>, l array<double>, c array<double>, z double"
+    schema = "g array<double>, l array<double>, c array<double>, z double, _part int"
     history = []
     reg = np.ones((D + 1, 1))
     reg[0] = 0.0
@@ -158,12 +158,7 @@ def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     for _ in range(iters):
         parts = data.mapInPandas(_partials(point, fmap, feature_col, fold_col, targets, k,
                                            loss, eps, delta), schema)
-        row = parts.agg(Summarizer.sum(array_to_vector("g")).alias("g"),
-                        Summarizer.sum(array_to_vector("l")).alias("l"),
-                        Summarizer.sum(array_to_vector("c")).alias("c"),
-                        F.max("z").alias("z")) \
-            .select(vector_to_array("g").alias("g"), vector_to_array("l").alias("l"),
-                    vector_to_array("c").alias("c"), "z").first()
+        row = tree_sum(parts, [], ["g", "l", "c"], scalar_max=["z"]).first()
         cnt = np.maximum(np.array(row["c"]), 1.0)
         grad = np.array(row["g"]).reshape(D + 1, cols) / cnt + lam * reg * point
         obj = np.array(row["l"]) / cnt + 0.5 * lam * (reg * point * point).sum(axis=0)

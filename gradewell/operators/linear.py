@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradewell.operators.treesum import partition_id, tree_sum
+
 # --------------------------------------------------------------------------
 # One feature: closed form, fully inside Spark SQL expressions.
 # --------------------------------------------------------------------------
@@ -104,9 +106,10 @@ def _gram_partials(feature_col: str, fold_col: str, targets: Sequence[str], d: i
                 g[1] += xs.T @ ys
                 g[2] += (ys * ys).sum(axis=0)
                 g[3] += len(idx)
+        part = partition_id()
         rows = [{fold_col: f, "xtx": g[0].ravel().tolist(), "xty": g[1].ravel().tolist(),
-                 "yty": g[2].tolist(), "n": g[3]} for f, g in acc.items()]
-        yield pd.DataFrame(rows, columns=[fold_col, "xtx", "xty", "yty", "n"])
+                 "yty": g[2].tolist(), "n": g[3], "_part": part} for f, g in acc.items()]
+        yield pd.DataFrame(rows, columns=[fold_col, "xtx", "xty", "yty", "n", "_part"])
 
     return fn
 
@@ -115,23 +118,14 @@ def fold_gram(df: DataFrame, feature_col: str, targets: Sequence[str], d: int,
               fold_col: str = "fold", fmap=None) -> DataFrame:
     """Per-fold sufficient statistics ``(fold, xtx, xty, yty, n)`` (with intercept column).
 
-    Each partition emits one partial row per fold it holds; Spark's partial
-    aggregation sums them, so the shuffle carries partitions x k small rows.
+    Each partition emits one partial row per fold it holds (NumPy on Arrow
+    batches); the partials are summed as a two-level tree, so no single task
+    receives every partition's d x d partial.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     parts = df.select(fold_col, feature_col, *targets).mapInPandas(
         _gram_partials(feature_col, fold_col, targets, d, fmap),
-        f"{fold_col} int, xtx array<double>, xty array<double>, yty array<double>, n long")
-    summed = parts.groupBy(fold_col).agg(
-        Summarizer.sum(array_to_vector("xtx")).alias("xtx"),
-        Summarizer.sum(array_to_vector("xty")).alias("xty"),
-        Summarizer.sum(array_to_vector("yty")).alias("yty"),
-        F.sum("n").alias("n"))
-    return summed.select(fold_col, vector_to_array("xtx").alias("xtx"),
-                         vector_to_array("xty").alias("xty"),
-                         vector_to_array("yty").alias("yty"), "n")
+        f"{fold_col} int, xtx array<double>, xty array<double>, yty array<double>, n long, _part int")
+    return tree_sum(parts, [fold_col], ["xtx", "xty", "yty"], scalar_sums=["n"])
 
 
 def solve_fold_ridge(gram_rows, d: int, n_targets: int, lam: float,

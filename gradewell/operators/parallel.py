@@ -10,7 +10,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     the cluster can run at once (e.g. one large parquet row group).
 
     On large inputs the scan already yields many splits and this is a no-op,
-    so no shuffle is added where it is not needed.
+    so no shuffle is added where it is not needed. Meant for scan outputs:
+    their partition count is known at planning time without running a job.
     """
     spark = df.sparkSession
     target = min_partitions or max(spark.sparkContext.defaultParallelism,

@@ -192,3 +192,14 @@ def test_pooling_selector(spark):
     assert pooling.pool(st, "max", 0).first().vec == pytest.approx([2.0, 1.0])
     with pytest.raises(ValueError):
         pooling.pool(st, "nope", 0)
+
+
+def test_tree_sum_levels_agree(spark):
+    from gradewell.operators import treesum
+
+    rows = [(k, p, [float(p), float(k)], 1) for k in range(3) for p in range(200)]
+    parts = spark.createDataFrame(rows, "k int, _part int, a array<double>, n int")
+    one = {r.k: (r.a, r.n) for r in treesum.tree_sum(parts, ["k"], ["a"], ["n"], n_partials=8).collect()}
+    two = {r.k: (r.a, r.n) for r in treesum.tree_sum(parts, ["k"], ["a"], ["n"], n_partials=10_000).collect()}
+    assert one == two
+    assert one[2] == ([float(sum(range(200))), 400.0], 200)
