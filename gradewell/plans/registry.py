@@ -37,6 +37,6 @@ def query(name: str, ops: str, sql: str | Callable[[], str] | None = None):
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from gradewell.plans import (  # noqa: F401
-        fold_queries, log_queries, model_queries, scoring_queries, sequence_queries,
-        text_queries, vector_queries)
+        fold_queries, io_queries, log_queries, model_queries, scoring_queries,
+        sequence_queries, text_queries, vector_queries)
     return QUERIES
