@@ -33,6 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +55,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a stage table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gradewell`` importable in Python workers (once per SparkContext).
+
+    Functions run by ``mapInPandas`` / pandas UDFs are pickled by module
+    reference, so executors need the package. When it is loaded from a source
+    checkout (not an installed distribution) it is zipped and added with
+    ``addPyFile``, which uploads it to every executor. The zip goes to the
+    shared checkpoint folder when that is a local path, else to a driver temp
+    file that only serves the upload.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    if "site-packages" in pkg_dir:
+        _SHIPPED.add(key)
+        return
+    ckpt = spark.conf.get("spark.checkpoint.dir", None)
+    base = ckpt[len("file:"):] if ckpt and ckpt.startswith("file:") else ckpt
+    if not base or "://" in base or not os.path.isdir(base):
+        base = tempfile.mkdtemp(prefix="gradewell-pkg-")
+    path = os.path.join(base, f"gradewell-{uuid.uuid4().hex[:8]}.zip")
+    root = os.path.dirname(pkg_dir)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, names in os.walk(pkg_dir):
+            if "__pycache__" in folder:
+                continue
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
