@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gradewell.config import DEFAULT_SEED, DRIVER_TARGETS, N_FOLDS
 from gradewell.operators import folds as fo
 from gradewell.operators import linear
+from gradewell.operators.parallel import right_size
 from gradewell.sources import tables
 
 TARGETS = DRIVER_TARGETS
@@ -52,9 +53,11 @@ def essays_folds(spark: SparkSession, sf: str, seed: int = DEFAULT_SEED,
     scanned once, reduced to scalar features, and joined by id. The result is
     persisted: every fit, prediction and score of a run reuses it.
     """
-    folds = fo.assign_folds(labelled(spark, sf), "text_id", k, seed, strata=STRATA)
-    return folds.join(doc_features(spark, sf), "text_id", "inner") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    lab = labelled(spark, sf)
+    folds = fo.assign_folds(lab, "text_id", k, seed, strata=STRATA)
+    joined = folds.join(doc_features(spark, sf), "text_id", "inner")
+    # a count of the labels table is answered from parquet footers
+    return right_size(joined, lab.count()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def unlabelled_features(spark: SparkSession, sf: str) -> DataFrame:
