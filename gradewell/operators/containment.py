@@ -109,8 +109,10 @@ def contained_pairs(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id:
     not matched.
     """
     spark = texts.sparkSession
+    # a pattern longer than every text cannot occur: exact pruning before hashing
+    longest = texts.agg(F.max(F.length(text_col))).scalar()
     pats = spread(patterns.select(F.col(pat_id), F.col(text_col).alias("_p")).where(
-        F.col("_p").isNotNull() & (F.length("_p") > 0)))
+        F.col("_p").isNotNull() & (F.length("_p") > 0) & (F.length("_p") <= longest)))
     docs = spread(texts.select(F.col(text_id), F.col(text_col).alias("_t")))
 
     long_p = pats.where(F.length("_p") >= MIN_LEN)
