@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.operators.treesum import partition_id, tree_sum
+from gradewell.operators.treesum import BLOCK_SCHEMA, block_sum, blocks, collect_blocks
 
 
 class Identity:
@@ -98,8 +98,8 @@ def _partials(W: np.ndarray, fmap, feature_col: str, fold_col: str, targets: Seq
             g += Z.T @ (der * M)
             lv += (val * M).sum(axis=0)
             cnt += M.sum(axis=0)
-        yield pd.DataFrame({"g": [g.ravel().tolist()], "l": [lv.tolist()], "c": [cnt.tolist()],
-                            "z": [zmax], "_part": [partition_id()]})
+        yield pd.DataFrame(blocks({"g": g, "l": lv, "c": cnt, "z": [zmax]}),
+                           columns=["_name", "_blk", "_v", "_part"])
 
     return fn
 
@@ -141,11 +141,11 @@ def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     if warm_start and D <= warm_start_max_dim:
         from gradewell.operators.linear import fold_gram, solve_fold_ridge
 
-        gram = fold_gram(df, feature_col, targets, D, fold_col=fold_col, fmap=fmap).collect()
+        gram = fold_gram(df, feature_col, targets, D, fold_col=fold_col, fmap=fmap)
         for f, Wf in solve_fold_ridge(gram, D, len(targets), lam, fold_col, per_row=True).items():
             W[:, f * len(targets):(f + 1) * len(targets)] = Wf
     data = df.select(fold_col, feature_col, *targets)
-    schema = "g array<double>, l array<double>, c array<double>, z double, _part int"
+    schema = BLOCK_SCHEMA
     history = []
     reg = np.ones((D + 1, 1))
     reg[0] = 0.0
@@ -158,14 +158,14 @@ def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     for _ in range(iters):
         parts = data.mapInPandas(_partials(point, fmap, feature_col, fold_col, targets, k,
                                            loss, eps, delta), schema)
-        row = tree_sum(parts, [], ["g", "l", "c"], scalar_max=["z"]).first()
+        row = collect_blocks(block_sum(parts, [], max_names=["z"]), [])[()]
         cnt = np.maximum(np.array(row["c"]), 1.0)
         grad = np.array(row["g"]).reshape(D + 1, cols) / cnt + lam * reg * point
         obj = np.array(row["l"]) / cnt + 0.5 * lam * (reg * point * point).sum(axis=0)
         history.append(float(obj.mean()))
         if g0 is None:
             g0 = np.maximum(np.sqrt((grad * grad).sum(axis=0)), 1e-300)
-            step_l = 1.0 / (curvature(loss, delta) * row["z"] + lam)   # 1/L: always a descent step
+            step_l = 1.0 / (curvature(loss, delta) * row["z"][0] + lam)   # 1/L: always a descent step
             steps = np.full(cols, step_l)
         accept = obj <= best_obj
         if last_W is not None:

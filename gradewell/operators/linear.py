@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.operators.treesum import partition_id, tree_sum
+from gradewell.operators.treesum import BLOCK_SCHEMA, block_sum, blocks, collect_blocks
 
 # --------------------------------------------------------------------------
 # One feature: closed form, fully inside Spark SQL expressions.
@@ -106,26 +106,27 @@ def _gram_partials(feature_col: str, fold_col: str, targets: Sequence[str], d: i
                 g[1] += xs.T @ ys
                 g[2] += (ys * ys).sum(axis=0)
                 g[3] += len(idx)
-        part = partition_id()
-        rows = [{fold_col: f, "xtx": g[0].ravel().tolist(), "xty": g[1].ravel().tolist(),
-                 "yty": g[2].tolist(), "n": g[3], "_part": part} for f, g in acc.items()]
-        yield pd.DataFrame(rows, columns=[fold_col, "xtx", "xty", "yty", "n", "_part"])
+        rows = [r for f, g in acc.items()
+                for r in blocks({"xtx": g[0], "xty": g[1], "yty": g[2], "n": [g[3]]}, {fold_col: f})]
+        yield pd.DataFrame(rows, columns=[fold_col, "_name", "_blk", "_v", "_part"])
 
     return fn
 
 
 def fold_gram(df: DataFrame, feature_col: str, targets: Sequence[str], d: int,
-              fold_col: str = "fold", fmap=None) -> DataFrame:
-    """Per-fold sufficient statistics ``(fold, xtx, xty, yty, n)`` (with intercept column).
+              fold_col: str = "fold", fmap=None) -> list[dict]:
+    """Per-fold sufficient statistics ``{fold, xtx, xty, yty, n}`` (with intercept column),
+    as driver-side rows (k of them; the solve happens on the driver).
 
-    Each partition emits one partial row per fold it holds (NumPy on Arrow
-    batches); the partials are summed as a two-level tree, so no single task
-    receives every partition's d x d partial.
+    Each partition emits its per-fold partials (NumPy on Arrow batches) as
+    fixed-size blocks; blocks are summed across partitions in parallel and
+    re-assembled, so no task holds more than a block per aggregation buffer.
     """
     parts = df.select(fold_col, feature_col, *targets).mapInPandas(
-        _gram_partials(feature_col, fold_col, targets, d, fmap),
-        f"{fold_col} int, xtx array<double>, xty array<double>, yty array<double>, n long, _part int")
-    return tree_sum(parts, [fold_col], ["xtx", "xty", "yty"], scalar_sums=["n"])
+        _gram_partials(feature_col, fold_col, targets, d, fmap), f"{fold_col} int, {BLOCK_SCHEMA}")
+    got = collect_blocks(block_sum(parts, [fold_col]), [fold_col])
+    return [{fold_col: int(k[0]), "xtx": v["xtx"], "xty": v["xty"], "yty": v["yty"], "n": int(v["n"][0])}
+            for k, v in sorted(got.items())]
 
 
 def solve_fold_ridge(gram_rows, d: int, n_targets: int, lam: float,

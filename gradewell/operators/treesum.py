@@ -1,9 +1,12 @@
-"""Two-level sums of per-partition partial arrays (a DataFrame tree aggregate).
+"""Block-wise sums of per-partition partial arrays (a DataFrame tree aggregate).
 
-Operators that reduce each input partition to one dense partial (Gram
-matrices, gradients) would otherwise hand every partial of a key to a single
-reduce task. Partials carry the id of the partition that produced them;
-they are first summed in ~sqrt(P) groups per key, then per key.
+Operators that reduce each input partition to dense partials (Gram
+matrices, gradients) emit them as fixed-size blocks ``(keys, name, block,
+values)``. Blocks are summed per (keys, name, block): the reduce is spread
+over as many tasks as there are blocks and each aggregation buffer holds one
+block, not a whole d x d matrix. With many partials the sum runs in two
+levels (groups of ~sqrt(P) partitions first). The driver, which consumes
+the totals, re-assembles the summed blocks in block order.
 """
 
 from __future__ import annotations
@@ -11,13 +14,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-SINGLE_LEVEL_MAX = 64   # partials per key that one reduce task sums directly
+BLOCK = 4096              # values per block
+SINGLE_LEVEL_MAX = 64     # partials per block that one reduce task sums directly
+BLOCK_SCHEMA = "_name string, _blk int, _v array<double>, _part int"
 
 
 def partition_id() -> int:
@@ -28,31 +33,52 @@ def partition_id() -> int:
     return ctx.partitionId() if ctx is not None else 0
 
 
-def tree_sum(parts: DataFrame, keys: Sequence[str], array_cols: Sequence[str],
-             scalar_sums: Sequence[str] = (), scalar_max: Sequence[str] = (),
-             n_partials: int | None = None, part_col: str = "_part") -> DataFrame:
-    """Sum ``array_cols`` (element-wise) and ``scalar_sums`` per ``keys``; take
-    the max of ``scalar_max``. ``parts`` must carry ``part_col``."""
+def blocks(arrays: dict[str, np.ndarray], keys: dict | None = None) -> list[dict]:
+    """Rows for one partial: every array cut into ``BLOCK``-sized pieces."""
+    part = partition_id()
+    rows = []
+    for name, arr in arrays.items():
+        flat = np.asarray(arr, dtype=np.float64).ravel()
+        for b in range(max(1, math.ceil(flat.size / BLOCK))):
+            rows.append({**(keys or {}), "_name": name, "_blk": b,
+                         "_v": flat[b * BLOCK:(b + 1) * BLOCK].tolist(), "_part": part})
+    return rows
+
+
+def block_sum(parts: DataFrame, keys: Sequence[str],
+              max_names: Sequence[str] = (), n_partials: int | None = None) -> DataFrame:
+    """Sum (or, for ``max_names``, take the element-wise max of) the block rows
+    per (keys, name, block); returns ``(keys…, _name, _blk, _v)``."""
     spark = parts.sparkSession
     # the number of partials is about the cluster's parallelism; asking the
     # plan for its partition count could execute adaptive stages early
     p = n_partials or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fan = max(1, int(math.ceil(math.sqrt(p))))
-
-    def aggs(src_vec: bool):
-        out = []
-        for c in array_cols:
-            v = F.col(c) if src_vec else array_to_vector(c)
-            out.append(Summarizer.sum(v).alias(c))
-        out += [F.sum(c).alias(c) for c in scalar_sums]
-        out += [F.max(c).alias(c) for c in scalar_max]
-        return out
-
-    if p <= SINGLE_LEVEL_MAX:        # few partials: one reduce level is cheaper
-        level2 = parts.groupBy(*keys).agg(*aggs(False))
+    is_max = F.col("_name").isin(list(max_names)) if max_names else F.lit(False)
+
+    def agg(src):
+        v = src if src is not None else array_to_vector("_v")
+        return [Summarizer.sum(v).alias("_s"), Summarizer.max(v).alias("_m")]
+
+    grp = [*keys, "_name", "_blk"]
+    if p <= SINGLE_LEVEL_MAX:
+        summed = parts.groupBy(*grp).agg(*agg(None))
     else:
-        level1 = parts.groupBy(*keys, F.pmod(F.col(part_col), F.lit(fan)).alias("_grp")).agg(*aggs(False))
-        level2 = level1.groupBy(*keys).agg(*aggs(True))
-    return level2.select(*keys, *[vector_to_array(c).alias(c) for c in array_cols],
-                         *scalar_sums, *scalar_max)
+        fan = max(1, int(math.ceil(math.sqrt(p))))
+        lvl1 = parts.groupBy(*grp, F.pmod(F.col("_part"), F.lit(fan)).alias("_g")).agg(*agg(None))
+        summed = lvl1.groupBy(*grp).agg(
+            Summarizer.sum(F.when(is_max, F.col("_m")).otherwise(F.col("_s"))).alias("_s"),
+            Summarizer.max(F.col("_m")).alias("_m"))
+    vals = F.when(is_max, vector_to_array("_m")).otherwise(vector_to_array("_s"))
+    return summed.select(*grp, vals.alias("_v"))
+
+
+def collect_blocks(summed: DataFrame, keys: Sequence[str]) -> dict[tuple, dict[str, np.ndarray]]:
+    """Bring summed blocks to the driver (the consumer there needs the whole
+    matrices anyway) and re-assemble ``{key tuple: {name: flat array}}``."""
+    pieces: dict[tuple, dict[str, list]] = {}
+    for r in summed.collect():
+        k = tuple(r[c] for c in keys)
+        pieces.setdefault(k, {}).setdefault(r["_name"], []).append((r["_blk"], r["_v"]))
+    return {k: {n: np.concatenate([np.asarray(v, dtype=np.float64) for _, v in sorted(bl)])
+                for n, bl in by_name.items()} for k, by_name in pieces.items()}

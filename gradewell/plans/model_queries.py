@@ -58,7 +58,7 @@ def ridge_kfold_embeddings(spark, sf):
     """64-feature ridge for every (fold, target): per-fold Gram matrices from one
     pass, solved on the driver; out-of-fold RMSE per cell."""
     ef = _emb_folds(spark, sf).cache()
-    gram = linear.fold_gram(ef, "x", EMB_T, d=64).collect()       # k rows of d x d
+    gram = linear.fold_gram(ef, "x", EMB_T, d=64)                 # k rows of d x d
     weights = linear.solve_fold_ridge(gram, 64, len(EMB_T), lam=RIDGE_LAMBDA)
     coef = linear.coef_table(spark, weights, EMB_T)
     long = linear.predict_linear(ef.select("vec_id", "fold", "x", *EMB_T), coef, "x") \
@@ -201,7 +201,7 @@ def feature_group_runner(spark, sf):
         feats = features.hconcat(blocks.where(F.col("block").isin(ids)), "vec_id", n_blocks=len(ids))
         ef = feats.join(labels, "vec_id").withColumnRenamed("vec", "x").cache()
         d = 16 * len(ids)
-        gram = linear.fold_gram(ef, "x", EMB_T, d=d).collect()
+        gram = linear.fold_gram(ef, "x", EMB_T, d=d)
         coef = linear.coef_table(spark, linear.solve_fold_ridge(gram, d, len(EMB_T), RIDGE_LAMBDA), EMB_T)
         long = linear.predict_linear(ef, coef, "x").select(
             "vec_id", "fold", "target",

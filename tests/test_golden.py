@@ -161,3 +161,44 @@ def test_batch_softmax_depends_on_batch_mates(spark):
     one = {r.doc_id: r.vec for r in pooling.batch_softmax_head(st, [0, 1], 1, a, 0.0, b, np.zeros(1)).collect()}
     two = {r.doc_id: r.vec for r in pooling.batch_softmax_head(st, [0, 1], 2, a, 0.0, b, np.zeros(1)).collect()}
     assert one[0] != pytest.approx(two[0])
+
+
+def test_golden_sequences(spark):
+    from gradewell.operators import sequences as sq
+
+    docs = spark.createDataFrame([(1, "b a b, c"), (2, "a"), (3, "")], "doc_id long, text string")
+    rows = sq.token_rows(docs)
+    vocab = {r.token: (r.cnt, r.token_id) for r in sq.build_vocab(rows).collect()}
+    # counts: b 2, a 2, ',' 1, c 1 -> order (count desc, token): a, b, ',', c
+    assert vocab == {"a": (2, 4), "b": (2, 5), ",": (1, 6), "c": (1, 7)}
+    lens = {r.doc_id: (r.n_tokens, r.token_length) for r in sq.lengths(docs).collect()}
+    assert lens == {1: (5, 7), 2: (1, 3), 3: (0, 2)}
+    ids = sq.attach_ids(rows, sq.build_vocab(rows))
+    seq = sq.truncate_pad_long(ids, sq.lengths(docs), max_len=5).orderBy("doc_id", "pos").collect()
+    by_doc = {}
+    for r in seq:
+        by_doc.setdefault(r.doc_id, []).append((r.input_id, r.attention_mask))
+    assert by_doc[1] == [(1, 1), (5, 1), (4, 1), (5, 1), (2, 1)]          # CLS b a b SEP (truncated)
+    assert by_doc[2] == [(1, 1), (4, 1), (2, 1), (0, 0), (0, 0)]          # CLS a SEP PAD PAD
+    assert by_doc[3] == [(1, 1), (2, 1), (0, 0), (0, 0), (0, 0)]
+    arr = sq.truncate_pad_arrays(spark.createDataFrame([([7, 8, 9, 10],)], "ids array<int>"), 4).first()
+    assert arr.input_ids == [1, 7, 8, 2] and arr.attention_mask == [1, 1, 1, 1]
+
+
+def test_golden_length_batches_and_padding(spark):
+    from gradewell.operators import sequences as sq
+
+    lens = spark.createDataFrame([(i, l) for i, l in enumerate([5, 3, 9, 3, 7])], "doc_id long, token_length int")
+    b = {r.doc_id: (r.rank, r.batch_id) for r in sq.length_batches(lens, 2).collect()}
+    # order by (length, id): 1(3) 3(3) 0(5) 4(7) 2(9)
+    assert b == {1: (1, 0), 3: (2, 0), 0: (3, 1), 4: (4, 1), 2: (5, 2)}
+    p = {r.doc_id: r.padded_length for r in sq.pad_to_longest(sq.length_batches(lens, 2), 8).collect()}
+    assert p == {1: 3, 3: 3, 0: 7, 4: 7, 2: 8}
+
+
+def test_gbt_best_prefix_rule():
+    from gradewell.operators.trees import best_prefix
+
+    assert best_prefix([5, 4, 4, 3.5, 3.6, 3.7, 3.8], patience=3) == (3, 6)
+    assert best_prefix([5, 4, 4, 4, 4], patience=2) == (1, 3)      # tie keeps the earliest
+    assert best_prefix([3, 2, 1], patience=5) == (2, 2)

@@ -70,7 +70,7 @@ def test_gram_ridge_equals_numpy(spark):
     emb = tables.table(spark, SF_SMALL, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
     ef = folds.assign_folds(emb, "vec_id", 4, 1).cache()
-    gram = linear.fold_gram(ef, "x", ["y"], d=64).collect()
+    gram = linear.fold_gram(ef, "x", ["y"], d=64)
     W = linear.solve_fold_ridge(gram, 64, 1, lam=0.5)
     pdf = ef.toPandas()
     X = np.stack(pdf.x.to_numpy())
@@ -194,12 +194,42 @@ def test_pooling_selector(spark):
         pooling.pool(st, "nope", 0)
 
 
-def test_tree_sum_levels_agree(spark):
+def test_block_sum_levels_agree(spark):
     from gradewell.operators import treesum
 
-    rows = [(k, p, [float(p), float(k)], 1) for k in range(3) for p in range(200)]
-    parts = spark.createDataFrame(rows, "k int, _part int, a array<double>, n int")
-    one = {r.k: (r.a, r.n) for r in treesum.tree_sum(parts, ["k"], ["a"], ["n"], n_partials=8).collect()}
-    two = {r.k: (r.a, r.n) for r in treesum.tree_sum(parts, ["k"], ["a"], ["n"], n_partials=10_000).collect()}
-    assert one == two
-    assert one[2] == ([float(sum(range(200))), 400.0], 200)
+    rows = []
+    for k in range(3):
+        for p in range(200):
+            arr = np.full(treesum.BLOCK + 10, float(p))     # two blocks per partial
+            for r in treesum.blocks({"a": arr, "m": [float(p + k)]}, {"k": k}):
+                r["_part"] = p
+                rows.append(r)
+    parts = spark.createDataFrame(rows, "k int, _name string, _blk int, _v array<double>, _part int")
+    one = treesum.collect_blocks(treesum.block_sum(parts, ["k"], ["m"], n_partials=8), ["k"])
+    two = treesum.collect_blocks(treesum.block_sum(parts, ["k"], ["m"], n_partials=10_000), ["k"])
+    for k in range(3):
+        assert np.array_equal(one[(k,)]["a"], two[(k,)]["a"])
+        assert np.array_equal(one[(k,)]["m"], two[(k,)]["m"])
+    assert one[(2,)]["a"].tolist() == [float(sum(range(200)))] * (treesum.BLOCK + 10)
+    assert one[(2,)]["m"].tolist() == [201.0]
+
+
+def test_rff_ridge_close_to_exact_kernel_ridge(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(160, 3))
+    y = np.sin(X[:, 0]) + 0.5 * X[:, 1] ** 2
+    gamma, lam = 0.5, 1e-2
+    df = spark.createDataFrame([(i, 0 if i < 40 else 1, X[i].tolist(), float(y[i])) for i in range(160)],
+                               "id long, fold int, x array<double>, y double")
+    fmap = gradient.FourierFeatures.draw(3, 1000, gamma, seed=9)
+    gram = linear.fold_gram(df, "x", ["y"], d=1000, fmap=fmap)
+    W = linear.solve_fold_ridge(gram, 1000, 1, lam)[0]          # trained on fold 1, predicts fold 0
+    Ztest = np.hstack([np.ones((40, 1)), fmap(X[:40])])
+    rff_pred = (Ztest @ W)[:, 0]
+    tr = X[40:]
+    K = np.exp(-gamma * ((tr[:, None] - tr[None]) ** 2).sum(-1))
+    ymean = y[40:].mean()
+    alpha = np.linalg.solve(K + lam * np.eye(120), y[40:] - ymean)
+    Ks = np.exp(-gamma * ((X[:40, None] - tr[None]) ** 2).sum(-1))
+    exact = Ks @ alpha + ymean
+    assert np.sqrt(np.mean((rff_pred - exact) ** 2)) < 0.15
