@@ -82,13 +82,12 @@ def early_stop(stepped: DataFrame, patience: int, run: str = "run") -> DataFrame
     Rows ``(run, stopped, end_step, best_step, best_val)``; ``end_step`` is the
     stopping step, or the last step when ``stopped`` is false.
     """
-    prev = bucketed_running(stepped, [run], ["step"], "bucket",
-                            {"_prev_min": ("min", "val")}, inclusive=False)
-    flagged = prev.withColumn(
-        "_imp_step", F.when(F.col("_prev_min").isNull() | (F.col("val") < F.col("_prev_min")),
-                            F.col("step")))
-    best = bucketed_running(flagged, [run], ["step"], "bucket",
-                            {"best_step": ("max", "_imp_step"), "best_val": ("min", "val")})
+    # running min of (val, step): the best value so far and, among equal
+    # values, its earliest step -- i.e. the last strict improvement
+    running = bucketed_running(stepped, [run], ["step"], "bucket",
+                               {"_best": ("min", F.struct("val", "step"))})
+    best = running.withColumn("best_step", F.col("_best.step")) \
+        .withColumn("best_val", F.col("_best.val"))
     cond = F.col("step") - F.col("best_step") >= F.lit(patience)
     ends = best.groupBy(run).agg(F.min(F.when(cond, F.col("step"))).alias("stop_step"),
                                  F.max("step").alias("_last"))

@@ -59,7 +59,7 @@ def global_row_index(df: DataFrame, order: Sequence, strata: Sequence[str] = (),
 
 
 def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str,
-                     aggs: dict[str, tuple[str, str]], inclusive: bool = True) -> DataFrame:
+                     aggs: dict[str, tuple], inclusive: bool = True) -> DataFrame:
     """Running aggregates per ``keys`` in ``order`` without a one-task window per key.
 
     ``bucket`` is a coarse, order-compatible column (e.g. an hour of a
@@ -67,7 +67,8 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], b
     aggregates per (keys, bucket) map-side; step 2 takes exclusive prefix
     aggregates over that small table; step 3 windows only inside each
     (keys, bucket) and combines with the prefix. ``aggs`` maps an output name to
-    (function, input column) with function in sum/min/max.
+    (function, input column or expression) with function in sum/min/max;
+    min/max also work on structs (e.g. the running argmin as min(struct(v, k))).
     """
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
     # least/greatest skip NULLs, so an empty prefix or empty local frame is neutral.
