@@ -16,14 +16,17 @@ from gradewell.operators.rowindex import bucketed_running, global_row_index
 ORDER = ("ts", "event_id")
 
 
-def with_steps(log: DataFrame, run: str = "run") -> DataFrame:
-    """Add 0-based ``step`` (order: ts, event_id), the run length ``n_steps`` and
-    an hour ``bucket`` (order-compatible with the steps)."""
+def with_steps(log: DataFrame, run: str = "run", sizes: bool = True) -> DataFrame:
+    """Add 0-based ``step`` (order: ts, event_id), an hour ``bucket``
+    (order-compatible with the steps) and, with ``sizes``, the run length
+    ``n_steps`` (one aggregation joined back by run)."""
     numbered = global_row_index(log, list(ORDER), strata=[run],
                                 bucket=F.date_trunc("hour", F.col("ts")), name="_rn")
-    sizes = log.groupBy(run).agg(F.count(F.lit(1)).alias("n_steps"))
-    return numbered.join(sizes, run).withColumn("step", F.col("_rn") - 1).drop("_rn") \
+    out = numbered.withColumn("step", F.col("_rn") - 1).drop("_rn") \
         .withColumn("bucket", F.date_trunc("hour", F.col("ts")))
+    if sizes:
+        out = out.join(log.groupBy(run).agg(F.count(F.lit(1)).alias("n_steps")), run)
+    return out
 
 
 def running_meter(log: DataFrame, run: str = "run") -> DataFrame:
@@ -89,11 +92,16 @@ def early_stop(stepped: DataFrame, patience: int, run: str = "run") -> DataFrame
     best = running.withColumn("best_step", F.col("_best.step")) \
         .withColumn("best_val", F.col("_best.val"))
     cond = F.col("step") - F.col("best_step") >= F.lit(patience)
-    ends = best.groupBy(run).agg(F.min(F.when(cond, F.col("step"))).alias("stop_step"),
-                                 F.max("step").alias("_last"))
-    at = best.join(ends, run).where(F.col("step") == F.coalesce("stop_step", "_last"))
-    return at.select(run, F.col("stop_step").isNotNull().alias("stopped"),
-                     F.col("step").alias("end_step"), "best_step", "best_val")
+    state = F.struct("step", "best_step", "best_val")
+    # one aggregation per run: the state at the first stopping step (min_by
+    # skips rows whose ordering value is NULL) or, failing that, at the last step
+    ends = best.groupBy(run).agg(
+        F.min_by(state, F.when(cond, F.col("step"))).alias("_stop"),
+        F.max_by(state, F.col("step")).alias("_last"))
+    at = F.coalesce("_stop", "_last")
+    return ends.select(run, F.col("_stop").isNotNull().alias("stopped"),
+                       at["step"].alias("end_step"), at["best_step"].alias("best_step"),
+                       at["best_val"].alias("best_val"))
 
 
 def report_rows(stepped: DataFrame, every: int) -> DataFrame:

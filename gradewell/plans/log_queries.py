@@ -73,10 +73,14 @@ WITH c AS (SELECT * FROM ({SQL_STEPS}) WHERE step % {CHECK_EVERY} = 0),
                   count(*) OVER (PARTITION BY run) AS n_checks FROM c)
 SELECT run AS user_id, step AS best_step, val AS best_val, n_checks FROM b WHERE r = 1""")
 def best_iteration(spark, sf):
-    b = logs.best_checked(_steps(spark, sf), CHECK_EVERY)
+    b = logs.best_checked(_steps_only(spark, sf), CHECK_EVERY)
     return b.select(F.col("run").alias("user_id"), "best_step", "best_val", "n_checks")
 
 
+def _steps_only(spark, sf):
+    return logs.with_steps(_log(spark, sf), sizes=False)
+
+
 @query("early_stop", "E7 E5", sql=f"""
 WITH s AS ({SQL_STEPS}),
      p AS (SELECT *, min(val) OVER (PARTITION BY run ORDER BY step
@@ -90,7 +94,7 @@ WITH s AS ({SQL_STEPS}),
 SELECT q.run AS user_id, e.stop_step IS NOT NULL AS stopped, q.step AS end_step, q.best_step, q.best_val
 FROM q JOIN e ON q.run = e.run AND q.step = coalesce(e.stop_step, e.last_step)""")
 def early_stop(spark, sf):
-    e = logs.early_stop(_steps(spark, sf), PATIENCE)
+    e = logs.early_stop(_steps_only(spark, sf), PATIENCE)
     return e.select(F.col("run").alias("user_id"), "stopped", "end_step", "best_step", "best_val")
 
 
