@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +119,11 @@ def contained_pairs(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id:
     long_p = pats.where(F.length("_p") >= MIN_LEN)
     pat_mins = long_p.select(pat_id, "_p").mapInPandas(
         _explode_minimizers(pat_id, "_p"), f"{pat_id} long, h long")
+    # read twice (frequencies, then candidates): persisted so the Python
+    # hashing runs once; ~16 bytes per minimizer, about one per 9 characters
     doc_mins = docs.select(text_id, "_t").mapInPandas(
-        _explode_minimizers(text_id, "_t"), f"{text_id} long, h long")
+        _explode_minimizers(text_id, "_t"), f"{text_id} long, h long") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     wanted = pat_mins.select("h").distinct()
     dfreq = doc_mins.join(wanted, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = pat_mins.join(dfreq, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
