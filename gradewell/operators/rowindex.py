@@ -87,3 +87,24 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], b
     cols = [comb[f](F.col(f"_bp_{out}"), fn[f](c).over(inner)).alias(out)
             for out, (f, c) in aggs.items()]
     return joined.select(*df.columns, *cols)
+
+
+def ordered_row_index(df: DataFrame, lead: str, rest: Sequence, bucket: Column,
+                      descending: bool = False, name: str = "rn") -> DataFrame:
+    """``row_number() over (order by lead [desc], rest…)`` for a whole table.
+
+    Two levels, so no window sees more than one lead value's buckets: rows are
+    numbered inside each lead value (the lead is the stratum, ``bucket`` splits
+    a hot value), and each lead value's offset is a prefix sum over the table
+    of distinct lead values (e.g. token lengths or frequencies), which is far
+    smaller than the data.
+    """
+    inner = global_row_index(df, rest, strata=[lead], bucket=bucket, name="_or_in")
+    order = F.col(lead).desc() if descending else F.col(lead).asc()
+    per_lead = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_or_n"))
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_lead.select(F.col(lead).alias("_or_lead"),
+                              F.coalesce(F.sum("_or_n").over(before), F.lit(0)).alias("_or_off"))
+    joined = inner.join(offsets, inner[lead].eqNullSafe(offsets["_or_lead"]), "inner")
+    return joined.withColumn(name, (F.col("_or_off") + F.col("_or_in")).cast("long")) \
+        .drop("_or_in", "_or_lead", "_or_off")

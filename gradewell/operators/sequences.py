@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.operators.parallel import spread
-from gradewell.operators.rowindex import global_row_index
+from gradewell.operators.rowindex import global_row_index, ordered_row_index
 
 # FIXED VALUES: special token ids and the token pattern (words or one symbol)
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
@@ -35,16 +35,17 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def build_vocab(tok_rows: DataFrame) -> DataFrame:
     """``(token, cnt, token_id)``; ids from N_SPECIAL by (count desc, token).
 
-    The numbering bucket is (-count, first two characters): order-compatible
-    with (count desc, token) and it splits the huge low-count tail. The
+    Numbered per count value (the stratum), split by the first two
+    characters of the token (order-compatible with the token order), then
+    offset by the prefix sum over distinct counts; the huge low-count tail is
+    spread over many windows. The
     distinct-token counts are persisted (they are read twice by the row index
     and are far smaller than the token occurrences they summarise).
     """
     counts = tok_rows.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    bucket = F.struct((-F.col("cnt")).alias("c"), F.substring("token", 1, 2).alias("p"))
-    ranked = global_row_index(counts, [F.col("cnt").desc(), F.col("token").asc()],
-                              bucket=bucket, name="_rank")
+    ranked = ordered_row_index(counts, "cnt", [F.col("token").asc()],
+                               bucket=F.substring("token", 1, 2), descending=True, name="_rank")
     return ranked.select("token", "cnt", (F.col("_rank") + F.lit(N_SPECIAL - 1)).alias("token_id"))
 
 
@@ -111,11 +112,11 @@ def length_batches(lens: DataFrame, batch_size: int, order_col: str = "token_len
                    id_col: str = "doc_id", name: str = "batch_id") -> DataFrame:
     """Sort by ``order_col`` then id, number rows, batch = (rank-1) div size.
 
-    Bucket = (order value, id block): order-compatible and splits a length
-    shared by many documents.
+    Numbered per length value (split into id blocks for a length shared by
+    many documents), then offset by the prefix sum over distinct lengths.
     """
-    bucket = F.struct(F.col(order_col).alias("l"), F.floor(F.col(id_col) / F.lit(65536)).alias("b"))
-    ranked = global_row_index(lens, [order_col, id_col], bucket=bucket, name="rank")
+    ranked = ordered_row_index(lens, order_col, [id_col],
+                               bucket=F.floor(F.col(id_col) / F.lit(65536)), name="rank")
     return ranked.withColumn(name, F.floor((F.col("rank") - 1) / F.lit(batch_size)).cast("long"))
 
 

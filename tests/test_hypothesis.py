@@ -38,3 +38,15 @@ def test_bucketed_running_any_bucket_width(spark, rows, width, inclusive):
                     F.min("v").over(w).alias("mn"), F.max("v").over(w).alias("mx"))
     assert sorted(map(tuple, got.select("id", "sm", "mn", "mx").collect())) == \
         sorted(map(tuple, ref.collect()))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=ROWS, width=st.integers(1, 15), desc=st.booleans())
+def test_ordered_row_index(spark, rows, width, desc):
+    data = [(i, s, o, v) for i, (s, o, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, s int, o int, v int")
+    got = rowindex.ordered_row_index(df, "o", ["id"], bucket=F.floor(F.col("id") / width), descending=desc)
+    lead = F.col("o").desc() if desc else F.col("o").asc()
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(lead, F.col("id"))))
+    assert sorted(map(tuple, got.select("id", "rn").collect())) == \
+        sorted(map(tuple, ref.select("id", "rn").collect()))
