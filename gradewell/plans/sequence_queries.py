@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from gradewell.operators import sequences as sq
@@ -27,7 +28,10 @@ def _docs(spark, sf):
 
 
 def _lens(spark, sf):
-    return sq.lengths(_docs(spark, sf))
+    """Token lengths (a few numbers per document), persisted: the length
+    batches and padding reports read them several times and each read would
+    otherwise re-run the tokeniser over every text."""
+    return sq.lengths(_docs(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query("token_vocab", "H1", sql=SQL_VOCAB)
