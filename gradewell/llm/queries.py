@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bottomk, chat, decontam, line_dedup, packing, pairwise, rules, tokens, wavelet
+from gradewell.llm import bottomk, chat, decontam, line_dedup, packing, pairwise, pii, rules, tokens, wavelet
 from gradewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ FROM d JOIN least_id USING (r) LEFT JOIN sz USING (r)"""
 @query("op6_bottomk_near_dedup", NEAR_SQL)
 def op6_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op4_lstm_crf_pii")
+def op4_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
