@@ -48,6 +48,11 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text",
             yield batch.slice(start)
 
 
+def plain_texts(batch: pa.RecordBatch, column: str) -> list[str]:
+    """The texts of a batch; a null one is empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
 _SPACED = re.compile(r" +[^ ]*|[^ ]+")
 
 

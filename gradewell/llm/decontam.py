@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import by_bytes, id_and_text
+from gradewell.llm.common import by_bytes, id_and_text, plain_texts
 
 SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, "
           "contaminated boolean, longest_match long, hit_spans array<struct<first:long,end:long>>")
@@ -175,6 +175,28 @@ def test_blocks(spark, items: DataFrame, window: int, block_bytes: int, id_col:
     return out
 
 
+def searcher(blocks: list, window: int):
+    """A function that gives, for each text of a shard, its number of words, a flag
+    for each word that is hit, the items found and the longest match."""
+    kept = TestBlock(blocks[0].value, window) if len(blocks) == 1 else None
+
+    def search(shard: list[str]) -> list[tuple[int, np.ndarray, set, int]]:
+        texts = [words_of(t) for t in shard]
+        hit = longest = starts = None
+        names: list[set] = [set() for _ in texts]
+        for b in blocks:
+            block = kept or TestBlock(b.value, window)
+            starts, marks, pairs, far = find(texts, block)
+            hit = marks if hit is None else hit | marks
+            longest = far if longest is None else np.maximum(longest, far)
+            for d, w in pairs:
+                names[d].update(block.items[o] for o in block.owners[w])
+        return [(len(words), hit[s:s + len(words)], names[i], int(longest[i]))
+                for i, (s, words) in enumerate(zip(starts, texts))]
+
+    return search
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                   shard_bytes: int = 6 << 20, block_bytes: int = 16 << 20) -> DataFrame:
@@ -189,25 +211,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     blocks = test_blocks(docs.sparkSession, items, window, block_bytes, item_id, item_text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = TestBlock(blocks[0].value, window) if len(blocks) == 1 else None
+        search = searcher(blocks, window)
         for batch in by_bytes(batches, limit=shard_bytes):
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            hit = names = longest = None
-            for b in blocks:
-                block = kept or TestBlock(b.value, window)
-                starts, marks, pairs, far = find(texts, block)
-                if hit is None:
-                    hit, names, longest = marks, [set() for _ in texts], far
-                else:
-                    hit, longest = hit | marks, np.maximum(longest, far)
-                for d, w in pairs:
-                    names[d].update(block.items[o] for o in block.owners[w])
             rows = []
-            for i, (s, words) in enumerate(zip(starts, texts)):
-                n_hit = int(np.count_nonzero(hit[s:s + len(words)]))
-                ids = ",".join(sorted(names[i]))
-                rows.append((len(words), n_hit, len(names[i]), hashlib.sha256(ids.encode()).hexdigest(),
-                             n_hit > 0, int(longest[i]), runs(hit[s:s + len(words)]) if n_hit else []))
+            for n_words, hit, names, far in search(batch.column("text").to_pylist()):
+                n_hit = int(np.count_nonzero(hit))
+                ids = ",".join(sorted(names))
+                rows.append((n_words, n_hit, len(names), hashlib.sha256(ids.encode()).hexdigest(),
+                             n_hit > 0, far, runs(hit) if n_hit else []))
             span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), span)
             yield pa.RecordBatch.from_arrays(
@@ -215,3 +226,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
                 [c.split()[0] for c in SCHEMA.split(", ")])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, SCHEMA)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text",
+                    item_id: str = "item_id", item_text: str = "text", shard_bytes: int = 6 << 20,
+                    block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows without a hit word, with all their columns, in one pass over the
+    table; hits as in ``contamination``."""
+    blocks = test_blocks(docs.sparkSession, items, window, block_bytes, item_id, item_text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = searcher(blocks, window)
+        for batch in by_bytes(batches, text_col, shard_bytes):
+            yield batch.filter(pa.array([not hit.any() for _, hit, _, _ in search(plain_texts(batch, text_col))],
+                                        pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)

@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gradewell.llm import textstats
-from gradewell.llm.common import by_bytes, id_and_text, staged
+from gradewell.llm.common import by_bytes, id_and_text, plain_texts
 from gradewell.llm.rules import labelled_sample
 
 #: Transformed statistics: small shares matter most near zero, so roots are used as well.
@@ -43,22 +44,28 @@ class Ranker:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def own(name: str) -> str:
+    """The name under which a statistic stands beside a table's own columns."""
+    return f"__stat_{name}"
+
+
 def feature_columns() -> list[Column]:
-    return [F.col(c) if not c.startswith("root_") else F.sqrt(F.col(c[5:])) for c in FEATURES]
+    return [F.col(own(c)) if not c.startswith("root_") else F.sqrt(F.col(own(c[5:]))) for c in FEATURES]
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """The table with its texts' statistics as further columns, in one pass."""
     names = textstats.JUDGED
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
-            rows = [textstats.counts(t, textstats.words_of(t)) for t in batch.column("text").to_pylist()]
+        for batch in by_bytes(batches, text_col):
+            rows = [textstats.counts(t, textstats.words_of(t)) for t in plain_texts(batch, text_col)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([r[n] for r in rows], pa.float64()) for n in names)],
-                ["doc_id", *names])
+                [*batch.columns, *(pa.array([r[n] for r in rows], pa.float64()) for n in names)],
+                [*batch.schema.names, *map(own, names)])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(
-        measure, "doc_id long, " + ", ".join(f"{c} double" for c in names))
+    schema = StructType(docs.schema.fields + [StructField(own(n), DoubleType()) for n in names])
+    return docs.mapInArrow(measure, schema)
 
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 50_000, ridge: float = 1e-3, seed: int = 11,
@@ -92,6 +99,24 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 50_000, ridge: float
     return Ranker(tuple((w / scale).tolist()), float(threshold), float(3.0 / spread), level)
 
 
+def held_out(doc_id: Column, folds: int) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int,
+          level: float, sample: int) -> Ranker:
+    """Fit on at most ``sample`` labelled documents that are not held out."""
+    open_labels = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col))
+                   .where(~held_out(F.col("doc_id"), folds)))
+    some = labelled_sample(open_labels, "doc_id", label_col, sample)          # bounded by ``sample``
+    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id")
+    rows = (with_statistics(texts, "text")
+            .select("doc_id", "label", *[c.alias(n) for c, n in zip(feature_columns(), FEATURES)])
+            .dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id"))
+    x = np.column_stack([rows[n].to_numpy() for n in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
+    return fit_pairs(x, rows["label"].to_numpy() == 1, level=level)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "quality", folds: int = 5, level: float = 0.3,
                    sample: int = 20_000) -> DataFrame:
@@ -101,17 +126,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     their labels are never learned from. At most ``sample`` of the other labelled
     documents are used. Null and empty texts have all statistics 0 and are scored
     like any other; a null id is not held out and never labelled; repeated rows
-    each come back; without labels of both kinds every score is alike; an empty
-    table gives an empty result; other columns are not read.
+    each come back, and count once in learning; without labels of both kinds every
+    score is alike; an empty table gives an empty result; other columns are not read.
     """
-    stats = staged(statistics(docs, id_col, text_col), "rankstats")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-    open_labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col)).where(~held)
-    some = labelled_sample(open_labels, "doc_id", label_col, sample)
-    rows = (stats.dropDuplicates(["doc_id"]).join(F.broadcast(some), "doc_id")
-            .select("doc_id", "label", *[c.alias(n) for c, n in zip(feature_columns(), FEATURES)])
-            .toArrow().sort_by("doc_id"))
-    x = np.column_stack([rows[n].to_numpy() for n in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
-    ranker = fit_pairs(x, rows["label"].to_numpy() == 1, level=level)
-    scored = stats.select("doc_id", held.alias("held_out"), ranker.score(feature_columns()).alias("score"))
+    ranker = learn(docs, labels, id_col, text_col, label_col, folds, level, sample)
+    scored = (with_statistics(id_and_text(docs, id_col, text_col), "text")
+              .select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"),
+                      ranker.score(feature_columns()).alias("score")))
     return scored.withColumn("predicted", (F.col("score") >= F.lit(level)).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "quality", folds: int = 5, level: float = 0.3,
+                   sample: int = 20_000) -> DataFrame:
+    """The rows scored at the decision level or above, with all their columns, in
+    one pass without a shuffle of texts. Scores as in ``quality_scores``."""
+    ranker = learn(docs, labels, id_col, text_col, label_col, folds, level, sample)
+    return (with_statistics(docs, text_col).where(ranker.score(feature_columns()) >= F.lit(level))
+            .select(docs.columns))
