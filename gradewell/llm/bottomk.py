@@ -8,6 +8,12 @@ lists. Candidates are filtered by the similarity estimated on the least ``k``
 values of both sketches together, and confirmed by the exact similarity of the
 full sets.
 
+Texts that share much, though not enough, keep long lists alive. For the texts in
+such lists the sketch is deepened to the whole set: two sets with the wanted
+similarity share one of the first few of their rarest values (a fifth of the
+larger set's, a ninth of the smaller's), while texts that differ more begin with
+values of their own, and their lists fall apart.
+
 With k = 40 a pair at similarity 0.8 shares 32 of 40 values on average; fewer
 than ``keep`` = 15 happens less than once in ten million pairs, and for sets of
 at most k shingles the sketch is the set and nothing is left to chance.
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import Remembered, bitmap, by_bytes, id_and_text, in_bitmap, once, staged
+from gradewell.llm.common import bitmap, by_bytes, id_and_text, in_bitmap, staged
 from gradewell.llm.links import linked_classes
 
 # A-Z are lowered, all else stays; words end at ASCII white space.
@@ -30,21 +36,16 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
 
 
-def _word_hashes():
-    import xxhash
-
-    return Remembered(xxhash.xxh3_64_intdigest, 400_000)
-
-
 def shingle_set(text: str, size: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles of ``size`` words; of fewer
     words, the hash of the whole sequence; of none, nothing."""
-    known = once("word hashes", _word_hashes)
+    from xxhash import xxh3_64_intdigest
+
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
     n = min(size, len(words))
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     x = np.full(len(words) - n + 1, n, np.uint64)
     for j in range(n):
         odd = np.uint64(_ODD[j % 4] + 2 * (j // 4))
@@ -98,7 +99,8 @@ def full_sets(docs: DataFrame, size: int, wanted: bytes) -> DataFrame:
 
 def inverted_lists(classes: DataFrame, k: int, keep: int) -> DataFrame:
     """List entries of the rarest sketch values of each class that other classes
-    have as well: ``(key, node, indexed, trait)``, the trait being the set's size."""
+    have as well: ``(key, node, indexed, trait)``. The trait holds the set's size and
+    how many of its values surely come before the key in the order of rareness."""
     values = classes.select("node", "n_shingles", F.explode("sketch").alias("key"))
     shared = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     held = F.least(F.col("n_shingles"), F.lit(k))
@@ -109,7 +111,26 @@ def inverted_lists(classes: DataFrame, k: int, keep: int) -> DataFrame:
     prefix = F.greatest(F.lit(0), held - need + 1 - (held - F.size("common")))
     return (common.select("node", "n_shingles", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("e"))
             .select(F.col("e.key").alias("key"), "node", F.lit(True).alias("indexed"),
-                    F.col("n_shingles").alias("trait")))
+                    F.struct(F.col("n_shingles").alias("n"), F.lit(0).alias("before")).alias("trait")))
+
+
+def deep_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """List entries of whole sets ``(node, values)``. A set is indexed under so many
+    of its rarest values that a larger set with the wanted similarity shares one
+    of them, and looks up so many that a smaller one does."""
+    size = F.size("values")
+    values = sets.select("node", size.alias("n"), F.explode("values").alias("key"))
+    shared = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    common = (values.join(shared, "key").groupBy("node", "n")
+              .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("common")))
+    alone = F.col("n") - F.size("common")           # values of its own come first
+    looks = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    holds = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - alone
+    return (common.select("node", "n", F.size("common").alias("shared"), holds.alias("holds"), F.posexplode(
+                F.slice("common", F.lit(1), F.greatest(looks, F.lit(0)).cast("int"))).alias("place", "e"))
+            .select(F.col("e.key").alias("key"), "node", (F.col("place") < F.col("holds")).alias("indexed"),
+                    F.struct(F.col("n").cast("long").alias("n"),
+                             (F.col("n") - F.col("shared") + F.col("place")).alias("before")).alias("trait")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -133,7 +154,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = staged(inverted_lists(classes, k, keep), "entries")
 
     def compatible(x, y):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+        # sizes, and what can be common from the first common value on, must allow the similarity
+        sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+        rest = F.least(x["n"] - x["before"], y["n"] - y["before"])
+        return sizes & (rest * (100 + percent) >= (x["n"] + y["n"]) * percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs
@@ -144,12 +168,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = staged(near.where(both * k >= F.lit(keep) * F.size(union)).select("a", "b"), "candidates")
         return exact(near)
 
-    def exact(near: DataFrame) -> DataFrame:
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        wanted = staged(classes.select("node", "ha", "hb", "least").join(ends, "node"), "wanted")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = staged(classes.select("node", "ha", "hb", "least").join(nodes, "node"), "wanted")
         sets = full_sets(data, size, bitmap(wanted.select(F.coalesce("least", F.lit(0)).alias("least")), "least"))
-        sets = staged(wanted.select("node", "ha", "hb").join(sets, ["ha", "hb"]).select("node", "values")
+        return staged(wanted.select("node", "ha", "hb").join(sets, ["ha", "hb"]).select("node", "values")
                       .dropDuplicates(["node"]), "values")
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        return staged(deep_lists(sets_of(nodes), percent), "deep")
+
+    def exact(near: DataFrame) -> DataFrame:
+        sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         # the smaller end of a pair may be one hub of very many: its set is dealt to several tasks
         parts = near.groupBy("a").agg(F.ceil(F.count("*") / 4096).cast("int").alias("parts"))
         dealt = (near.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -160,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (dealt.join(hubs, ["a", "part"]).withColumn("both", both)
                 .where(100 * F.col("both") >= percent * (F.size("va") + F.size("vb") - F.col("both"))).select("a", "b"))
 
-    linked = linked_classes(entries, verify, compatible)
+    linked = linked_classes(entries, verify, compatible, refine)
     with_comp = classes.select("node", "ha", "hb", "least").join(linked, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
     least = with_comp.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -6,11 +6,13 @@ jumping, and the edges between trees go on. Nothing is collected; each round is
 written to the shared folder.
 
 ``linked_classes`` finds the classes of items that share list keys and pass a
-check, without making all pairs of a list. As long as the pairs across classes
+check, without making all pairs of a list. Where the pairs across classes far
 outnumber the list entries, one item of each list (its hub) is checked against
 the others: copies of one thing fall into its class at once, and pairs within a
-class are never made. The pairs across classes that remain are then checked one
-and all, so no link between two classes is lost.
+class are never made. If long lists remain, of items that are alike but not
+enough, the caller may refine them, that is give sharper lists for the items in
+them. The pairs across classes that remain are then checked one and all, so no
+link between two classes is lost.
 """
 
 from __future__ import annotations
@@ -50,40 +52,49 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(out, "components")
 
 
+def _live(entries: DataFrame, classes: DataFrame | None) -> tuple[DataFrame, int]:
+    """Entries of the keys that pairs across classes share, and how many pairs these are."""
+    if classes is None:
+        rows = entries.withColumn("comp", F.col("node"))
+    else:
+        rows = entries.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.count_if("indexed").alias("i"))
+    across = F.sum("n") * F.sum("i") - F.sum(F.col("n") * F.col("i"))
+    keys = staged(parts.groupBy("key").agg(across.alias("across")).where("across > 0"), "keys")
+    pairs = keys.agg(F.sum("across")).first()[0] or 0
+    return staged(rows.join(keys, "key", "left_semi"), "lists"), pairs
+
+
 def linked_classes(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                   compatible: Callable[[Column, Column], Column], rounds: int = 4) -> DataFrame:
+                   compatible: Callable[[Column, Column], Column],
+                   refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(node, comp)`` of the nodes that have a link.
 
     ``entries (key, node, indexed, trait)``: stored; two nodes are a candidate
     pair if they share a key under which one at least is indexed. ``compatible``
     tells from two traits that a pair may be linked, and never denies a linked
-    one. ``verify`` keeps the linked ones of the pairs ``(a, b)``.
+    one. ``verify`` keeps the linked ones of the pairs ``(a, b)``. ``refine``
+    gives stored entries for some nodes alone, under which all linked pairs of
+    them are candidates again.
     """
-    most = 4 * entries.count()
     classes: DataFrame | None = None
-    for turn in range(rounds + 1):
-        if classes is None:
-            rows = entries.withColumn("comp", F.col("node"))
-        else:
-            rows = entries.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        one = F.col("indexed").cast("long")
-        parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(one).alias("i"))
-        across = F.sum("n") * F.sum("i") - F.sum(F.col("n") * F.col("i"))
-        keys = parts.groupBy("key").agg(across.alias("across")).where("across > 0")
-        rows = staged(rows.join(keys, "key"), "lists")
-        left = rows.select("key", "across").distinct().agg(F.sum("across")).first()[0] or 0
-        if not left:
-            break
-        last = left <= most or turn == rounds
+    most = 4 * entries.count()
+    # hubs, refined lists, hubs of these, and at last all pairs; each only if needed
+    for step in ("hubs", "refine", "hubs", "pairs"):
+        rows, pairs = _live(entries, classes)
+        if pairs > most and step == "refine" and refine is not None:
+            entries = refine(rows.select("node").distinct())
+            continue
+        last = pairs <= most or step == "pairs"
         indexed = rows.where("indexed").select("key", *[F.col(c).alias(f"{c}_i") for c in ("node", "trait", "comp")])
         if not last:
-            order = F.struct(F.xxhash64("node_i", F.lit(turn)).alias("order"), "node_i", "trait_i", "comp_i")
+            order = F.struct(F.xxhash64("node_i", F.lit(step)).alias("order"), "node_i", "trait_i", "comp_i")
             indexed = indexed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.*").drop("order")
-        pairs = (rows.join(indexed, (rows["key"] == indexed["key"]) & (F.col("comp") != F.col("comp_i"))
-                           & compatible(F.col("trait"), F.col("trait_i")))
-                 .select(F.least("node", "node_i").alias("a"), F.greatest("node", "node_i").alias("b")).distinct())
-        found = verify(staged(pairs, "pairs"))
-        classes = _merged(classes, staged(found.select("a", "b"), "links"))
+        if pairs:
+            across = (F.col("comp") != F.col("comp_i")) & compatible(F.col("trait"), F.col("trait_i"))
+            some = (rows.join(indexed, (rows["key"] == indexed["key"]) & across)
+                    .select(F.least("node", "node_i").alias("a"), F.greatest("node", "node_i").alias("b")).distinct())
+            classes = _merged(classes, staged(verify(staged(some, "pairs")).select("a", "b"), "links"))
         if last:
             break
     if classes is None:
