@@ -25,7 +25,8 @@ def with_steps(log: DataFrame, run: str = "run", sizes: bool = True) -> DataFram
     out = numbered.withColumn("step", F.col("_rn") - 1).drop("_rn") \
         .withColumn("bucket", F.date_trunc("hour", F.col("ts")))
     if sizes:
-        out = out.join(log.groupBy(run).agg(F.count(F.lit(1)).alias("n_steps")), run)
+        counts = log.groupBy(F.col(run).alias("_run")).agg(F.count(F.lit(1)).alias("n_steps"))
+        out = out.join(counts, out[run].eqNullSafe(counts["_run"])).drop("_run")
     return out
 
 
@@ -44,7 +45,7 @@ def meter_total(log: DataFrame, run: str = "run") -> DataFrame:
     return log.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_updates"),
         F.max_by("val", F.struct(*ORDER)).alias("last_val"),
-        (F.sum(F.col("val") * F.col("n")) / F.sum("n")).alias("avg"))
+        F.try_divide(F.sum(F.col("val") * F.col("n")), F.sum("n")).alias("avg"))
 
 
 def epoch_scores(log: DataFrame, run: str = "run") -> DataFrame:
@@ -122,8 +123,9 @@ def eta(stepped: DataFrame, every: int, run: str = "run") -> DataFrame:
     remaining = elapsed / fraction_done - elapsed, fraction_done = (step+1)/n_steps.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    starts = stepped.groupBy(run).agg(F.min(micros).alias("_t0"))
-    rep = report_rows(stepped, every).join(starts, run)
+    starts = stepped.groupBy(F.col(run).alias("_run")).agg(F.min(micros).alias("_t0"))
+    rep = report_rows(stepped, every)
+    rep = rep.join(starts, rep[run].eqNullSafe(starts["_run"])).drop("_run")
     elapsed = (micros - F.col("_t0")) / F.lit(1e6)
     pct = (F.col("step") + 1) / F.col("n_steps")
     remain = elapsed / pct - elapsed

@@ -19,19 +19,3 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
-
-
-ROWS_PER_PARTITION = 200_000
-
-
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Coalesce a table that will be persisted and re-read many times (fold
-    tables, iterative training sets) to about ``n_rows / rows_per_partition``
-    partitions.
-
-    Without it a persisted table keeps whatever partition count the last
-    shuffle had (``spark.sql.shuffle.partitions``), and every later pass over
-    a small table launches that many near-empty tasks. ``coalesce`` never
-    shuffles and never raises the count, so on large tables it is a no-op.
-    """
-    return df.coalesce(max(1, -(-int(n_rows) // rows_per_partition)))

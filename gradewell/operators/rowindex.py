@@ -26,11 +26,6 @@ def hex_bucket(hex_col: str | Column, digits: int = 3) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]):
-    conds = [left[c].eqNullSafe(right[c]) for c in cols]
-    return reduce(lambda a, b: a & b, conds)
-
-
 def global_row_index(df: DataFrame, order: Sequence, strata: Sequence[str] = (),
                      bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """Add a 1-based ``name`` column numbering rows by ``order`` within ``strata``.
@@ -48,7 +43,7 @@ def global_row_index(df: DataFrame, order: Sequence, strata: Sequence[str] = (),
     offsets = counts.select(*[F.col(s).alias(f"_gw_s_{s}") for s in strata],
                             F.col("_gw_b").alias("_gw_b_r"),
                             F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias("_gw_before"))
-    cond = with_b["_gw_b"] == offsets["_gw_b_r"]
+    cond = with_b["_gw_b"].eqNullSafe(offsets["_gw_b_r"])     # rows without an order key share a bucket
     for s in strata:
         cond = cond & with_b[s].eqNullSafe(offsets[f"_gw_s_{s}"])
     joined = with_b.join(offsets, cond, "inner")
@@ -83,7 +78,11 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], b
     frame_end = 0 if inclusive else -1
     inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, frame_end)
-    joined = df.join(prefix, [*keys, bucket], "left")
+    # NULL keys and buckets are groups like any other
+    own = [*keys, bucket]
+    prefix = prefix.select(*[F.col(c).alias(f"_bk_{c}") for c in own], *[f"_bp_{out}" for out in aggs])
+    cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(prefix[f"_bk_{c}"]) for c in own])
+    joined = df.join(prefix, cond, "left")
     cols = [comb[f](F.col(f"_bp_{out}"), fn[f](c).over(inner)).alias(out)
             for out, (f, c) in aggs.items()]
     return joined.select(*df.columns, *cols)

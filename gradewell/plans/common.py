@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from gradewell.config import DEFAULT_SEED, DRIVER_TARGETS, N_FOLDS
 from gradewell.operators import folds as fo
 from gradewell.operators import linear
-from gradewell.operators.parallel import right_size
 from gradewell.sources import tables
 
 TARGETS = DRIVER_TARGETS
@@ -56,8 +55,8 @@ def essays_folds(spark: SparkSession, sf: str, seed: int = DEFAULT_SEED,
     lab = labelled(spark, sf)
     folds = fo.assign_folds(lab, "text_id", k, seed, strata=STRATA)
     joined = folds.join(doc_features(spark, sf), "text_id", "inner")
-    # a count of the labels table is answered from parquet footers
-    return right_size(joined, lab.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    # the join keeps its own parallelism; adaptive execution merges small partitions after it
+    return joined.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def unlabelled_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,6 @@ from gradewell.functions import vectors as vf
 from gradewell.operators import ensemble, features, folds as fo, gradient, linear, metrics, scoring, trees
 from gradewell.plans import common as c
 from gradewell.plans.registry import query
-from gradewell.operators.parallel import right_size
 from gradewell.session import ensure_checkpoint_dir, scratch_path
 from gradewell.sources import files, tables
 
@@ -24,15 +23,14 @@ WEIGHTS = {"chars": 0.5, "lines": 0.3, "words": 0.2}
 
 
 def _emb_folds(spark, sf):
-    """Training table ``(vec_id, x, label, label_high, fold)``, sized to its
-    row count: it is re-read by every pass of the iterative fits."""
+    """Training table ``(vec_id, x, label, label_high, fold)``, re-read by every
+    pass of the iterative fits."""
     raw = tables.table(spark, sf, "embeddings")
     emb = raw.select(
         "vec_id", F.col("embedding").cast("array<double>").alias("x"),
         F.col("label").cast("double").alias("label"),
         (F.col("label") >= 5).cast("double").alias("label_high"))
-    folds = fo.assign_folds(emb, "vec_id", N_FOLDS, DEFAULT_SEED)
-    return right_size(folds, raw.count(), rows_per_partition=50_000)
+    return fo.assign_folds(emb, "vec_id", N_FOLDS, DEFAULT_SEED)
 
 
 def _fold_rmse(long):

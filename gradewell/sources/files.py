@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +61,10 @@ def feature_store_get_or_compute(spark: SparkSession, path: str, wanted: DataFra
     try:
         stored = spark.read.parquet(path)
         have = stored.select(*keys).distinct()
-    except Exception:  # noqa: BLE001 - an absent store reads as empty
-        stored, have = None, None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored, have = None, None           # an absent store reads as empty
     missing = wanted.select(*keys).distinct()
     if have is not None:
         missing = missing.join(have, list(keys), "left_anti")

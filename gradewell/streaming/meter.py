@@ -16,10 +16,17 @@ from pyspark.sql import functions as F
 from gradewell.session import scratch_path
 
 
+def wall_clock(ts) -> F.Column:
+    """A zone-less time as the instant that reads so in UTC. Windows are cut at UTC
+    boundaries, so days then begin at midnight of the data's own clock whatever
+    the session's zone is."""
+    return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+
+
 def metric_stream(spark: SparkSession, path_glob: str, schema, max_files: int = 1) -> DataFrame:
     """Events as a stream ``(run, ts, event_id, val, n)``; files are picked up as they land."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path_glob)
-    return raw.select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"),
+    return raw.select(F.col("user_id").alias("run"), wall_clock(F.col("ts")).alias("ts"),
                       "event_id", F.col("value").alias("val"),
                       F.get_json_object("props", "$.k").cast("int").alias("n"))
 
@@ -30,7 +37,7 @@ def windowed_meter(stream: DataFrame, window: str = "1 day", watermark: str = "1
     return stream.withWatermark("ts", watermark).groupBy("run", F.window("ts", window)).agg(
         F.count(F.lit(1)).alias("n_updates"),
         F.sum(F.col("val") * F.col("n")).alias("_vn"), F.sum("n").alias("_n")) \
-        .select("run", F.col("window.start").alias("window_start"), "n_updates",
+        .select("run", F.to_utc_timestamp(F.col("window.start"), F.current_timezone()).alias("window_start"), "n_updates",
                 F.try_divide(F.col("_vn"), F.col("_n")).alias("avg"))
 
 
