@@ -5,8 +5,8 @@ Rows carry a fold and a feature array. The model matrix W has one column per
 cell (fold f, target t); a row trains every cell whose fold differs from its
 own. Each iteration broadcasts W, every partition returns one partial
 (gradient, loss, count) row computed with NumPy on Arrow batches, Spark sums
-the partials, and the driver takes an accelerated gradient step. Rows never
-reach the driver: only (D+1) x (k*T) numbers per iteration.
+the partials, and the driver takes a quasi-Newton step. Rows never reach the
+driver: only (D+1) x (k*T) numbers per iteration.
 
 Losses: squared, Smooth-L1 and a smoothed epsilon-insensitive loss (the
 support-vector regression loss with its corner rounded over ``delta``).
@@ -111,79 +111,123 @@ class CellModel:
     targets: tuple
     fmap: object
     history: list = field(default_factory=list)
+    stopped_by: list = field(default_factory=list)   # per column: tolerance, precision or passes
 
     def column(self, fold: int, target: str) -> int:
         return fold * len(self.targets) + self.targets.index(target)
 
+    def endings(self) -> list[tuple[int, str, str, int]]:
+        """``(fold, target, stopped_by, passes)`` of every cell."""
+        return [(f, t, self.stopped_by[self.column(f, t)], len(self.history))
+                for f in range(self.k) for t in self.targets]
+
+
+class _Curvature:
+    """The last ``size`` accepted steps of every cell (limited-memory BFGS)."""
+
+    def __init__(self, size: int, rows: int, cols: int):
+        self.s = np.zeros((size, rows, cols))
+        self.y = np.zeros((size, rows, cols))
+        self.rho = np.zeros((size, cols))            # 0 marks an empty place
+
+    def push(self, step: np.ndarray, change: np.ndarray, cells: np.ndarray) -> None:
+        sy = (step * change).sum(axis=0)
+        norm = np.sqrt((step * step).sum(axis=0) * (change * change).sum(axis=0))
+        cells = np.flatnonzero(cells & (sy > 1e-10 * norm))
+        for kept, new in ((self.s, step), (self.y, change)):
+            kept[:-1, :, cells] = kept[1:, :, cells]
+            kept[-1, :, cells] = new[:, cells].T
+        self.rho[:-1, cells] = self.rho[1:, cells]
+        self.rho[-1, cells] = 1.0 / sy[cells]
+
+    def direction(self, grad: np.ndarray, first: float) -> np.ndarray:
+        q, taken = grad.copy(), []
+        for s, y, rho in zip(self.s[::-1], self.y[::-1], self.rho[::-1]):
+            a = rho * (s * q).sum(axis=0)
+            taken.append(a)
+            q -= a * y
+        yy = (self.y[-1] ** 2).sum(axis=0)
+        known = self.rho[-1] > 0
+        q *= np.where(known, 1.0 / np.where(known, self.rho[-1] * yy, 1.0), first)
+        for s, y, rho, a in zip(self.s, self.y, self.rho, taken[::-1]):
+            q += s * (a - rho * (y * q).sum(axis=0))
+        return -q
+
 
 def fit_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
               d: int, fmap=None, loss: str = "squared", lam: float = 1e-3,
-              iters: int = 80, eps: float = 0.1, delta: float = 0.1, tol: float = 1e-3,
-              warm_start: bool = True, fold_col: str = "fold",
-              warm_start_max_dim: int = 1024) -> CellModel:
-    """Fit all k x T cells. ``df`` should be persisted by the caller (it is
-    scanned once per iteration).
-
-    Per-cell gradient steps from each cell's best point so far with
-    Barzilai-Borwein step sizes (no extra data passes). A step that raises a
-    cell's objective is rejected and retried four times shorter, never below
-    the safe 1/L step, so every cell's objective is monotone. Stops when every
-    cell's gradient norm fell below ``tol`` times its initial norm.
-
-    With ``warm_start`` (and at most ``warm_start_max_dim`` mapped features)
-    one extra pass collects each fold's Gram matrix of the mapped features and
-    the iterations start from the squared-loss ridge solution of every cell.
+              iters: int = 2000, eps: float = 0.1, delta: float = 0.1, tol: float = 1e-3,
+              warm_start: bool = True, fold_col: str = "fold", memory: int = 10) -> CellModel:
+    """Fit all k x T cells. ``df`` should be stored by the caller (it is scanned
+    once per pass).
+
+    Limited-memory BFGS for each cell, all cells in the same passes. A trial point
+    that does not lower its cell's objective enough is retried nearer, so every
+    cell's objective only falls. A cell ends when its gradient's norm is at most
+    ``tol`` times the norm at zero weights. ``iters`` limits the passes;
+    ``stopped_by`` tells for each cell what ended it: ``tolerance``, ``precision``
+    (no lower point can be told in floating point) or ``passes`` (the limit: that
+    fit is unfinished).
+
+    With ``warm_start`` one extra pass collects each fold's Gram matrix of the
+    mapped features, which the driver holds, and the passes start from the ridge
+    solution. Without it the driver holds a few weight matrices only.
     """
     fmap = fmap or Identity()
     D = fmap.out_dim(d)
     cols = k * len(targets)
-    W = np.zeros((D + 1, cols))
-    if warm_start and D <= warm_start_max_dim:
-        from gradewell.operators.linear import fold_gram, solve_fold_ridge
-
-        gram = fold_gram(df, feature_col, targets, D, fold_col=fold_col, fmap=fmap)
-        for f, Wf in solve_fold_ridge(gram, D, len(targets), lam, fold_col, per_row=True).items():
-            W[:, f * len(targets):(f + 1) * len(targets)] = Wf
     data = df.select(fold_col, feature_col, *targets)
-    schema = BLOCK_SCHEMA
-    history = []
     reg = np.ones((D + 1, 1))
     reg[0] = 0.0
-    point = W
-    best_obj = np.full(cols, np.inf)
-    best_W = W.copy()
-    best_g = np.zeros_like(W)
-    last_W = last_g = None
-    step_l = steps = g0 = None
-    for _ in range(iters):
+
+    def evaluate(point):
         parts = data.mapInPandas(_partials(point, fmap, feature_col, fold_col, targets, k,
-                                           loss, eps, delta), schema)
+                                           loss, eps, delta), BLOCK_SCHEMA)
         row = collect_blocks(block_sum(parts, [], max_names=["z"]), [])[()]
         cnt = np.maximum(np.array(row["c"]), 1.0)
         grad = np.array(row["g"]).reshape(D + 1, cols) / cnt + lam * reg * point
         obj = np.array(row["l"]) / cnt + 0.5 * lam * (reg * point * point).sum(axis=0)
-        history.append(float(obj.mean()))
-        if g0 is None:
-            g0 = np.maximum(np.sqrt((grad * grad).sum(axis=0)), 1e-300)
-            step_l = 1.0 / (curvature(loss, delta) * row["z"][0] + lam)   # 1/L: always a descent step
-            steps = np.full(cols, step_l)
-        accept = obj <= best_obj
-        if last_W is not None:
-            s_ = point - last_W
-            y_ = grad - last_g
-            sy = (s_ * y_).sum(axis=0)
-            bb = (s_ * s_).sum(axis=0) / np.where(sy > 0, sy, 1.0)
-            bb = np.where(sy > 0, np.clip(bb, step_l, 1e4 * step_l), step_l)
-            steps = np.where(accept, bb, np.maximum(steps / 4.0, step_l))
+        return obj, grad, row["z"][0]
+
+    norm = lambda m: np.sqrt((m * m).sum(axis=0))
+    best_W = np.zeros((D + 1, cols))
+    best_obj, best_g, z_max = evaluate(best_W)
+    target_norm = tol * norm(best_g)
+    first = 1.0 / (curvature(loss, delta) * z_max + lam)      # 1/L: always a descent step
+    history = [float(best_obj.mean())]
+    if warm_start:
+        from gradewell.operators.linear import fold_gram, solve_fold_ridge
+
+        gram = fold_gram(df, feature_col, targets, D, fold_col=fold_col, fmap=fmap)
+        W = np.zeros((D + 1, cols))
+        for f, Wf in solve_fold_ridge(gram, D, len(targets), lam, fold_col, per_row=True).items():
+            W[:, f * len(targets):(f + 1) * len(targets)] = Wf
+        obj, grad, _ = evaluate(W)
+        better = obj < best_obj
+        best_obj = np.where(better, obj, best_obj)
+        best_W, best_g = np.where(better, W, best_W), np.where(better, grad, best_g)
+        history.append(float(best_obj.mean()))
+    seen = _Curvature(memory, D + 1, cols)
+    ended = np.where(norm(best_g) <= target_norm, "tolerance", "")
+    way, size = seen.direction(best_g, first), np.ones(cols)
+    while len(history) < iters and (ended == "").any():
+        live = ended == ""
+        slope = (best_g * way).sum(axis=0)
+        step = np.where(live, size, 0.0) * way
+        obj, grad, _ = evaluate(best_W + step)
+        accept = live & (obj <= best_obj + 1e-4 * size * slope)
+        seen.push(step, grad - best_g, accept)
+        # the lowest point of the parabola through both values and the slope
+        bend = obj - best_obj - size * slope
+        nearer = np.where(bend > 0, -slope * size ** 2 / (2 * np.where(bend > 0, bend, 1.0)), 0.5 * size)
         best_obj = np.where(accept, obj, best_obj)
-        best_W[:, accept] = point[:, accept]
-        best_g[:, accept] = grad[:, accept]
-        last_W = np.where(accept[None, :], point, best_W)
-        last_g = np.where(accept[None, :], grad, best_g)
-        if (np.sqrt((best_g * best_g).sum(axis=0)) / g0).max() < tol:
-            break
-        point = best_W - steps[None, :] * best_g
-    return CellModel(best_W, k, tuple(targets), fmap, history)
+        best_W, best_g = np.where(accept, best_W + step, best_W), np.where(accept, grad, best_g)
+        way = np.where(accept, seen.direction(best_g, first), way)
+        size = np.where(accept, 1.0, np.clip(nearer, 0.1 * size, 0.5 * size))
+        history.append(float(best_obj.mean()))
+        ended = np.where(live & (norm(best_g) <= target_norm), "tolerance", ended)
+        ended = np.where((ended == "") & (size < 1e-12), "precision", ended)
+    return CellModel(best_W, k, tuple(targets), fmap, history, np.where(ended == "", "passes", ended).tolist())
 
 
 def _predict_fn(model: CellModel, feature_col: str, fold_col: str | None, keep: Sequence[str]):

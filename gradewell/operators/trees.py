@@ -1,67 +1,308 @@
-"""Per-(fold, target) boosted trees with validation-curve early stopping.
+"""Boosted regression trees for every (fold, target) cell in the same passes.
 
-MLlib's GBTRegressor has no patience rule. Each cell fits ``max_iter`` trees
-on its training folds, reads the validation curve with
-``evaluateEachIteration`` and picks the best prefix with the same
-strict-improvement / patience rule as the metric-log analytics (E5, E7).
-Cells are independent Spark jobs submitted from a small driver thread pool.
+Features are cut into bins at approximate quantiles once. A boosting round grows
+one tree in every live cell, level by level: each task adds up residuals and rows
+by (open leaf, feature, bin), Spark sums these histograms, and the driver picks
+the splits of all cells. Prediction starts from the training mean and every tree
+is shrunk. The first pass of a round also returns the squared error on the cell's
+held-out fold, so a cell ends during training, once ``patience`` rounds brought
+no lower error. Rows stay in Spark; their running predictions are written to the
+shared folder every ``FLUSH`` rounds and tasks add the trees since then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.config import GBT_MAX_ROUNDS, GBT_PATIENCE
+from gradewell.operators.treesum import BLOCK_SCHEMA, block_sum, blocks, collect_blocks
+from gradewell.session import scratch_path
+
 # FIXED VALUES (reference boosting settings): learning rate 0.01, feature and
-# row sampling 0.8, 50 leaves (depth ~6 here), patience 500, at most 6000 rounds.
+# row sampling 0.8, L2 penalty 2, 50 leaves, patience 500, at most 6000 rounds.
 STEP_SIZE = 0.01
-SUBSAMPLE = 0.8
-FEATURE_FRACTION = "0.8"
-MAX_DEPTH = 6
+SAMPLE = 0.8
+L2 = 2.0
+MAX_LEAVES = 50
+
+FLUSH = 25
+
+
+class Tree:
+    """Nodes as lists; ``feature`` is -1 in a leaf, and rows whose bin is above
+    ``cut`` go right."""
+
+    def __init__(self):
+        self.feature, self.cut, self.left, self.right, self.value = [-1], [0], [0], [0], [0.0]
+
+    def split(self, node: int, feature: int, cut: int, values: tuple[float, float]) -> tuple[int, int]:
+        at = len(self.feature)
+        self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, at, at + 1
+        for column, new in ((self.feature, -1), (self.cut, 0), (self.left, 0), (self.right, 0)):
+            column += [new, new]
+        self.value += values
+        return at, at + 1
+
+    def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        feature, cut = np.array(self.feature), np.array(self.cut)
+        left, right = np.array(self.left), np.array(self.right)
+        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        while (inner := feature[node] >= 0).any():
+            above = bins[rows, np.maximum(feature[node], 0)] > cut[node]
+            node = np.where(inner, np.where(above, right[node], left[node]), node)
+        return node
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        return np.array(self.value)[self.leaves(bins)]
+
+
+@dataclass
+class BoostedCells:
+    edges: np.ndarray              # features x (bins - 1) upper bounds
+    base: np.ndarray               # training mean of each cell; cell = fold * T + target
+    trees: list[list[Tree]]        # the best prefix of each cell
+    k: int
+    targets: tuple
+    step_size: float
+    summary: list[dict]
+
+
+def patience_step(best: tuple[float, int], i: int, value: float, patience: int) -> tuple[tuple[float, int], bool]:
+    """Lowest value with its place after value ``i``, and whether to stop; ties keep the earliest."""
+    if value < best[0]:
+        return (value, i), False
+    return best, i - best[1] >= patience
 
 
 def best_prefix(curve: Sequence[float], patience: int) -> tuple[int, int]:
-    """(best_iteration, stop_iteration), 0-based; ties keep the earliest."""
-    best, best_i, stop = float("inf"), -1, len(curve) - 1
+    """(best_iteration, stop_iteration) of a whole curve, 0-based."""
+    best = (float("inf"), -1)
     for i, v in enumerate(curve):
-        if v < best:
-            best, best_i = v, i
-        elif i - best_i >= patience:
-            stop = i
-            break
-    return best_i, stop
-
-
-def fit_cell(train: DataFrame, valid: DataFrame, target: str, max_iter: int, patience: int,
-             seed: int, step_size: float = STEP_SIZE):
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter,
-                       stepSize=step_size, maxDepth=MAX_DEPTH, subsamplingRate=SUBSAMPLE,
-                       featureSubsetStrategy=FEATURE_FRACTION, minInstancesPerNode=5, seed=seed)
-    model = gbt.fit(train)
-    curve = model.evaluateEachIteration(valid, "squared")
-    best_i, stop = best_prefix(curve, patience)
-    return model, curve, best_i, stop
-
-
-def gbt_kfold(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
-              max_iter: int = 30, patience: int = 10, seed: int = 42, threads: int = 4,
-              fold_col: str = "fold") -> list[dict]:
-    """Fit every (fold, target) cell; returns one summary dict per cell."""
-    data = df.select(fold_col, array_to_vector(feature_col).alias("features"), *targets)
-    cells = [(f, t) for f in range(k) for t in targets]
-
-    def run(cell):
-        f, t = cell
-        train = data.where(F.col(fold_col) != f)
-        valid = data.where(F.col(fold_col) == f)
-        _, curve, best_i, stop = fit_cell(train, valid, t, max_iter, patience, seed)
-        return {"fold": f, "target": t, "best_iter": best_i, "stop_iter": stop,
-                "n_trees": len(curve), "valid_rmse": float(curve[best_i]) ** 0.5}
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(run, cells))
+        best, stop = patience_step(best, i, v, patience)
+        if stop:
+            return best[1], i
+    return best[1], len(curve) - 1
+
+
+def bin_edges(df: DataFrame, feature_col: str, bins: int) -> np.ndarray:
+    """Approximate quantiles of every feature, from one aggregation."""
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    rows = (df.select(F.posexplode(feature_col)).groupBy("pos")
+            .agg(F.percentile_approx("col", shares, 10_000).alias("q")).orderBy("pos").collect())
+    return np.array([r["q"] for r in rows], np.float64)
+
+
+def _binned(vectors, edges: np.ndarray) -> np.ndarray:
+    x = np.stack(vectors).astype(np.float64)
+    return np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(len(edges))], axis=1).astype(np.uint8)
+
+
+def _state_rows(pdf: pd.DataFrame, n_features: int):
+    bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), n_features)
+    return bins, np.stack(pdf["pred"].to_numpy())
+
+
+def _sampled(ids: np.ndarray, seed: int, share: float) -> np.ndarray:
+    """Whether each row is in a round's sample: a hash of id and round, so a task
+    that runs again draws the same rows."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(11)).astype(np.float64) < share * 2.0 ** 53
+
+
+def _advance(pred: np.ndarray, bins: np.ndarray, pending: list[dict[int, Tree]], step: float) -> np.ndarray:
+    pred = pred.copy()
+    for made in pending:
+        for cell, tree in made.items():
+            pred[:, cell] += step * tree.predict(bins)
+    return pred
+
+
+def _histograms(pending, growing: dict[int, Tree], open_leaves: dict[int, list[int]], targets, shape,
+                step: float, seed: int, share: float, held_out: bool):
+    n_features, n_bins = shape
+
+    def fn(batches):
+        sums = {c: np.zeros((2, len(open_leaves[c]) * n_features * n_bins)) for c in growing}
+        error = np.zeros((2, max(growing) + 1))
+        offset = np.arange(n_features) * n_bins
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            bins, pred = _state_rows(pdf, n_features)
+            pred = _advance(pred, bins, pending, step)
+            fold = pdf["fold"].to_numpy()
+            inside = _sampled(pdf["id"].to_numpy(), seed, share)
+            labels = pdf[list(targets)].to_numpy(np.float64)
+            for c, tree in growing.items():
+                f, t = divmod(c, len(targets))
+                rest = labels[:, t] - pred[:, c]
+                known = ~np.isnan(rest)
+                if held_out:
+                    judged = rest[known & (fold == f)]
+                    error[0, c] += (judged * judged).sum()
+                    error[1, c] += len(judged)
+                place = np.full(len(tree.feature), -1)
+                place[open_leaves[c]] = np.arange(len(open_leaves[c]))
+                place = place[tree.leaves(bins)]
+                rows = np.flatnonzero(known & inside & (fold != f) & (place >= 0))
+                cell = (place[rows, None] * (n_features * n_bins) + offset + bins[rows]).ravel()
+                size = sums[c].shape[1]
+                sums[c][0] += np.bincount(cell, np.repeat(rest[rows], n_features), size)
+                sums[c][1] += np.bincount(cell, minlength=size)
+        yield pd.DataFrame(blocks({**{f"h{c}": h for c, h in sums.items()}, "error": error}),
+                           columns=["_name", "_blk", "_v", "_part"])
+
+    return fn
+
+
+def best_splits(sums: np.ndarray, features: np.ndarray, lam: float, min_rows: int) -> list[tuple]:
+    """``(gain, feature, cut, left value, right value)`` of each open leaf, or None;
+    ``sums`` is (2, leaves, features, bins): residuals and rows."""
+    left = sums.cumsum(axis=3)
+    total = left[..., -1:]
+    right = total - left
+    gain = (left[0] ** 2 / (left[1] + lam) + right[0] ** 2 / (right[1] + lam)
+            - total[0] ** 2 / (total[1] + lam))
+    allowed = (left[1] >= min_rows) & (right[1] >= min_rows)
+    allowed[:, np.setdiff1d(np.arange(sums.shape[2]), features)] = False
+    gain = np.where(allowed, gain, 0.0)
+    out = []
+    for leaf in range(sums.shape[1]):
+        feature, cut = np.unravel_index(gain[leaf].argmax(), gain[leaf].shape)
+        at = (leaf, feature, cut)
+        out.append((gain[at], int(feature), int(cut), float(left[0][at] / (left[1][at] + lam)),
+                    float(right[0][at] / (right[1][at] + lam))) if gain[at] > 0 else None)
+    return out
+
+
+def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int, id_col: str,
+                step_size: float = STEP_SIZE, max_rounds: int = GBT_MAX_ROUNDS, patience: int = GBT_PATIENCE,
+                lam: float = L2, max_leaves: int = MAX_LEAVES, max_depth: int = 6, min_rows: int = 5,
+                row_share: float = SAMPLE, feature_share: float = SAMPLE, bins: int = 32, seed: int = 42,
+                fold_col: str = "fold") -> BoostedCells:
+    """Boost every (fold, target) cell on the rows outside its fold.
+
+    ``summary`` has for each cell the trees kept, the rounds tried, the held-out
+    RMSE and ``stopped_by``: ``patience``, ``no_split`` (no leaf can be split any
+    more) or ``rounds`` (the limit). Rows with a null label take no part in that
+    label's cells. The driver holds histograms of cells x leaves x features x bins
+    of one level, and the trees.
+    """
+    spark, targets = df.sparkSession, tuple(targets)
+    edges = bin_edges(df, feature_col, bins)
+    n_features, cells = len(edges), k * len(targets)
+    base = np.zeros(cells)
+    parts = df.groupBy(fold_col).agg(*[F.sum(t).alias(f"s_{t}") for t in targets],
+                                     *[F.count(t).alias(f"n_{t}") for t in targets]).collect()
+    for c in range(cells):
+        f, t = divmod(c, len(targets))
+        train = [r for r in parts if r[fold_col] != f]
+        base[c] = sum(r[f"s_{targets[t]}"] or 0.0 for r in train) / max(sum(r[f"n_{targets[t]}"] for r in train), 1)
+    schema = (f"id long, fold int, {', '.join(f'{t} double' for t in targets)}, bins binary, pred array<double>")
+
+    def start(batches):
+        for pdf in batches:
+            if not pdf.empty:
+                packed = [row.tobytes() for row in _binned(pdf.pop("x").to_numpy(), edges)]
+                yield pdf.assign(bins=packed, pred=[base.tolist()] * len(pdf))
+
+    def stored(state):
+        path = scratch_path(spark, "boosting")
+        state.write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    def flush(made):
+        def fn(batches):
+            for pdf in batches:
+                if not pdf.empty:
+                    bins_, pred = _state_rows(pdf, n_features)
+                    yield pdf.assign(pred=list(_advance(pred, bins_, made, step_size)))
+
+        return fn
+
+    state = stored(df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"),
+                             F.col(fold_col).cast("int").alias("fold"),
+                             *[F.col(t).cast("double").alias(t) for t in targets], F.col(feature_col).alias("x"))
+                   .mapInPandas(start, schema))
+    rng = np.random.default_rng(seed)
+    made: list[list[Tree]] = [[] for _ in range(cells)]
+    best = [(float("inf"), -1)] * cells          # lowest squared error and its number of trees
+    ended = [""] * cells
+    tried = [0] * cells
+    pending: list[dict[int, Tree]] = []
+    round_ = 0
+    if not n_features:                           # an empty table
+        ended = ["no_split"] * cells
+    while not all(ended):
+        live = [c for c in range(cells) if not ended[c]]
+        growing = {c: Tree() for c in live}
+        open_leaves = {c: [0] for c in live}
+        features = {c: np.sort(rng.permutation(n_features)[:max(1, round(feature_share * n_features))]) for c in live}
+        for level in range(max_depth):
+            fn = _histograms(pending, {c: growing[c] for c in open_leaves}, open_leaves, targets,
+                             (n_features, bins), step_size, seed + round_, row_share, held_out=level == 0)
+            got = collect_blocks(block_sum(state.mapInPandas(fn, BLOCK_SCHEMA), []), []).get((), {})
+            for c in live if level == 0 else ():
+                error, n = got["error"].reshape(2, -1)[:, c] if got else (0.0, 0)
+                best[c], stop = patience_step(best[c], round_, error / n if n else float("inf"), patience)
+                tried[c] = round_
+                ended[c] = "patience" if stop else "rounds" if round_ >= max_rounds else ""
+                if ended[c]:
+                    del open_leaves[c]
+            for c in list(open_leaves):
+                sums = got[f"h{c}"].reshape(2, len(open_leaves[c]), n_features, bins) if got else None
+                found = best_splits(sums, features[c], lam, min_rows) if got else []
+                ranked = sorted(((s, n) for s, n in zip(found, open_leaves[c]) if s), key=lambda p: -p[0][0])
+                tree, children = growing[c], []
+                for (_, feature, cut, *values), node in ranked:
+                    if (len(tree.feature) + 1) // 2 < max_leaves:
+                        children += tree.split(node, feature, cut, tuple(values))
+                open_leaves[c] = children
+                if not children:
+                    del open_leaves[c]
+                    ended[c] = "no_split" if level == 0 else ""
+            if not open_leaves:
+                break
+        grown = {c: tree for c, tree in growing.items() if not ended[c]}
+        for c, tree in grown.items():
+            made[c].append(tree)
+        pending.append(grown)
+        round_ += 1
+        if len(pending) == FLUSH:
+            state, pending = stored(state.mapInPandas(flush(pending), schema)), []
+    summary = [{"fold": c // len(targets), "target": targets[c % len(targets)], "n_trees": max(best[c][1], 0),
+                "rounds": tried[c], "stopped_by": ended[c],
+                "valid_rmse": float(best[c][0]) ** 0.5 if np.isfinite(best[c][0]) else None} for c in range(cells)]
+    return BoostedCells(edges, base, [made[c][:max(best[c][1], 0)] for c in range(cells)], k, targets, step_size, summary)
+
+
+def predict_boosted(df: DataFrame, model: BoostedCells, feature_col: str, keep: Sequence[str], keep_schema: str,
+                    fold_col: str | None = "fold") -> DataFrame:
+    """Long predictions ``(keep…, target, pred)``: out-of-fold when ``fold_col`` is
+    given, else averaged over the k fold models (J7 / J8)."""
+    t_n = len(model.targets)
+
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            bins = _binned(pdf[feature_col].to_numpy(), model.edges)
+            pred = _advance(np.tile(model.base, (len(pdf), 1)), bins,
+                            [{c: t} for c, trees in enumerate(model.trees) for t in trees], model.step_size)
+            for j, t in enumerate(model.targets):
+                own = pred[:, j::t_n]
+                got = own[np.arange(len(pdf)), pdf[fold_col].to_numpy().astype(int)] if fold_col else own.mean(axis=1)
+                yield pdf[list(keep)].assign(target=t, pred=got)
+
+    columns = list(dict.fromkeys([*keep, feature_col, *([fold_col] if fold_col else [])]))
+    return df.select(*columns).mapInPandas(fn, f"{keep_schema}, target string, pred double")

@@ -54,22 +54,23 @@ def block_sum(parts: DataFrame, keys: Sequence[str],
     # plan for its partition count could execute adaptive stages early
     p = n_partials or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
-    is_max = F.col("_name").isin(list(max_names)) if max_names else F.lit(False)
+    is_max = F.col("_name").isin(list(max_names)) if max_names else None
+    vector = array_to_vector("_v")
 
-    def agg(src):
-        v = src if src is not None else array_to_vector("_v")
-        return [Summarizer.sum(v).alias("_s"), Summarizer.max(v).alias("_m")]
+    def agg(total, top):
+        # the element-wise max is only worked out where a name asks for it
+        return [Summarizer.sum(total).alias("_s"), *([Summarizer.max(top).alias("_m")] if max_names else [])]
 
     grp = [*keys, "_name", "_blk"]
     if p <= SINGLE_LEVEL_MAX:
-        summed = parts.groupBy(*grp).agg(*agg(None))
+        summed = parts.groupBy(*grp).agg(*agg(vector, vector))
     else:
         fan = max(1, int(math.ceil(math.sqrt(p))))
-        lvl1 = parts.groupBy(*grp, F.pmod(F.col("_part"), F.lit(fan)).alias("_g")).agg(*agg(None))
-        summed = lvl1.groupBy(*grp).agg(
-            Summarizer.sum(F.when(is_max, F.col("_m")).otherwise(F.col("_s"))).alias("_s"),
-            Summarizer.max(F.col("_m")).alias("_m"))
-    vals = F.when(is_max, vector_to_array("_m")).otherwise(vector_to_array("_s"))
+        lvl1 = parts.groupBy(*grp, F.pmod(F.col("_part"), F.lit(fan)).alias("_g")).agg(*agg(vector, vector))
+        summed = lvl1.groupBy(*grp).agg(*agg(F.col("_s"), F.col("_m") if max_names else None))
+    vals = vector_to_array("_s")
+    if max_names:
+        vals = F.when(is_max, vector_to_array("_m")).otherwise(vals)
     return summed.select(*grp, vals.alias("_v"))
 
 

@@ -134,7 +134,7 @@ def meter_stream(spark, sf):
 
     schema = tables.table(spark, sf, "events").schema
     stream = meter.metric_stream(spark, f"{sf.rstrip('/')}/events*.parquet", schema)
-    out = meter.run_to_table(spark, meter.windowed_meter(stream))
+    out = meter.meter_to_table(spark, stream)
     return out.select(F.col("run").alias("user_id"),
                       F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "n_updates", r6("avg").alias("avg"))

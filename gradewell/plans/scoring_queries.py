@@ -253,5 +253,5 @@ def stream_scoring(spark, sf):
     ids = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("text_id"))
     pending = stream.join(ids, "text_id", "left_anti")
     coef = linear.univariate_fold_fit(c.essays_folds(spark, sf), "x_chars", T)
-    scored = meter.run_to_table(spark, meter.score_stream(pending, coef, "x_chars", T), mode="append")
+    scored = meter.run_to_table(spark, meter.score_stream(pending, coef, "x_chars", T))
     return scored.select("text_id", *[R6(t).alias(t) for t in T])

@@ -8,7 +8,7 @@ coefficient table (broadcast, bounded by families x folds x targets).
 
 from __future__ import annotations
 
-import uuid
+import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +48,41 @@ def score_stream(docs_stream: DataFrame, coef: DataFrame, x: str, targets) -> Da
     return univariate_predict_all_folds(docs_stream, coef, x, targets).select("text_id", *targets)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drain everything available (trigger availableNow) into a memory table and
-    return it as a batch DataFrame. The checkpoint goes to the shared folder."""
-    name = f"gw_stream_{uuid.uuid4().hex[:10]}"
-    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+def run_to_table(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Drain everything available (trigger availableNow) into Parquet files in the
+    shared folder and return them as a batch DataFrame."""
+    path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    drain(stream, path, checkpoint)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
+    q = (stream.writeStream.outputMode("append").format("parquet")
+         .option("path", path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+
+
+#: Time of the row that ends a metric stream; its own window never closes.
+END_OF_STREAM = datetime.datetime(9000, 1, 1)
+
+
+def meter_to_table(spark: SparkSession, stream: DataFrame, window: str = "1 day",
+                   watermark: str = "1 day") -> DataFrame:
+    """All windows of the meter over what a metric stream holds now.
+
+    Append mode: a window is written, and its state let go, when the watermark
+    passes its end; rows later than the watermark are dropped, as the stream's
+    contract says. Once the stream is drained, the query goes on from its
+    checkpoint with one row far in the future, which closes all windows.
+    """
+    ends = scratch_path(spark, "stream-end")
+    row = spark.createDataFrame([(None, END_OF_STREAM, None, None, None)], stream.schema)
+    row.limit(0).write.parquet(ends)
+    path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    metered = windowed_meter(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)),
+                             window, watermark)
+    drain(metered, path, checkpoint)
+    row.write.mode("append").parquet(ends)
+    drain(metered, path, checkpoint)
+    return spark.read.schema(metered.schema).parquet(path)

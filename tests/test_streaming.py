@@ -11,13 +11,21 @@ from gradewell.streaming import meter
 
 def test_windowed_meter_equals_batch(spark):
     schema = tables.table(spark, SF_SMALL, "events").schema
-    out = meter.run_to_table(spark, meter.windowed_meter(
-        meter.metric_stream(spark, f"{SF_SMALL}/events*.parquet", schema)))
+    out = meter.meter_to_table(spark, meter.metric_stream(spark, f"{SF_SMALL}/events*.parquet", schema))
     log = tables.metric_log(spark, SF_SMALL)
-    batch = log.groupBy("run", F.date_trunc("day", F.col("ts")).alias("d")).agg(
-        F.count(F.lit(1)).alias("n_updates"))
-    assert out.count() == batch.count()
-    assert out.agg(F.sum("n_updates")).first()[0] == log.count()
+    batch = log.groupBy("run", F.date_trunc("day", F.col("ts")).cast("timestamp").alias("window_start")).agg(
+        F.count(F.lit(1)).alias("n_updates"),
+        F.try_divide(F.sum(F.col("val") * F.col("n")), F.sum("n")).alias("avg"))
+    rows = lambda df: sorted(tuple(r) for r in df.withColumn("avg", F.round("avg", 9)).collect())
+    assert rows(out.select("run", "window_start", "n_updates", "avg")) == rows(batch)
+
+
+def test_meter_over_several_files_in_time_order(spark, tmp_path):
+    log = tables.table(spark, SF_SMALL, "events")
+    for i, half in enumerate(("ts < '2024-01-15'", "ts >= '2024-01-15'")):
+        log.where(half).coalesce(1).write.parquet(str(tmp_path / f"events{i}"))
+    stream = meter.metric_stream(spark, str(tmp_path / "events*"), log.schema)
+    assert meter.meter_to_table(spark, stream).agg(F.sum("n_updates")).first()[0] == log.count()
 
 
 def test_stream_static_scoring(spark, tmp_path):
@@ -25,7 +33,7 @@ def test_stream_static_scoring(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     coef = linear.univariate_fold_fit(c.essays_folds(spark, SF_SMALL), "x_chars", c.TARGETS)
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
-    scored = meter.run_to_table(spark, meter.score_stream(stream, coef, "x_chars", c.TARGETS), mode="append")
+    scored = meter.run_to_table(spark, meter.score_stream(stream, coef, "x_chars", c.TARGETS))
     batch = linear.univariate_predict_all_folds(docs, coef, "x_chars", c.TARGETS).select("text_id", *c.TARGETS)
     assert scored.count() == docs.count()
     assert scored.exceptAll(batch).count() == 0
