@@ -12,9 +12,10 @@ A quadratic ``contains`` over all pairs does not scale. Instead:
    the true matches, not with popular grams.
 3. Candidates are verified exactly with ``instr``.
 
-Patterns shorter than w+q-1 characters have no full window; they are matched
-exactly by an Aho-Corasick scan over the texts, in chunks of bounded size
-that are broadcast one chunk at a time.
+Patterns shorter than w+q-1 characters have no full window; their keys are all
+their q-character grams (the whole pattern below q characters), and the texts'
+grams of the same lengths take the minimizers' place. Only keys that some
+pattern has are kept of the texts, so what is stored grows with the matches.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from gradewell.operators.parallel import spread
 Q = 8            # characters per gram
 W = 16           # grams per window
 MIN_LEN = W + Q - 1
-SHORT_CHUNK_CHARS = 4_000_000   # broadcast budget per Aho-Corasick pass
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.array([_BASE ** np.uint64(Q - 1 - i) for i in range(Q)], dtype=np.uint64)
@@ -58,103 +58,92 @@ def minimizers(text: str) -> np.ndarray:
     return np.unique(mins).view(np.int64)
 
 
-def _explode_minimizers(id_col: str, text_col: str):
-    def fn(batches):
-        for pdf in batches:
-            ids, hs = [], []
-            for i, t in zip(pdf[id_col].to_numpy(), pdf[text_col].to_numpy()):
-                if t is None:
-                    continue
-                m = minimizers(t)
-                ids.append(np.full(m.size, i, dtype=np.int64))
-                hs.append(m)
-            if ids:
-                yield pd.DataFrame({id_col: np.concatenate(ids), "h": np.concatenate(hs)})
-    return fn
+def _grams(text: str, size: int) -> set[str]:
+    return {text[i:i + size] for i in range(len(text) - size + 1)}
 
 
-def _short_matches(patterns: list[tuple[int, str]], id_col: str, text_col: str,
-                   pat_col: str):
+def _key_rows(id_col: str, text_col: str, keys, dtype):
+    """Batches of (id, text) -> one row per distinct key of each text."""
     def fn(batches):
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        by_text: dict[str, list[int]] = {}
-        for pid, p in patterns:
-            by_text.setdefault(p, []).append(pid)
-        for p, pids in by_text.items():
-            auto.add_word(p, pids)
-        auto.make_automaton()
         for pdf in batches:
-            out_t, out_p = [], []
             for i, t in zip(pdf[id_col].to_numpy(), pdf[text_col].to_numpy()):
-                if t is None:
-                    continue
-                seen = set()
-                for _, pids in auto.iter(t):
-                    for pid in pids:
-                        if pid not in seen:
-                            seen.add(pid)
-                            out_t.append(i)
-                            out_p.append(pid)
-            yield pd.DataFrame({id_col: np.array(out_t, dtype=np.int64),
-                                pat_col: np.array(out_p, dtype=np.int64)})
+                found = keys(t) if t is not None else ()
+                if len(found):
+                    yield pd.DataFrame({id_col: np.full(len(found), i, dtype=np.int64),
+                                        "h": np.asarray(list(found), dtype=dtype)})
     return fn
 
 
-def contained_pairs(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
-                    text_col: str = "text") -> DataFrame:
-    """``(text_id, pat_id)`` for every pattern occurring verbatim in a text.
+def _candidates(pats: DataFrame, docs: DataFrame, pat_id: str, text_id: str,
+                pat_keys, text_keys, short: bool) -> DataFrame:
+    """``(text_id, pat_id)``: texts that have the pattern's rarest key."""
+    kind, dtype = ("string", object) if short else ("long", np.int64)
+    pat_rows = pats.select(pat_id, "_p").mapInPandas(
+        _key_rows(pat_id, "_p", pat_keys, dtype), f"{pat_id} long, h {kind}")
+    wanted = pat_rows.select("h").distinct()
+    # read twice (frequencies, then candidates): persisted so that the texts are
+    # hashed once; only keys that a pattern has are stored
+    text_rows = docs.select(text_id, "_t").mapInPandas(
+        _key_rows(text_id, "_t", text_keys, dtype), f"{text_id} long, h {kind}") \
+        .join(wanted, "h", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    dfreq = text_rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ranked = pat_rows.join(dfreq, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    anchors = ranked.groupBy(pat_id).agg(
+        F.min_by("h", F.struct("df", "h")).alias("h"), F.min("df").alias("_df")) \
+        .where(F.col("_df") > 0).select(pat_id, "h")
+    return text_rows.join(anchors, "h", "inner").select(text_id, pat_id)
 
-    ``patterns``: (pat_id, text); ``texts``: (text_id, text). Empty patterns are
-    not matched.
-    """
-    spark = texts.sparkSession
+
+def _sides(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
+           text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patterns ``(pat_id, _p)``, texts ``(text_id, _t)`` and their candidate pairs."""
     # a pattern longer than every text cannot occur: exact pruning before hashing
     longest = texts.agg(F.max(F.length(text_col))).scalar()
     pats = spread(patterns.select(F.col(pat_id), F.col(text_col).alias("_p")).where(
         F.col("_p").isNotNull() & (F.length("_p") > 0) & (F.length("_p") <= longest)))
     docs = spread(texts.select(F.col(text_id), F.col(text_col).alias("_t")))
+    cand = _candidates(pats.where(F.length("_p") >= MIN_LEN), docs, pat_id, text_id,
+                       minimizers, minimizers, short=False)
+    short = pats.where(F.length("_p") < MIN_LEN)
+    # which gram lengths the short patterns need: at most Q values
+    sizes = sorted(r[0] for r in short.select(F.least(F.length("_p"), F.lit(Q)).alias("n")).distinct().collect())
+    if sizes:
+        def pat_grams(t):
+            return _grams(t, min(len(t), Q))
 
-    long_p = pats.where(F.length("_p") >= MIN_LEN)
-    pat_mins = long_p.select(pat_id, "_p").mapInPandas(
-        _explode_minimizers(pat_id, "_p"), f"{pat_id} long, h long")
-    # read twice (frequencies, then candidates): persisted so the Python
-    # hashing runs once; ~16 bytes per minimizer, about one per 9 characters
-    doc_mins = docs.select(text_id, "_t").mapInPandas(
-        _explode_minimizers(text_id, "_t"), f"{text_id} long, h long") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    wanted = pat_mins.select("h").distinct()
-    dfreq = doc_mins.join(wanted, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = pat_mins.join(dfreq, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    anchors = ranked.groupBy(pat_id).agg(
-        F.min_by("h", F.struct("df", "h")).alias("h"), F.min("df").alias("_df")) \
-        .where(F.col("_df") > 0).select(pat_id, "h")
-    cand = doc_mins.join(anchors, "h", "inner").select(text_id, pat_id)
-    verified = cand.join(docs, text_id).join(long_p, pat_id) \
-        .where(F.instr(F.col("_t"), F.col("_p")) > 0).select(text_id, pat_id)
+        def text_grams(t):
+            return set().union(*(_grams(t, n) for n in sizes))
+
+        cand = cand.unionByName(_candidates(short, docs, pat_id, text_id, pat_grams, text_grams, short=True))
+    return pats, docs, cand
 
-    short_p = pats.where(F.length("_p") < MIN_LEN)
-    stats = short_p.agg(F.count(F.lit(1)).alias("n"),
-                        F.coalesce(F.sum(F.length("_p")), F.lit(0)).alias("chars")).first()
-    result = verified
-    if stats["n"]:
-        n_chunks = max(1, int(np.ceil(stats["chars"] / SHORT_CHUNK_CHARS)))
-        chunked = short_p.withColumn("_c", F.pmod(F.xxhash64(pat_id), F.lit(n_chunks)))
-        for ch in range(n_chunks):
-            rows = chunked.where(F.col("_c") == ch).select(pat_id, "_p").collect()
-            plist = [(int(r[0]), r[1]) for r in rows]
-            hits = docs.select(text_id, "_t").mapInPandas(
-                _short_matches(plist, text_id, "_t", pat_id), f"{text_id} long, {pat_id} long")
-            result = result.unionByName(hits)
-    return result
+
+def contained_pairs(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
+                    text_col: str = "text") -> DataFrame:
+    """``(text_id, pat_id)`` for every pattern occurring verbatim in a text.
+
+    ``patterns``: (pat_id, text); ``texts``: (text_id, text). Empty patterns are
+    not matched.
+    """
+    pats, docs, cand = _sides(patterns, texts, pat_id, text_id, text_col)
+    return cand.join(docs, text_id).join(pats, pat_id) \
+        .where(F.instr(F.col("_t"), F.col("_p")) > 0).select(text_id, pat_id)
 
 
 def containment_share(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
                       text_col: str = "text") -> DataFrame:
-    """One row ``(n_total, n_found, ratio)``: share of patterns found in some text."""
-    found = contained_pairs(patterns, texts, pat_id, text_id, text_col).select(pat_id).distinct() \
-        .withColumn("_hit", F.lit(1))
-    j = patterns.select(pat_id).join(found, pat_id, "left")
-    return j.agg(F.count(F.lit(1)).alias("n_total"), F.count("_hit").alias("n_found")) \
-        .withColumn("ratio", F.col("n_found") / F.col("n_total"))
+    """One row ``(n_total, n_found, ratio)``: share of patterns found in some text.
+
+    Equal patterns and equal texts are looked up once; a semi-join ends at a
+    pattern's first hit.
+    """
+    alike = patterns.groupBy(text_col).agg(F.min(pat_id).alias(pat_id), F.count(F.lit(1)).alias("_n"))
+    distinct = texts.groupBy(text_col).agg(F.min(text_id).alias(text_id))
+    pats, docs, cand = _sides(alike, distinct, pat_id, text_id, text_col)
+    seen = cand.join(docs, text_id).select(F.col(pat_id).alias("_pid"), "_t")
+    found = pats.join(seen, (F.col(pat_id) == F.col("_pid")) & (F.instr(F.col("_t"), F.col("_p")) > 0),
+                      "left_semi").select(pat_id).withColumn("_hit", F.lit(1))
+    j = alike.select(pat_id, "_n").join(found, pat_id, "left")
+    return j.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_total"),
+                 F.coalesce(F.sum(F.when(F.col("_hit").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_found")) \
+        .withColumn("ratio", F.expr("try_divide(n_found, n_total)"))
