@@ -150,13 +150,21 @@ def batch_softmax_head(states: DataFrame, layers: list[int], batch_size: int,
 
 # ---------------------------------------------------------------- attention pool
 
+def _erf(x: np.ndarray) -> np.ndarray:
+    """erf by its series of positive terms, over whole arrays; 1 past |x| = 6."""
+    x = np.clip(x, -6.0, 6.0)
+    square = 2.0 * x * x
+    term = x.copy()
+    total = x.copy()
+    for n in range(1, 160):
+        term = term * (square / (2 * n + 1))
+        total += term
+    return 2.0 / np.sqrt(np.pi) * np.exp(-x * x) * total
+
+
 def _attention_scores(w1: np.ndarray, b1: np.ndarray, gamma: np.ndarray, beta: np.ndarray,
                       w2: np.ndarray, b2: float) -> Callable:
     """Score MLP per position: Linear -> LayerNorm -> GELU (exact, erf) -> Linear."""
-    from math import erf
-
-    verf = np.vectorize(erf)
-
     def fn(vecs: pd.Series) -> pd.Series:
         if len(vecs) == 0:
             return pd.Series([], dtype="float64")
@@ -165,7 +173,7 @@ def _attention_scores(w1: np.ndarray, b1: np.ndarray, gamma: np.ndarray, beta: n
         mu = h.mean(axis=1, keepdims=True)
         var = h.var(axis=1, keepdims=True)
         h = (h - mu) / np.sqrt(var + 1e-5) * gamma + beta
-        h = 0.5 * h * (1.0 + verf(h / np.sqrt(2.0)))
+        h = 0.5 * h * (1.0 + _erf(h / np.sqrt(2.0)))
         return pd.Series(h @ w2 + b2)
 
     return fn
@@ -203,6 +211,8 @@ POOLERS = {
     "weightedlayer": lambda st, layer, weights, **kw: weighted_layer_pool(st, weights),
     "mixed": lambda st, layer, weights, **kw: mixed_pool(st, weights),
     "attention": lambda st, layer, params, **kw: attention_pool(st, layer, params),
+    "attention_sup": lambda st, layer, q, w_h, layers, **kw: layer_attention(st, q, w_h, layers),
+    "absurd": lambda st, layer, head, **kw: batch_softmax_head(st, **head),
 }
 
 

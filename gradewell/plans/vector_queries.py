@@ -7,13 +7,16 @@ Vectors are compared in long form ``(id, dim, value)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions import vectors as vf
 from gradewell.operators import pooling as po
 from gradewell.plans.common import r6
-from gradewell.plans.registry import query
+from gradewell.plans.registry import QUERIES, query
 from gradewell.sources import tables
 
 T = ("quality", "toxic")
@@ -172,7 +175,7 @@ def pool_first(spark, sf):
     return _long(po.first_token(_states(spark, sf), LAST))
 
 
-@query("pool_weighted_layer", "I6 G13 I10", sql=lambda: f"""
+@query("pool_weighted_layer", "I6 G13", sql=lambda: f"""
 SELECT t.doc_id, t.dim, round(sum(v.lw * t.mask * t.x) / sum(v.lw * t.mask), 6) AS value
 FROM ({SQL_TS}) t JOIN {_layer_w_sql()} ON t.layer = v.layer
 GROUP BY t.doc_id, t.dim""")
@@ -180,7 +183,7 @@ def pool_weighted_layer(spark, sf):
     return _long(po.weighted_layer_pool(_states(spark, sf), HALVING))
 
 
-@query("pool_mixed", "I7 G13 I10", sql=lambda: f"""
+@query("pool_mixed", "I7 G13", sql=lambda: f"""
 WITH p AS (SELECT doc_id, layer, dim, sum(mask * x) / greatest(sum(mask), 1e-9) AS m
            FROM ({SQL_TS}) GROUP BY doc_id, layer, dim)
 SELECT p.doc_id, p.dim, round(sum(v.lw * p.m) / sum(v.lw), 6) AS value
@@ -222,8 +225,52 @@ def pool_batch_softmax(spark, sf):
     return _long(po.batch_softmax_head(_states(spark, sf), layers, BATCH, BS_A, BS_A0, BS_B, BS_B0))
 
 
-@query("pool_attention", "I4 G12 K2")
+ATTENTION = po.attention_params(21, WIDTH)
+
+
+def _sql_erf(x: str) -> str:
+    """erf(x) = exp(-x^2) * sum over n of x^(2n+1) / gamma(n + 3/2); all terms have one sign."""
+    size = f"greatest(abs({x}), 1e-300)"
+    return (f"sign({x}) * list_sum(list_transform(range(160), "
+            f"lambda n: exp((2 * n + 1) * ln({size}) - lgamma(n + 1.5) - {x} * {x})))")
+
+
+@query("pool_attention", "I4 G12 K2", sql=lambda: f"""
+WITH s AS (SELECT * FROM ({SQL_TS}) WHERE layer = {LAST} AND mask = 1),
+     w AS (SELECT * FROM {_matrix_values(ATTENTION['w1'])}),
+     u AS (SELECT * FROM {_values([(j, float(ATTENTION['b1'][j]), float(ATTENTION['w2'][j])) for j in range(WIDTH)],
+                                  'j, b1, w2')}),
+     h AS (SELECT s.doc_id, s.pos, w.j, sum(s.x * w.w) + min(u.b1) AS h, min(u.w2) AS w2
+           FROM s JOIN w ON s.dim = w.dim JOIN u ON u.j = w.j GROUP BY 1, 2, 3),
+     z AS (SELECT doc_id, pos, w2, (h - avg(h) OVER p) / sqrt(var_pop(h) OVER p + 1e-5) AS z
+           FROM h WINDOW p AS (PARTITION BY doc_id, pos)),
+     e AS (SELECT doc_id, pos, w2, z, z / sqrt(2.0) AS r FROM z),
+     g AS (SELECT doc_id, pos, sum(w2 * 0.5 * z * (1.0 + {_sql_erf('r')})) + {ATTENTION['b2']!r} AS score
+           FROM e GROUP BY 1, 2),
+     x AS (SELECT doc_id, pos, exp(score - max(score) OVER (PARTITION BY doc_id)) AS ex FROM g),
+     a AS (SELECT doc_id, pos, ex / sum(ex) OVER (PARTITION BY doc_id) AS a FROM x)
+SELECT s.doc_id, s.dim, round(sum(a.a * s.x), 6) AS value
+FROM s JOIN a ON s.doc_id = a.doc_id AND s.pos = a.pos GROUP BY s.doc_id, s.dim""")
 def pool_attention(spark, sf):
-    """MLP-scored attention pooling; exact GELU needs erf, so no SQL twin
-    (checked against NumPy in the tests)."""
-    return _long(po.attention_pool(_states(spark, sf), LAST, po.attention_params(21, WIDTH)))
+    """MLP-scored attention pooling with the exact GELU; the SQL twin takes erf by its series."""
+    return _long(po.attention_pool(_states(spark, sf), LAST, ATTENTION))
+
+
+#: Each pooling name with the query that shows it alone.
+SELECTOR = {"mean": "pool_mean", "max": "pool_max", "min": "pool_min", "first": "pool_first",
+            "weightedlayer": "pool_weighted_layer", "mixed": "pool_mixed", "attention": "pool_attention",
+            "attention_sup": "pool_layer_attention", "absurd": "pool_batch_softmax"}
+
+
+@query("pool_selector", "I10 K6", sql=lambda: " UNION ALL ".join(
+    f"SELECT '{name}' AS pooling, doc_id, dim, value FROM ({QUERIES[q].sql})" for name, q in SELECTOR.items()))
+def pool_selector(spark, sf):
+    """Every pooler chosen by its configuration name."""
+    states = _states(spark, sf)
+    layers = list(HALVING)
+    settings = {"weights": HALVING, "params": ATTENTION, "q": Q_VEC, "w_h": W_H, "layers": layers,
+                "head": {"layers": layers, "batch_size": BATCH, "a": BS_A, "a0": BS_A0, "b": BS_B, "b0": BS_B0}}
+    # max and min take a fill value among their own settings, so they get none of these
+    parts = [_long(po.pool(states, name, LAST, **({} if name in ("max", "min") else settings)))
+             .withColumn("pooling", F.lit(name)) for name in SELECTOR]
+    return reduce(DataFrame.unionByName, parts).select("pooling", "doc_id", "dim", "value")
