@@ -32,13 +32,19 @@ def pool_labels(labelled_folds: DataFrame, pool_features: DataFrame, x: str,
 
 
 def augment(train_folds: DataFrame, labels: DataFrame, texts: DataFrame,
-            fold_col: str, targets: Sequence[str]) -> DataFrame:
+            fold_col: str, targets: Sequence[str], text_col: str | None = None) -> DataFrame:
     """Per split f: labelled rows with fold != f (role 'train') union the pseudo
-    rows keyed to f joined to their texts (role 'pseudo')."""
+    rows keyed to f (role 'pseudo').
+
+    With ``text_col`` both sides carry that column, the pseudo rows from ``texts``
+    by an equi-join on the id; without it no join is made.
+    """
+    carried = [text_col] if text_col else []
     k_max = train_folds.agg(F.max(fold_col)).scalar()
     train = train_folds.withColumn("_split", F.explode(F.sequence(F.lit(0), k_max))) \
         .where(F.col("_split") != F.col(fold_col)) \
-        .select(F.col("_split").alias(fold_col), "text_id", F.lit("train").alias("role"), *targets)
-    pseudo = labels.join(texts.select("text_id"), "text_id", "inner") \
-        .select(fold_col, "text_id", F.lit("pseudo").alias("role"), *targets)
+        .select(F.col("_split").alias(fold_col), "text_id", F.lit("train").alias("role"), *targets, *carried)
+    if text_col:
+        labels = labels.join(texts.select("text_id", text_col), "text_id", "inner")
+    pseudo = labels.select(fold_col, "text_id", F.lit("pseudo").alias("role"), *targets, *carried)
     return train.unionByName(pseudo)

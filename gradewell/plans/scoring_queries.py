@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.config import SEEDS, TEMPLATE_GRADE
@@ -218,24 +221,37 @@ def submission_left_join(spark, sf):
     return out.select("text_id", *[R6(t).alias(t) for t in T])
 
 
-@query("pseudo_augment", "C2 F1 J14 J15 B1", sql=lambda: f"""
-WITH ef AS ({c.sql_essays_folds()}),
-     coef AS ({c.sql_coef('x_chars')}),
-     u AS ({c.sql_features(c.SQL_UNLABELLED)}),
-     pl AS (SELECT c.fold, u.text_id, {', '.join(f'c.a_{t} + c.b_{t} * u.x_chars AS {t}' for t in T)}
-            FROM u, coef c)
-SELECT s.fold, e.text_id, 'train' AS role, {', '.join(f'e.{t}' for t in T)}
-FROM ef e JOIN (SELECT DISTINCT fold FROM ef) s ON e.fold <> s.fold
-UNION ALL
-SELECT pl.fold, pl.text_id, 'pseudo' AS role, {', '.join(f'round(pl.{t}, 6)' for t in T)}
-FROM pl JOIN ({c.SQL_UNLABELLED}) x ON pl.text_id = x.text_id""")
+def _sql_pseudo(seed: int) -> str:
+    """One seed's augmented splits, texts included."""
+    return f"""
+SELECT * FROM (
+  WITH ef AS ({c.sql_essays_folds(seed=seed)}),
+       coef AS ({c.sql_coef('x_chars')}),
+       u AS ({c.sql_features(c.SQL_UNLABELLED)})
+  SELECT 'chars' AS model, {seed} AS seed, s.fold, ef.text_id, 'train' AS role,
+         {', '.join(f'ef.{t} AS {t}' for t in T)}, ef.full_text
+  FROM ef JOIN (SELECT DISTINCT fold FROM ef) s ON ef.fold <> s.fold
+  UNION ALL
+  SELECT 'chars', {seed}, coef.fold, u.text_id, 'pseudo',
+         {', '.join(f'round(coef.a_{t} + coef.b_{t} * u.x_chars, 6)' for t in T)}, u.full_text
+  FROM u CROSS JOIN coef)"""
+
+
+@query("pseudo_augment", "C2 F1 J14 J15 B1", sql=lambda: " UNION ALL ".join(map(_sql_pseudo, SEEDS)))
 def pseudo_augment(spark, sf):
-    """Training part of every fold plus pseudo-labelled pool rows of the same fold's model."""
-    base = c.essays_folds(spark, sf)
-    labels = pseudo.pool_labels(base, c.unlabelled_features(spark, sf), "x_chars", T)
-    texts = tables.unlabelled(spark, sf)
-    out = pseudo.augment(base.select("text_id", "fold", *T), labels, texts, "fold", T)
-    return out.select("fold", "text_id", "role", *[R6(t).alias(t) for t in T])
+    """Keyed (model, seed, fold): the training part of every fold with its texts, plus the
+    pool's texts labelled by the same key's model."""
+    texts = tables.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("text_id"), F.coalesce("text", F.lit("")).alias("full_text"))
+    parts = []
+    for seed in SEEDS:
+        base = c.essays_folds(spark, sf, seed)
+        labels = pseudo.pool_labels(base, c.unlabelled_features(spark, sf), "x_chars", T)
+        train = base.select("text_id", "fold", *T).join(texts, "text_id")
+        out = pseudo.augment(train, labels, texts, "fold", T, text_col="full_text")
+        parts.append(out.select(F.lit("chars").alias("model"), F.lit(seed).alias("seed"), "fold", "text_id", "role",
+                                *[R6(t).alias(t) for t in T], "full_text"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("stream_scoring", "J8 J9 (L2 streaming)", sql=lambda: f"""
