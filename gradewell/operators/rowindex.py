@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,28 @@ def hex_bucket(hex_col: str | Column, digits: int = 3) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
+BUCKET_ROWS = 65_536     # rows that one window sorts
+MAX_BUCKETS = 10_000     # bounds that the driver holds
+
+
+def range_bucket(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add ``name``: the quantile range of a numeric ``key``, about ``BUCKET_ROWS`` rows each.
+
+    The bounds come from the rows themselves (one count and, for more than one
+    bucket, one quantile sketch, both eager), so dense, sparse and clustered
+    ids give ranges of like size. A NULL key has a NULL range.
+    """
+    n = min(MAX_BUCKETS, -(-df.count() // BUCKET_ROWS))
+    if n <= 1:
+        return df.withColumn(name, F.when(F.col(key).isNotNull(), F.lit(0.0)))
+    number = f"{name}_key"
+    keyed = df.withColumn(number, F.col(key).cast("double"))
+    inner = keyed.approxQuantile(number, [i / n for i in range(1, n)], 0.25 / n)
+    bounds = [float("-inf"), *sorted(set(inner)), float("inf")]
+    ranged = Bucketizer(splits=bounds, inputCol=number, outputCol=name, handleInvalid="keep").transform(keyed)
+    return ranged.withColumn(name, F.when(F.col(key).isNotNull(), F.col(name))).drop(number)
+
+
 def global_row_index(df: DataFrame, order: Sequence, strata: Sequence[str] = (),
                      bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """Add a 1-based ``name`` column numbering rows by ``order`` within ``strata``.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.operators.parallel import spread
-from gradewell.operators.rowindex import global_row_index, ordered_row_index
+from gradewell.operators.rowindex import global_row_index, ordered_row_index, range_bucket
 
 # FIXED VALUES: special token ids and the token pattern (words or one symbol)
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
@@ -112,26 +112,47 @@ def length_batches(lens: DataFrame, batch_size: int, order_col: str = "token_len
                    id_col: str = "doc_id", name: str = "batch_id") -> DataFrame:
     """Sort by ``order_col`` then id, number rows, batch = (rank-1) div size.
 
-    Numbered per length value (split into id blocks for a length shared by
+    Numbered per length value (split into id ranges for a length shared by
     many documents), then offset by the prefix sum over distinct lengths.
     """
-    ranked = ordered_row_index(lens, order_col, [id_col],
-                               bucket=F.floor(F.col(id_col) / F.lit(65536)), name="rank")
+    ranked = ordered_row_index(range_bucket(lens, id_col, "_range"), order_col, [id_col],
+                               bucket=F.col("_range"), name="rank").drop("_range")
     return ranked.withColumn(name, F.floor((F.col("rank") - 1) / F.lit(batch_size)).cast("long"))
 
 
 def id_batches(lens: DataFrame, batch_size: int, id_col: str = "doc_id",
                name: str = "batch_id") -> DataFrame:
     """Unsorted batches in id order (the padding-waste baseline)."""
-    bucket = F.floor(F.col(id_col) / F.lit(65536))
-    ranked = global_row_index(lens, [id_col], bucket=bucket, name="_r")
+    ranked = global_row_index(range_bucket(lens, id_col, "_range"), [id_col], bucket=F.col("_range"), name="_r")
     return ranked.withColumn(name, F.floor((F.col("_r") - 1) / F.lit(batch_size)).cast("long")) \
-        .drop("_r")
+        .drop("_r", "_range")
+
+
+def id_arrays(ids: DataFrame, lens: DataFrame, max_len: int, id_col: str = "doc_id") -> DataFrame:
+    """``lens`` with ``ids``: each document's first ``max_len - 2`` token ids in order.
+
+    Later tokens go before the shuffle; a document without tokens has an empty array.
+    """
+    rows = ids.where(F.col("tpos") < max_len - 2).groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("tpos", F.col("token_id").cast("int").alias("id")))).alias("_rows"))
+    own = F.coalesce(F.col("_rows")["id"], F.array().cast("array<int>"))
+    return lens.join(rows, id_col, "left").withColumn("ids", own).drop("_rows")
 
 
 def pad_to_longest(batched: DataFrame, max_len: int, id_col: str = "doc_id") -> DataFrame:
-    """Per batch: every sequence padded to the longest truncated length (H6 H7)."""
+    """Per batch: every sequence padded to the longest truncated length (H6 H7 K4).
+
+    With an ``ids`` column (see ``id_arrays``) also ``input_ids`` and
+    ``attention_mask``, both of ``padded_length``.
+    """
     length = F.least(F.col("token_length"), F.lit(max_len))
     per_batch = batched.groupBy("batch_id").agg(F.max(length).alias("padded_length"))
-    return batched.join(per_batch, "batch_id").select(
-        id_col, "batch_id", length.alias("length"), "padded_length")
+    out = batched.join(per_batch, "batch_id").withColumn("length", length)
+    columns = [id_col, "batch_id", "length", "padded_length"]
+    if "ids" not in batched.columns:
+        return out.select(*columns)
+    pad = F.col("padded_length") - F.col("length")
+    return out.select(
+        *columns,
+        F.concat(F.array(F.lit(CLS)), "ids", F.array(F.lit(SEP)), F.array_repeat(F.lit(PAD), pad)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), F.col("length")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))

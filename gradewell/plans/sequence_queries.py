@@ -81,11 +81,23 @@ def batch_by_length(spark, sf):
 
 
 @query("pad_to_longest", "H6 H7 K4", sql=f"""
-WITH b AS ({SQL_BATCHED})
-SELECT doc_id, batch_id, least(token_length, {MAX_LEN}) AS length,
-       max(least(token_length, {MAX_LEN})) OVER (PARTITION BY batch_id) AS padded_length FROM b""")
+WITH b AS ({SQL_BATCHED}), v AS ({SQL_VOCAB}),
+     r AS (SELECT doc_id, generate_subscripts(toks, 1) - 1 AS tpos, unnest(toks) AS token FROM ({SQL_TOKS})),
+     i AS (SELECT r.doc_id, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY r.tpos) AS ids
+           FROM r JOIN v ON r.token = v.token WHERE r.tpos < {MAX_LEN - 2} GROUP BY r.doc_id),
+     p AS (SELECT doc_id, batch_id, least(token_length, {MAX_LEN}) AS length,
+                  max(least(token_length, {MAX_LEN})) OVER (PARTITION BY batch_id) AS padded_length FROM b)
+SELECT p.doc_id, batch_id, length, padded_length,
+       '{sq.CLS}' || coalesce(' ' || ids, '') || ' {sq.SEP}' || repeat(' {sq.PAD}', padded_length - length) AS input_ids,
+       trim(repeat('1 ', length) || repeat('0 ', padded_length - length)) AS attention_mask
+FROM p LEFT JOIN i ON p.doc_id = i.doc_id""")
 def pad_to_longest(spark, sf):
-    return sq.pad_to_longest(sq.length_batches(_lens(spark, sf), BATCH), MAX_LEN)
+    """Arrays of every batch's own width; shown as text, ids parted by spaces."""
+    rows = sq.token_rows(_docs(spark, sf))
+    ids = sq.attach_ids(rows, sq.build_vocab(rows))
+    batched = sq.length_batches(_lens(spark, sf), BATCH)
+    out = sq.pad_to_longest(sq.id_arrays(ids, batched, MAX_LEN), MAX_LEN)
+    return out.withColumns({x: F.array_join(F.col(x).cast("array<string>"), " ") for x in ("input_ids", "attention_mask")})
 
 
 @query("padding_waste", "H8", sql=f"""
