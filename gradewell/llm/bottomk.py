@@ -12,7 +12,9 @@ Texts that share much, though not enough, keep long lists alive. For the texts i
 such lists the sketch is deepened to the whole set: two sets with the wanted
 similarity share one of the first few of their rarest values (a fifth of the
 larger set's, a ninth of the smaller's), while texts that differ more begin with
-values of their own, and their lists fall apart.
+values of their own, and their lists fall apart. Entries of whole sets also carry
+256 parity bits, one for each residue of the values: two sets differ in at least
+as many values as these bits differ, so pairs that differ in too many are never made.
 
 With k = 40 a pair at similarity 0.8 shares 32 of 40 values on average; fewer
 than ``keep`` = 15 happens less than once in ten million pairs, and for sets of
@@ -22,6 +24,7 @@ at most k shingles the sketch is the set and nothing is left to chance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,17 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+#: Long words of parity bits with a whole set's entries.
+PARITY_WORDS = 4
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """For each residue of the values, whether an odd number of them has it, as bits."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((values.astype(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
@@ -83,7 +97,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int, wanted: bytes) -> DataFrame:
-    """``(ha, hb, values)`` of the documents whose id may be wanted."""
+    """``(ha, hb, values, parity)`` of the documents whose id may be wanted."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             ids = batch.column("doc_id").fill_null(0).to_numpy()
@@ -92,9 +106,9 @@ def full_sets(docs: DataFrame, size: int, wanted: bytes) -> DataFrame:
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 _lists(sets)], ["ha", "hb", "values"])
+                 _lists(sets), _lists([parity(s) for s in sets])], ["ha", "hb", "values", "parity"])
 
-    return docs.mapInArrow(read, "ha long, hb long, values array<long>")
+    return docs.mapInArrow(read, "ha long, hb long, values array<long>, parity array<long>")
 
 
 def inverted_lists(classes: DataFrame, k: int, keep: int) -> DataFrame:
@@ -111,26 +125,29 @@ def inverted_lists(classes: DataFrame, k: int, keep: int) -> DataFrame:
     prefix = F.greatest(F.lit(0), held - need + 1 - (held - F.size("common")))
     return (common.select("node", "n_shingles", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("e"))
             .select(F.col("e.key").alias("key"), "node", F.lit(True).alias("indexed"),
-                    F.struct(F.col("n_shingles").alias("n"), F.lit(0).alias("before")).alias("trait")))
+                    F.struct(F.col("n_shingles").alias("n"), F.lit(0).alias("before"),
+                             F.lit(None).cast("array<long>").alias("parity")).alias("trait")))
 
 
 def deep_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """List entries of whole sets ``(node, values)``. A set is indexed under so many
+    """List entries of whole sets ``(node, values, parity)``. A set is indexed under so many
     of its rarest values that a larger set with the wanted similarity shares one
     of them, and looks up so many that a smaller one does."""
     size = F.size("values")
     values = sets.select("node", size.alias("n"), F.explode("values").alias("key"))
     shared = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     common = (values.join(shared, "key").groupBy("node", "n")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("common")))
+              .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("common"))
+              .join(sets.select("node", "parity"), "node"))
     alone = F.col("n") - F.size("common")           # values of its own come first
     looks = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     holds = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - alone
-    return (common.select("node", "n", F.size("common").alias("shared"), holds.alias("holds"), F.posexplode(
+    return (common.select("node", "n", "parity", F.size("common").alias("shared"), holds.alias("holds"), F.posexplode(
                 F.slice("common", F.lit(1), F.greatest(looks, F.lit(0)).cast("int"))).alias("place", "e"))
             .select(F.col("e.key").alias("key"), "node", (F.col("place") < F.col("holds")).alias("indexed"),
                     F.struct(F.col("n").cast("long").alias("n"),
-                             (F.col("n") - F.col("shared") + F.col("place")).alias("before")).alias("trait")))
+                             (F.col("n") - F.col("shared") + F.col("place")).alias("before"),
+                             "parity").alias("trait")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -157,7 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # sizes, and what can be common from the first common value on, must allow the similarity
         sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
         rest = F.least(x["n"] - x["before"], y["n"] - y["before"])
-        return sizes & (rest * (100 + percent) >= (x["n"] + y["n"]) * percent)
+        apart = reduce(lambda s, t: s + t, [F.bit_count(x["parity"][i].bitwiseXOR(y["parity"][i]))
+                                            for i in range(PARITY_WORDS)])
+        close = F.coalesce(apart * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent), F.lit(True))
+        return sizes & (rest * (100 + percent) >= (x["n"] + y["n"]) * percent) & close
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs
@@ -171,8 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = staged(classes.select("node", "ha", "hb", "least").join(nodes, "node"), "wanted")
         sets = full_sets(data, size, bitmap(wanted.select(F.coalesce("least", F.lit(0)).alias("least")), "least"))
-        return staged(wanted.select("node", "ha", "hb").join(sets, ["ha", "hb"]).select("node", "values")
-                      .dropDuplicates(["node"]), "values")
+        return staged(wanted.select("node", "ha", "hb").join(sets, ["ha", "hb"])
+                      .select("node", "values", "parity").dropDuplicates(["node"]), "values")
 
     def refine(nodes: DataFrame) -> DataFrame:
         return staged(deep_lists(sets_of(nodes), percent), "deep")
