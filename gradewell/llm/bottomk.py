@@ -65,8 +65,8 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-#: Long words of parity bits with a whole set's entries.
-PARITY_WORDS = 4
+#: Long words of parity bits, and keys named before their own one, in a whole set's entries.
+PARITY_WORDS, PREVIOUS = 4, 4
 
 
 def parity(values: np.ndarray) -> np.ndarray:
@@ -126,7 +126,8 @@ def inverted_lists(classes: DataFrame, k: int, keep: int) -> DataFrame:
     return (common.select("node", "n_shingles", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("e"))
             .select(F.col("e.key").alias("key"), "node", F.lit(True).alias("indexed"),
                     F.struct(F.col("n_shingles").alias("n"), F.lit(0).alias("before"),
-                             F.lit(None).cast("array<long>").alias("parity")).alias("trait")))
+                             F.lit(None).cast("array<long>").alias("parity"),
+                             F.lit(None).cast("array<long>").alias("previous")).alias("trait")))
 
 
 def deep_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -142,12 +143,18 @@ def deep_lists(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("common")           # values of its own come first
     looks = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     holds = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1 - alone
-    return (common.select("node", "n", "parity", F.size("common").alias("shared"), holds.alias("holds"), F.posexplode(
-                F.slice("common", F.lit(1), F.greatest(looks, F.lit(0)).cast("int"))).alias("place", "e"))
-            .select(F.col("e.key").alias("key"), "node", (F.col("place") < F.col("holds")).alias("indexed"),
+
+    def entry(e, i):
+        previous = F.slice("common", F.greatest(i - PREVIOUS + 1, F.lit(1)), F.least(i, F.lit(PREVIOUS)))
+        return F.struct(i.alias("place"), e["key"].alias("key"), previous["key"].alias("previous"))
+
+    looked = F.slice("common", F.lit(1), F.greatest(looks, F.lit(0)).cast("int"))
+    return (common.select("node", "n", "parity", F.size("common").alias("shared"), holds.alias("holds"),
+                          F.explode(F.transform(looked, entry)).alias("e"))
+            .select(F.col("e.key").alias("key"), "node", (F.col("e.place") < F.col("holds")).alias("indexed"),
                     F.struct(F.col("n").cast("long").alias("n"),
-                             (F.col("n") - F.col("shared") + F.col("place")).alias("before"),
-                             "parity").alias("trait")))
+                             (F.col("n") - F.col("shared") + F.col("e.place")).alias("before"),
+                             "parity", F.col("e.previous").alias("previous")).alias("trait")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -179,6 +186,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         close = F.coalesce(apart * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent), F.lit(True))
         return sizes & (rest * (100 + percent) >= (x["n"] + y["n"]) * percent) & close
 
+    def first(x, y):
+        # a pair with a common key among the ones just before was made under that key
+        return ~F.coalesce(F.arrays_overlap(x["previous"], y["previous"]), F.lit(False))
+
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs
         for side in ("a", "b"):
@@ -209,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (dealt.join(hubs, ["a", "part"]).withColumn("both", both)
                 .where(100 * F.col("both") >= percent * (F.size("va") + F.size("vb") - F.col("both"))).select("a", "b"))
 
-    linked = linked_classes(entries, verify, compatible, refine)
+    linked = linked_classes(entries, verify, compatible, refine, first)
     with_comp = classes.select("node", "ha", "hb", "least").join(linked, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
     least = with_comp.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -67,7 +67,8 @@ def _live(entries: DataFrame, classes: DataFrame | None) -> tuple[DataFrame, int
 
 def linked_classes(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
                    compatible: Callable[[Column, Column], Column],
-                   refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   refine: Callable[[DataFrame], DataFrame] | None = None,
+                   first: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``(node, comp)`` of the nodes that have a link.
 
     ``entries (key, node, indexed, trait)``: stored; two nodes are a candidate
@@ -75,7 +76,8 @@ def linked_classes(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     tells from two traits that a pair may be linked, and never denies a linked
     one. ``verify`` keeps the linked ones of the pairs ``(a, b)``. ``refine``
     gives stored entries for some nodes alone, under which all linked pairs of
-    them are candidates again.
+    them are candidates again. ``first`` may deny a pair under a key if it is one
+    under another key too, which it does not deny there; it only saves rows.
     """
     classes: DataFrame | None = None
     most = 4 * entries.count()
@@ -92,6 +94,8 @@ def linked_classes(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
             indexed = indexed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.*").drop("order")
         if pairs:
             across = (F.col("comp") != F.col("comp_i")) & compatible(F.col("trait"), F.col("trait_i"))
+            if last and first is not None:
+                across = across & first(F.col("trait"), F.col("trait_i"))
             some = (rows.join(indexed, (rows["key"] == indexed["key"]) & across)
                     .select(F.least("node", "node_i").alias("a"), F.greatest("node", "node_i").alias("b")).distinct())
             classes = _merged(classes, staged(verify(staged(some, "pairs")).select("a", "b"), "links"))
