@@ -503,3 +503,39 @@ def test_pipeline_stages(spark):
 def test_statistics_helpers():
     assert textstats.counts("", [])["symbol_share"] == 0
     assert textstats.repeated_words("a b c d e a b c d e".encode().split()) == 10
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 30, 400, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10:], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))
+        apart = sum(int(x).bit_count() for x in bottomk.parity(a) ^ bottomk.parity(b))
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_near_duplicates_among_many_texts_alike_but_not_enough(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(400):                    # near copies with up to nine words changed each
+        words = list(base)
+        for p in rng.integers(0, 90, rng.integers(0, 10)):
+            words[p] = f"x{rng.integers(0, 50)}"
+        rows.append((i, " ".join(words)))
+    out = {r.doc_id: r for r in bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(bottomk.shingle_set(t, 5).tolist()) for _, t in rows]
+    least = list(range(400))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in range(400):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    assert {i: r.component_id for i, r in out.items()} == {i: root(i) for i in range(400)}
