@@ -344,6 +344,48 @@ def test_line_verdicts_against_all_pairs(spark):
         assert out[i] == keep
 
 
+def _word_edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        i, how = rng.randrange(len(words)), rng.randrange(3)
+        words[i:i + (how > 0)] = [] if how == 1 else ["".join(rng.choice("efgh") for _ in range(rng.randrange(3, 7)))]
+    return words
+
+
+def test_long_lines_with_word_edits_against_all_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    lines = []
+    for n in (18, 20, 50, 55, 60, 300, 600) * 2:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        lines += [" ".join(base)] + [" ".join(_word_edited(rng, base, k)) for k in (1, 1, 2, 3, 6)]
+        lines += [_edited(rng, lines[-6], line_dedup.threshold(len(lines[-6])))]
+    rng.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    group, wide = list(range(len(lines))), 0
+    for j, b in enumerate(lines):
+        for i, a in enumerate(lines[:j]):
+            most = line_dedup.threshold(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= most and line_dedup.within(a, b, most):
+                wide += not line_dedup.within(a, b, 2)
+                group = [group[i] if g == group[j] else g for g in group]
+    assert wide > 40
+    first = {g: i for i, g in reversed(list(enumerate(group)))}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_verdicts(df).collect()}
+    assert got == {i: int(first[g] != i) for i, g in enumerate(group)}
+
+
+def test_lines_with_one_word_changed_are_near_duplicates(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(500)]
+    for words in (base[:50], base):                        # some 300 and 3,000 characters
+        at = len(words) // 2
+        texts_ = [words, words[:at] + ["replaced"] + words[at + 1:], words[:at] + ["put"] + words[at:], words[:at] + words[at + 1:]]
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts_)], "doc_id long, text string")
+        assert rows(line_dedup.line_verdicts(df), "doc_id", "n_removed") == [(0, 0), (1, 1), (2, 1), (3, 1)]
+
+
 def test_line_dedup_edges(odd, empty):
     assert line_dedup.line_verdicts(empty).collect() == []
     assert line_dedup.dedup_lines(odd).count() == len(ODD) + 2
