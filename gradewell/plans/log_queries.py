@@ -128,8 +128,8 @@ SELECT run AS user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS w
        count(*) AS n_updates, round(sum(val * n) / nullif(sum(n), 0), 6) AS avg
 FROM ({SQL_LOG}) GROUP BY run, date_trunc('day', ts)""")
 def meter_stream(spark, sf):
-    """The meter as a Structured Streaming aggregation over the events files
-    (watermarked daily windows), drained with an availableNow trigger."""
+    """The meter's daily windows over the events files, read as a stream that is
+    drained with an availableNow trigger; every row counts."""
     from gradewell.streaming import meter
 
     schema = tables.table(spark, sf, "events").schema

@@ -1,15 +1,13 @@
 """Structured Streaming forms of the training meter (L1) and of stream-static
 scoring (L2). Derived extensions: the reference itself has no streams.
 
-L1: windowed n-weighted meter per run over a metric-event stream, with a
-watermark bounding state. L2: a stream of documents scored against a static
+L1: windowed n-weighted meter per run over a metric-event stream; a watermark
+bounds the state of one that goes on, a bounded drain counts all rows. L2: a stream of documents scored against a static
 coefficient table (broadcast, bounded by families x folds x targets).
 """
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +30,20 @@ def metric_stream(spark: SparkSession, path_glob: str, schema, max_files: int =
 
 
 def windowed_meter(stream: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """Per (run, window): updates, n-weighted mean, last-window state kept until
-    the watermark passes the window end."""
-    return stream.withWatermark("ts", watermark).groupBy("run", F.window("ts", window)).agg(
-        F.count(F.lit(1)).alias("n_updates"),
-        F.sum(F.col("val") * F.col("n")).alias("_vn"), F.sum("n").alias("_n")) \
+    """Per (run, window): updates, n-weighted mean. On a stream that goes on, a
+    window's state is kept until the watermark passes its end, and later rows are
+    dropped; a table has no watermark, and all its rows count."""
+    return stream.withWatermark("ts", watermark).groupBy("run", F.window("ts", window)).agg(*_sums()) \
         .select("run", F.to_utc_timestamp(F.col("window.start"), F.current_timezone()).alias("window_start"), "n_updates",
-                F.try_divide(F.col("_vn"), F.col("_n")).alias("avg"))
+                _average())
+
+
+def _sums() -> list[F.Column]:
+    return [F.count(F.lit(1)).alias("n_updates"), F.sum(F.col("val") * F.col("n")).alias("_vn"), F.sum("n").alias("_n")]
+
+
+def _average() -> F.Column:
+    return F.try_divide(F.col("_vn"), F.col("_n")).alias("avg")
 
 
 def score_stream(docs_stream: DataFrame, coef: DataFrame, x: str, targets) -> DataFrame:
@@ -63,26 +68,16 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-#: Time of the row that ends a metric stream; its own window never closes.
-END_OF_STREAM = datetime.datetime(9000, 1, 1)
-
-
 def meter_to_table(spark: SparkSession, stream: DataFrame, window: str = "1 day",
                    watermark: str = "1 day") -> DataFrame:
     """All windows of the meter over what a metric stream holds now.
 
-    Append mode: a window is written, and its state let go, when the watermark
-    passes its end; rows later than the watermark are dropped, as the stream's
-    contract says. Once the stream is drained, the query goes on from its
-    checkpoint with one row far in the future, which closes all windows.
+    A bounded drain counts every row, in whatever order its files come: the stream
+    writes its rows to the shared folder without state or watermark, and the meter
+    then runs over all of them. Rows without a time form a window of their own,
+    whose start is null. ``watermark`` bounds state only where a stream goes on.
     """
-    ends = scratch_path(spark, "stream-end")
-    row = spark.createDataFrame([(None, END_OF_STREAM, None, None, None)], stream.schema)
-    row.limit(0).write.parquet(ends)
-    path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    metered = windowed_meter(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)),
-                             window, watermark)
-    drain(metered, path, checkpoint)
-    row.write.mode("append").parquet(ends)
-    drain(metered, path, checkpoint)
-    return spark.read.schema(metered.schema).parquet(path)
+    rows = run_to_table(spark, stream)
+    timeless = rows.where("ts IS NULL").groupBy("run").agg(*_sums())
+    return windowed_meter(rows, window, watermark).unionByName(
+        timeless.select("run", F.lit(None).cast("timestamp").alias("window_start"), "n_updates", _average()))

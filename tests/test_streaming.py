@@ -28,6 +28,23 @@ def test_meter_over_several_files_in_time_order(spark, tmp_path):
     assert meter.meter_to_table(spark, stream).agg(F.sum("n_updates")).first()[0] == log.count()
 
 
+def test_meter_over_several_files_in_reverse_time_order(spark, tmp_path):
+    log = tables.table(spark, SF_SMALL, "events")
+    late = log.limit(3).withColumn("ts", F.lit(None).cast(log.schema["ts"].dataType))
+    days = [log.where("ts >= '2024-01-20'"), log.where("ts >= '2024-01-10' AND ts < '2024-01-20'"),
+            log.where("ts < '2024-01-10'"), late]
+    for i, part in enumerate(days):
+        part.coalesce(1).write.parquet(str(tmp_path / f"events{i}"))
+    events = spark.read.schema(log.schema).parquet(*[str(tmp_path / f"events{i}") for i in range(len(days))])
+    stream = meter.metric_stream(spark, str(tmp_path / "events*"), log.schema)
+    got = meter.meter_to_table(spark, stream).select("run", "window_start", "n_updates", F.round("avg", 9).alias("avg"))
+    n = F.get_json_object("props", "$.k").cast("int")
+    want = events.groupBy(F.col("user_id").alias("run"), F.date_trunc("day", "ts").cast("timestamp").alias("window_start")).agg(
+        F.count(F.lit(1)).alias("n_updates"), F.round(F.try_divide(F.sum(F.col("value") * n), F.sum(n)), 9).alias("avg"))
+    key = lambda r: str(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
 def test_stream_static_scoring(spark, tmp_path):
     docs = c.featurised(tables.unlabelled(spark, SF_SMALL)).select("text_id", "x_chars")
     docs.write.parquet(str(tmp_path / "docs"))
