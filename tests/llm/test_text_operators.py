@@ -386,6 +386,20 @@ def test_lines_with_one_word_changed_are_near_duplicates(spark):
         assert rows(line_dedup.line_verdicts(df), "doc_id", "n_removed") == [(0, 0), (1, 1), (2, 1), (3, 1)]
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    line = lambda i: f"line number {i} of this test, " + hashlib.sha256(bytes([i])).hexdigest()
+    a, b, c = line(1), line(2), line(3)
+    for shared in (5, None):
+        df = spark.createDataFrame([(shared, f"{b}\n{c}", 0), (shared, f"{a}\n{line(4)}", 1), (shared, f"{line(5)}\n{a}", 2),
+                                    (shared, f"{b}\n{c}", 3), (9, f"{c}\n{line(6)}", 4), (9, None, 5)],
+                                   "doc_id long, text string, n int")
+        out = {r["n"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+        assert out[0] == out[3] == f"{b}\n{c}" and out[4] == line(6) and out[5] is None
+        assert sorted((out[1] + "\n" + out[2]).split("\n")) == sorted([a, line(4), line(5)])
+        verdicts = rows(line_dedup.line_verdicts(df), "doc_id", "n_lines", "n_removed")
+        assert sorted(v[1:] for v in verdicts if v[0] == shared) == [(2, 0), (2, 0), (2, 1)]
+
+
 def test_line_dedup_edges(odd, empty):
     assert line_dedup.line_verdicts(empty).collect() == []
     assert line_dedup.dedup_lines(odd).count() == len(ODD) + 2
