@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import bitmap, by_bytes, id_and_text, in_bitmap, staged
+from gradewell.llm.common import bitmap, by_bytes, id_and_text, in_bitmap, staged, text_hash
 from gradewell.llm.links import linked_classes
 
 # A-Z are lowered, all else stays; words end at ASCII white space.
@@ -83,17 +83,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """``(doc_id, n_shingles, ha, hb, sketch)``: set size, digest and least values."""
+    """All columns but ``text``, and ``n_shingles, ha, hb, sketch``: set size, digest and least values."""
+    others = docs.drop("text").schema
+    names = others.fieldNames()
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [*(batch.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 _lists([s[:k] for s in sets])], ["doc_id", "n_shingles", "ha", "hb", "sketch"])
+                 _lists([s[:k] for s in sets])], [*names, "n_shingles", "ha", "hb", "sketch"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, ha long, hb long, sketch array<long>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
+    return docs.mapInArrow(sketch, f"{kinds}, n_shingles long, ha long, hb long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, size: int, wanted: bytes) -> DataFrame:
@@ -170,7 +174,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is null. An empty table gives an empty result; other columns are
     not read.
     """
+    return (judged(id_and_text(docs, id_col, text_col), size, percent, k, keep)
+            .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
+                percent: int = 80, k: int = 40, keep: int = 15) -> DataFrame:
+    """The table with one row of each class of ``near_duplicates``, and all rows
+    without words: among equal ids the text with the least hashes, among equal
+    texts of one id any row."""
     data = id_and_text(docs, id_col, text_col)
+    rows = judged(data.select("doc_id", *text_hash(F.col("text")), "text"), size, percent, k, keep)
+    rows = staged(rows.where("kept").groupBy("comp", "doc_id", "ta", "tb").agg(F.count("*").alias("n")), "judged")
+    best = F.min(F.struct("doc_id", "ta", "tb", "n")).alias("best")
+    picked = rows.where("comp IS NOT NULL").groupBy("comp").agg(best).select("best.*")
+    wordless = rows.where("comp IS NULL").select("doc_id", "ta", "tb", F.lit(1).cast("long").alias("n"))
+    picked = staged(picked.unionByName(wordless).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "ta", "tb", "n")]),
+                    "picked")
+    ta, tb = text_hash(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (ta == F.col("__ta")) & (tb == F.col("__tb"))
+    out = docs.join(picked.where("__n = 1"), same, "left_semi")
+    repeated = picked.where("__n > 1")
+    if not repeated.isEmpty():
+        once = docs.join(repeated, same).dropDuplicates(["__doc_id", "__ta", "__tb"])
+        out = out.unionByName(once.select(docs.columns))
+    return out
+
+
+def judged(data: DataFrame, size: int, percent: int, k: int, keep: int) -> DataFrame:
+    """Rows of ``data (doc_id, text, ...)`` without their texts, with ``n_shingles``,
+    ``component_id`` and ``kept`` of ``near_duplicates``, and ``comp``: the class,
+    null for a text without words."""
     rows = staged(sketches(data, size, k), "sketches")
     classes = staged(rows.where("n_shingles > 0").groupBy("ha", "hb").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -224,9 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_comp = classes.select("node", "ha", "hb", "least").join(linked, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
     least = with_comp.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_set = with_comp.join(least, "comp").select("ha", "hb", "component_id", F.lit(True).alias("has_set"))
-    component = F.when(F.col("has_set"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return (rows.select("doc_id", "n_shingles", "ha", "hb")
-            .join(of_set, ["ha", "hb"], "left").withColumn("component_id", component)
-            .select("doc_id", "n_shingles", "component_id",
+    of_set = with_comp.join(least, "comp").select("ha", "hb", "comp", "component_id")
+    component = F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return (rows.drop("sketch").join(of_set, ["ha", "hb"], "left").withColumn("component_id", component)
+            .select(*data.drop("text").columns, "n_shingles", "comp", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")))

@@ -470,6 +470,20 @@ def test_long_lists_are_refined_without_loss(spark, monkeypatch):
     assert got == dict(enumerate(group)) and len(steps) > 1
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice("abcdefgh") * 2 + str(rng.randrange(90)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    table_ = [(1, a), (1, a), (2, a + " end"), (3, b), (1, b), (7, c), (7, c + " end"), (None, d), (None, d + " end"),
+              (None, a), (None, e), (8, e), (9, ""), (9, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(table_)], "doc_id long, text string, n int")
+    kept = rows(corpus_pipeline.near_dedup(spark, df, SF))
+    got = [r[:2] for r in kept]
+    group = {t: g for g, x in enumerate((a, b, c, d, e)) for t in (x, x + " end")}
+    assert sorted(group[t] for _, t in got if t) == [0, 1, 2, 3, 4] and got.count((9, "")) == 2
+    assert {group[t]: i for i, t in got if t} == {0: 1, 1: 1, 2: 7, 3: None, 4: 8}
+
+
 def test_near_duplicates_edges(odd, empty):
     got = bottomk.near_duplicates(odd).collect()
     assert len(got) == len(ODD) + 2
