@@ -66,10 +66,12 @@ class TestBlock:
         which = which.reshape(-1)
         self.needs = (self.windows > 0).sum(1)
         self.owners: list[list[int]] = [[] for _ in self.windows]
-        self.first = np.zeros(len(self.windows), np.int64)
         for i, w in enumerate(which):
             self.owners[w].append(owners[i])
-            self.first[w] = starts[i]
+        # all places of a window, one window's after another's
+        self.places = np.array(starts, np.int64)[np.argsort(which, kind="stable")]
+        self.n_places = np.bincount(which, minlength=len(self.windows))
+        self.first = np.cumsum(self.n_places) - self.n_places
         top = (1 << self.bits) - 1
         high = np.where(self.windows > 0, self.windows, top)
         self.low_keys, self.high_keys = self._keys(self.windows), self._keys(high)
@@ -143,14 +145,16 @@ def find(texts: list[list[bytes]], block: TestBlock):
     np.add.at(marks, at, 1)
     np.add.at(marks, at + need, -1)
     docs = np.searchsorted(ends, at, side="right")
-    # longest verbatim match: go on while the next words agree
-    length, going = need.copy(), np.arange(len(at))
-    test = block.first[which]
-    while len(going):
-        a, b = tokens[at[going] + length[going]], block.tokens[test[going] + length[going]]
-        going = going[(a == b) & (a > 0)]
-        length[going] += 1
-    np.maximum.at(longest, docs, length)
+    # longest verbatim match: from each place of the window, go on while the next words agree
+    for nth in range(int(block.n_places[which].max(initial=0))):
+        some = np.flatnonzero(block.n_places[which] > nth)
+        here, test, length = at[some], block.places[block.first[which[some]] + nth], need[some]
+        going = np.arange(len(some))
+        while len(going):
+            a, b = tokens[here[going] + length[going]], block.tokens[test[going] + length[going]]
+            going = going[(a == b) & (a > 0)]
+            length[going] += 1
+        np.maximum.at(longest, docs[some], length)
     pairs = np.unique(np.column_stack([docs, which]), axis=0)
     return starts, np.cumsum(marks[:-1]) > 0, pairs, longest
 

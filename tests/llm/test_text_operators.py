@@ -541,6 +541,22 @@ def test_contamination_against_all_windows(spark):
     assert sorted((r["doc_id"] or -1) for r in clean) == sorted((w[0] or -1) for w in want if not w[5])
 
 
+def test_longest_match_among_items_that_share_a_passage():
+    rng = random.Random(14)
+    shared = [f"s{i}" for i in range(12)]
+    items = [[f"{k}a{i}" for i in range(rng.randrange(4))] + shared + [f"{k}b{i}" for i in range(8)] for k in "xyz"]
+    texts_ = [["o"] + shared + [f"{k}b{i}" for i in range(5)] + ["o"] for k in "xyz"] + [shared[:9], shared, items[1]]
+
+    def brute(words):
+        return max((n for x in items for i in range(len(x)) for n in range(10, len(x) - i + 1)
+                    if any(words[j:j + n] == x[i:i + n] for j in range(len(words)))), default=0)
+
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        block = decontam.TestBlock([(str(i), " ".join(items[i])) for i in order], 10)
+        longest = decontam.find([[w.encode() for w in t] for t in texts_], block)[3]
+        assert longest.tolist() == [brute(t) for t in texts_]
+
+
 def test_contamination_edges(spark, odd, empty):
     none = spark.createDataFrame([], "item_id string, text string")
     assert {r["contaminated"] for r in decontam.contamination(odd, none).collect()} == {False}
