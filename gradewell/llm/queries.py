@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bottomk, chat, decontam, line_dedup, packing, pairwise, pii, rules, tokens, wavelet
+from gradewell.llm import (bottomk, chat, decontam, line_dedup, main_text, packing, pairwise, phrases, pii, rules, tokens,
+                           variants, wavelet)
 from gradewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,51 @@ def op6_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lstm_crf_pii")
 def op4_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_main_text")
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+langs AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+runs AS (
+  SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+  SELECT DISTINCT lang, array_to_string(list_slice(string_split(phrase, ' '), i, i + part - 1), ' ') AS phrase, a
+  FROM (SELECT lang, phrase, a, size, part, unnest(range(1, size - part + 2)) AS i
+        FROM f, (SELECT unnest(range(2, 5)) AS part) WHERE size > part)),
+kept AS (
+  SELECT * FROM f WHERE size >= 2 AND NOT EXISTS (
+    SELECT 1 FROM longer WHERE longer.lang = f.lang AND longer.phrase = f.phrase AND 100 * longer.a >= 100 * f.a)),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS first,
+         array_to_string(list_slice(string_split(phrase, ' '), k + 1, size), ' ') AS rest
+  FROM (SELECT lang, phrase, a, size, unnest(range(1, size)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+  JOIN langs ON langs.lang = c.lang),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least_cut QUALIFY rank <= 2000"""
+
+
+@query("op13_phrase_collocations", PHRASE_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("at")
