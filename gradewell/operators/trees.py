@@ -1,9 +1,12 @@
 """Boosted regression trees for every (fold, target) cell in the same passes.
 
 Features are cut into bins at approximate quantiles once. A boosting round grows
-one tree in every live cell, level by level: each task adds up residuals and rows
-by (open leaf, feature, bin), Spark sums these histograms, and the driver picks
-the splits of all cells. Prediction starts from the training mean and every tree
+one tree in every live cell, best leaf first: each task adds up residuals and rows
+by (node, feature, bin), Spark sums these histograms, and the driver picks the
+splits of all cells. A pass measures the smaller child of every leaf that may still
+be split within the limit of leaves; the larger child's histogram is the parent's
+less the smaller one's. So a pass counts at most half of the rows, and a tree takes
+as many passes as it has levels, not leaves. Prediction starts from the training mean and every tree
 is shrunk. The first pass of a round also returns the squared error on the cell's
 held-out fold, so a cell ends during training, once ``patience`` rounds brought
 no lower error. Rows stay in Spark; their running predictions are written to the
@@ -12,8 +15,9 @@ shared folder every ``FLUSH`` rounds and tasks add the trees since then.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,11 +29,14 @@ from gradewell.operators.treesum import BLOCK_SCHEMA, block_sum, blocks, collect
 from gradewell.session import scratch_path
 
 # FIXED VALUES (reference boosting settings): learning rate 0.01, feature and
-# row sampling 0.8, L2 penalty 2, 50 leaves, patience 500, at most 6000 rounds.
+# row sampling 0.8 (rows drawn anew every 10 rounds), L2 penalty 2, 50 leaves, 5 rows
+# in a leaf at least, patience 500, at most 6000 rounds.
 STEP_SIZE = 0.01
 SAMPLE = 0.8
 L2 = 2.0
+SAMPLE_ROUNDS = 10
 MAX_LEAVES = 50
+MIN_ROWS = 5
 
 FLUSH = 25
 
@@ -72,6 +79,7 @@ class BoostedCells:
     targets: tuple
     step_size: float
     summary: list[dict]
+    counted: list[tuple[int, int]] = field(default_factory=list)    # of each later pass: rows counted, rows of the split leaves
 
 
 def patience_step(best: tuple[float, int], i: int, value: float, patience: int) -> tuple[tuple[float, int], bool]:
@@ -127,12 +135,12 @@ def _advance(pred: np.ndarray, bins: np.ndarray, pending: list[dict[int, Tree]],
     return pred
 
 
-def _histograms(pending, growing: dict[int, Tree], open_leaves: dict[int, list[int]], targets, shape,
+def _histograms(pending, growing: dict[int, Tree], measured: dict[int, list[int]], targets, shape,
                 step: float, seed: int, share: float, held_out: bool):
     n_features, n_bins = shape
 
     def fn(batches):
-        sums = {c: np.zeros((2, len(open_leaves[c]) * n_features * n_bins)) for c in growing}
+        sums = {c: np.zeros((2, len(measured[c]) * n_features * n_bins)) for c in growing}
         error = np.zeros((2, max(growing) + 1))
         offset = np.arange(n_features) * n_bins
         for pdf in batches:
@@ -152,7 +160,7 @@ def _histograms(pending, growing: dict[int, Tree], open_leaves: dict[int, list[i
                     error[0, c] += (judged * judged).sum()
                     error[1, c] += len(judged)
                 place = np.full(len(tree.feature), -1)
-                place[open_leaves[c]] = np.arange(len(open_leaves[c]))
+                place[measured[c]] = np.arange(len(measured[c]))
                 place = place[tree.leaves(bins)]
                 rows = np.flatnonzero(known & inside & (fold != f) & (place >= 0))
                 cell = (place[rows, None] * (n_features * n_bins) + offset + bins[rows]).ravel()
@@ -165,29 +173,96 @@ def _histograms(pending, growing: dict[int, Tree], open_leaves: dict[int, list[i
     return fn
 
 
-def best_splits(sums: np.ndarray, features: np.ndarray, lam: float, min_rows: int) -> list[tuple]:
-    """``(gain, feature, cut, left value, right value)`` of each open leaf, or None;
-    ``sums`` is (2, leaves, features, bins): residuals and rows."""
-    left = sums.cumsum(axis=3)
+def best_split(sums: np.ndarray, features: np.ndarray, lam: float, min_rows: int) -> tuple | None:
+    """``(gain, feature, cut, left value, right value, rows left, rows)`` of a leaf, or None;
+    ``sums`` is (2, features, bins): residuals and rows. Of equal gains, to nine digits,
+    the first counts, so that sums got by subtraction split as measured ones do."""
+    left = sums.cumsum(axis=2)
     total = left[..., -1:]
     right = total - left
-    gain = (left[0] ** 2 / (left[1] + lam) + right[0] ** 2 / (right[1] + lam)
-            - total[0] ** 2 / (total[1] + lam))
     allowed = (left[1] >= min_rows) & (right[1] >= min_rows)
-    allowed[:, np.setdiff1d(np.arange(sums.shape[2]), features)] = False
+    allowed[np.setdiff1d(np.arange(sums.shape[1]), features)] = False
+    safe = lambda n: np.where(n + lam > 0, n + lam, 1.0)
+    gain = left[0] ** 2 / safe(left[1]) + right[0] ** 2 / safe(right[1]) - total[0] ** 2 / safe(total[1])
     gain = np.where(allowed, gain, 0.0)
-    out = []
-    for leaf in range(sums.shape[1]):
-        feature, cut = np.unravel_index(gain[leaf].argmax(), gain[leaf].shape)
-        at = (leaf, feature, cut)
-        out.append((gain[at], int(feature), int(cut), float(left[0][at] / (left[1][at] + lam)),
-                    float(right[0][at] / (right[1][at] + lam))) if gain[at] > 0 else None)
-    return out
+    best = gain.max(initial=0.0)
+    if best <= 1e-12 * max(1.0, float((total[0] ** 2).max(initial=0.0))):
+        return None
+    feature, cut = np.unravel_index((gain >= best * (1 - 1e-9)).argmax(), gain.shape)
+    at = (feature, cut)
+    return (float(best), int(feature), int(cut), float(left[0][at] / safe(left[1][at])),
+            float(right[0][at] / safe(right[1][at])), int(round(left[1][at])), int(round(total[1][at[0], 0])))
+
+
+class Growth:
+    """One cell's tree while it grows: ``tree`` has every node looked at so far, and
+    ``asked`` are those whose histograms the next pass measures."""
+
+    def __init__(self, features: np.ndarray, lam: float, min_rows: int, max_leaves: int, max_depth: int | None):
+        self.features, self.lam, self.min_rows = features, lam, min_rows
+        self.max_leaves, self.max_depth = max_leaves, max_depth or np.inf
+        self.tree, self.asked = Tree(), [0]
+        self.depth, self.parent = [0], [-1]
+        self.sums: dict[int, np.ndarray] = {}                # of the leaves that are known
+        self.found: dict[int, tuple] = {}                    # best split of a node that has one
+        self.rows = self.parent_rows = 0                     # counted by the last pass; of the leaves split
+
+    def learn(self, measured: np.ndarray) -> None:
+        """Take in the histograms of the nodes asked for, (2, nodes, features, bins)."""
+        self.rows = self.parent_rows = 0
+        for i, node in enumerate(self.asked):
+            self.sums[node] = measured[:, i]
+            self.rows += int(measured[1, i, 0].sum()) if measured.shape[2] else 0
+            made = [node]
+            if node:
+                above = self.parent[node]
+                other = self.tree.left[above] + self.tree.right[above] - node
+                whole = self.sums.pop(above)
+                self.parent_rows += int(whole[1, 0].sum())
+                self.sums[other] = whole - self.sums[node]
+                made.append(other)
+            for n in made:
+                split = best_split(self.sums[n], self.features, self.lam, self.min_rows)
+                if split:
+                    self.found[n] = split
+        self.asked = []
+
+    def grown(self) -> Tree | None:
+        """The tree of the best splits in order, or None if nodes must be measured first."""
+        heap = [(-self.found[0][0], 0)] if 0 in self.found else []
+        out, places = Tree(), {0: 0}
+        leaves = 1
+        while heap and leaves < self.max_leaves:
+            _, node = heapq.heappop(heap)
+            gain, feature, cut, *values = self.found[node][:5]
+            left, right = out.split(places[node], feature, cut, tuple(values))
+            leaves += 1
+            if leaves == self.max_leaves or self.depth[node] + 1 >= self.max_depth:
+                continue
+            if self.tree.feature[node] < 0:
+                # as many more leaves can be split, so the others that are known need no look
+                rest = [n for _, n in heapq.nsmallest(self.max_leaves - leaves, heap)]
+                for n in [node, *rest]:
+                    if self.tree.feature[n] < 0 and self.depth[n] + 1 < self.max_depth:
+                        self._open(n)
+                return None
+            for child, place in ((self.tree.left[node], left), (self.tree.right[node], right)):
+                places[child] = place
+                if child in self.found:
+                    heapq.heappush(heap, (-self.found[child][0], child))
+        return out
+
+    def _open(self, node: int) -> None:
+        _, feature, cut, *values, n_left, n = self.found[node]
+        children = self.tree.split(node, feature, cut, tuple(values))
+        self.depth += [self.depth[node] + 1] * 2
+        self.parent += [node] * 2
+        self.asked.append(children[0] if 2 * n_left <= n else children[1])
 
 
 def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int, id_col: str,
                 step_size: float = STEP_SIZE, max_rounds: int = GBT_MAX_ROUNDS, patience: int = GBT_PATIENCE,
-                lam: float = L2, max_leaves: int = MAX_LEAVES, max_depth: int = 6, min_rows: int = 5,
+                lam: float = L2, max_leaves: int = MAX_LEAVES, max_depth: int | None = None, min_rows: int = MIN_ROWS,
                 row_share: float = SAMPLE, feature_share: float = SAMPLE, bins: int = 32, seed: int = 42,
                 fold_col: str = "fold") -> BoostedCells:
     """Boost every (fold, target) cell on the rows outside its fold.
@@ -195,8 +270,9 @@ def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     ``summary`` has for each cell the trees kept, the rounds tried, the held-out
     RMSE and ``stopped_by``: ``patience``, ``no_split`` (no leaf can be split any
     more) or ``rounds`` (the limit). Rows with a null label take no part in that
-    label's cells. The driver holds histograms of cells x leaves x features x bins
-    of one level, and the trees.
+    label's cells. Leaves are split best first, up to ``max_leaves`` and, if given,
+    ``max_depth`` levels. The driver holds histograms of cells x leaves x features x
+    bins, and the trees.
     """
     spark, targets = df.sparkSession, tuple(targets)
     edges = bin_edges(df, feature_col, bins)
@@ -239,41 +315,45 @@ def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     best = [(float("inf"), -1)] * cells          # lowest squared error and its number of trees
     ended = [""] * cells
     tried = [0] * cells
+    counted: list[tuple[int, int]] = []
+    taken: list[Growth] = []                     # what the next pass measures for
     pending: list[dict[int, Tree]] = []
     round_ = 0
     if not n_features:                           # an empty table
         ended = ["no_split"] * cells
     while not all(ended):
         live = [c for c in range(cells) if not ended[c]]
-        growing = {c: Tree() for c in live}
-        open_leaves = {c: [0] for c in live}
-        features = {c: np.sort(rng.permutation(n_features)[:max(1, round(feature_share * n_features))]) for c in live}
-        for level in range(max_depth):
-            fn = _histograms(pending, {c: growing[c] for c in open_leaves}, open_leaves, targets,
-                             (n_features, bins), step_size, seed + round_, row_share, held_out=level == 0)
+        growing = {}
+        for c in live:
+            drawn = np.sort(rng.permutation(n_features)[:max(1, round(feature_share * n_features))])
+            growing[c] = Growth(drawn, lam, min_rows, max_leaves, max_depth)
+        grown: dict[int, Tree] = {}
+        first = True
+        while growing:
+            asked = {c: g.asked for c, g in growing.items()}
+            fn = _histograms(pending, {c: g.tree for c, g in growing.items()}, asked, targets, (n_features, bins),
+                             step_size, seed + round_ // SAMPLE_ROUNDS, row_share, held_out=first)
             got = collect_blocks(block_sum(state.mapInPandas(fn, BLOCK_SCHEMA), []), []).get((), {})
-            for c in live if level == 0 else ():
+            for c in live if first else ():
                 error, n = got["error"].reshape(2, -1)[:, c] if got else (0.0, 0)
                 best[c], stop = patience_step(best[c], round_, error / n if n else float("inf"), patience)
                 tried[c] = round_
                 ended[c] = "patience" if stop else "rounds" if round_ >= max_rounds else ""
                 if ended[c]:
-                    del open_leaves[c]
-            for c in list(open_leaves):
-                sums = got[f"h{c}"].reshape(2, len(open_leaves[c]), n_features, bins) if got else None
-                found = best_splits(sums, features[c], lam, min_rows) if got else []
-                ranked = sorted(((s, n) for s, n in zip(found, open_leaves[c]) if s), key=lambda p: -p[0][0])
-                tree, children = growing[c], []
-                for (_, feature, cut, *values), node in ranked:
-                    if (len(tree.feature) + 1) // 2 < max_leaves:
-                        children += tree.split(node, feature, cut, tuple(values))
-                open_leaves[c] = children
-                if not children:
-                    del open_leaves[c]
-                    ended[c] = "no_split" if level == 0 else ""
-            if not open_leaves:
-                break
-        grown = {c: tree for c, tree in growing.items() if not ended[c]}
+                    del growing[c]
+            for c, growth in list(growing.items()):
+                shape = (2, len(growth.asked), n_features, bins)
+                growth.learn(got[f"h{c}"].reshape(shape) if got else np.zeros(shape))
+                tree = growth.grown()
+                if tree is not None:
+                    del growing[c]
+                    if len(tree.feature) == 1:
+                        ended[c] = "no_split"
+                    else:
+                        grown[c] = tree
+            if not first:
+                counted.append((sum(g.rows for g in taken), sum(g.parent_rows for g in taken)))
+            first, taken = False, list(growing.values())
         for c, tree in grown.items():
             made[c].append(tree)
         pending.append(grown)
@@ -283,7 +363,8 @@ def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
     summary = [{"fold": c // len(targets), "target": targets[c % len(targets)], "n_trees": max(best[c][1], 0),
                 "rounds": tried[c], "stopped_by": ended[c],
                 "valid_rmse": float(best[c][0]) ** 0.5 if np.isfinite(best[c][0]) else None} for c in range(cells)]
-    return BoostedCells(edges, base, [made[c][:max(best[c][1], 0)] for c in range(cells)], k, targets, step_size, summary)
+    return BoostedCells(edges, base, [made[c][:max(best[c][1], 0)] for c in range(cells)], k, targets, step_size, summary,
+                        counted)
 
 
 def predict_boosted(df: DataFrame, model: BoostedCells, feature_col: str, keep: Sequence[str], keep_schema: str,

@@ -74,11 +74,12 @@ def test_every_tree_is_shrunk_and_the_limit_is_told(spark):
 def test_best_split_equals_brute_force():
     rng = np.random.default_rng(8)
     bins, rest = rng.integers(0, 6, (50, 3)), rng.normal(size=50)
-    sums = np.zeros((2, 1, 3, 6))
+    sums = np.zeros((2, 3, 6))
     for row, r in zip(bins, rest):
         for j, b in enumerate(row):
-            sums[:, 0, j, b] += (r, 1)
-    (gain, feature, cut, left, right), = trees.best_splits(sums, np.array([0, 2]), 2.0, 5)
+            sums[:, j, b] += (r, 1)
+    gain, feature, cut, left, right, n_left, n = trees.best_split(sums, np.array([0, 2]), 2.0, 5)
+    assert (n_left, n) == ((bins[:, feature] <= cut).sum(), 50)
     score = lambda r: r.sum() ** 2 / (len(r) + 2.0)
     best = max((score(rest[bins[:, j] <= c]) + score(rest[bins[:, j] > c]) - score(rest), j, c)
                for j in (0, 2) for c in range(5)
@@ -102,3 +103,57 @@ def test_an_empty_table_has_no_models(spark):
     df = _table(spark, np.zeros((0, 2)), [np.zeros(0)], 2)
     m = trees.boost_cells(df, "x", ["y0"], 2, "id")
     assert [c["n_trees"] for c in m.summary] == [0, 0]
+
+
+def leaf_wise(bins, rest, features, lam, min_rows, max_leaves, max_depth=None):
+    """Best-first growth with every histogram counted: ``(node, feature, cut, values)`` in order."""
+    def split(rows):
+        best = None
+        for j in features:
+            for c in range(bins[:, j].max(initial=0)):
+                left = rows & (bins[:, j] <= c)
+                right = rows & (bins[:, j] > c)
+                if left.sum() < min_rows or right.sum() < min_rows:
+                    continue
+                score = lambda r: rest[r].sum() ** 2 / (r.sum() + lam)
+                gain = score(left) + score(right) - score(rows)
+                if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-9)):
+                    best = (gain, j, c, left, right, *[rest[r].sum() / (r.sum() + lam) for r in (left, right)])
+        return best
+
+    open_, out, made = [(0, 0, np.ones(len(rest), bool))], [], 1
+    while made // 2 + 1 < max_leaves or made == 1:
+        ranked = [(split(rows), node, depth) for node, depth, rows in open_ if max_depth is None or depth < max_depth]
+        ranked = [r for r in ranked if r[0]]
+        if not ranked:
+            break
+        (gain, j, c, left, right, a, b), node, depth = max(ranked, key=lambda r: r[0][0])
+        out.append((node, j, c, a, b))
+        open_ = [o for o in open_ if o[0] != node] + [(made, depth + 1, left), (made + 1, depth + 1, right)]
+        made += 2
+    return out
+
+
+@pytest.mark.parametrize("max_leaves, max_depth", [(50, None), (6, None), (9, 3), (2, None)])
+def test_leaf_wise_trees_equal_brute_force_with_half_the_rows_counted(spark, max_leaves, max_depth):
+    rng = np.random.default_rng(10)
+    n = 400
+    X = rng.integers(0, 12, (n, 5)).astype(float)
+    y = np.sin(X[:, 0]) * 3 + (X[:, 1] > 6) * X[:, 2] + rng.normal(scale=0.3, size=n)
+    df = _table(spark, X, [y], 2).repartition(4).cache()
+    m = trees.boost_cells(df, "x", ["y0"], 2, "id", step_size=0.5, max_rounds=3, max_leaves=max_leaves,
+                          max_depth=max_depth, row_share=1.0, feature_share=1.0, min_rows=7)
+    binned = trees._binned(list(X), m.edges)
+    for f in range(2):
+        train = np.arange(n) % 2 != f
+        pred = np.full(n, y[train].mean())
+        for tree in m.trees[f]:
+            want = leaf_wise(binned[train], (y - pred)[train], range(5), 2.0, 7, max_leaves, max_depth)
+            got = [i for i in np.argsort(tree.left, kind="stable") if tree.feature[i] >= 0]      # in the order split
+            assert [(i, tree.feature[i], tree.cut[i]) for i in got] == [w[:3] for w in want]
+            values = [tree.value[c] for i in got for c in (tree.left[i], tree.right[i])]
+            assert np.allclose(values, [v for w in want for v in w[3:]])
+            assert len(got) <= max_leaves - 1
+            pred += 0.5 * tree.predict(binned)
+    assert all(2 * rows <= parents for rows, parents in m.counted)
+    assert bool(m.counted) == (max_leaves > 2)
