@@ -1,20 +1,20 @@
 """File sources and sinks: CSV in/out, OOF tables, feature store, model
 registry, metric log, and key discovery from file names.
 
-Multi-line quoted CSV cannot be split, so CSV is read once with an explicit
-schema and fail-fast parsing and then kept as Parquet.
+CSV is read with an explicit schema and fail-fast parsing: small files whole, one
+task each; large ones by ``split_csv``, which cuts a file into records over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewell.config import REFERENCE_TARGETS
+from gradewell.sources import committed
 
 ESSAY_SCHEMA = T.StructType(
     [T.StructField("text_id", T.StringType(), False), T.StructField("full_text", T.StringType(), True)]
@@ -37,8 +37,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header CSV, no index column (A3)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Header CSV, no index column (A3); blanks at a text's ends are kept."""
+    df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_oof(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -55,34 +56,47 @@ def feature_store_get_or_compute(spark: SparkSession, path: str, wanted: DataFra
                                  compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Feature store keyed by ``keys`` (partition columns) (A5).
 
-    Only key combinations not yet stored are computed (``left_anti`` on the
-    keys), appended, and the whole store is read back with partition pruning.
+    Only key combinations without a finished save are computed and saved; a run that
+    was cut off left none, so its keys are computed again, and the parts it wrote are
+    never read. A key whose computation gives no row is finished too. Of keys that two
+    runs computed at the same time, the later save's rows count.
     """
-    try:
-        stored = spark.read.parquet(path)
-        have = stored.select(*keys).distinct()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored, have = None, None           # an absent store reads as empty
-    missing = wanted.select(*keys).distinct()
-    if have is not None:
-        missing = missing.join(have, list(keys), "left_anti")
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    ask = wanted.select(*keys).distinct()
+    have = committed.manifest(spark, path).select("keys").distinct()
+    missing = ask.withColumn("keys", name).join(have, "keys", "left_anti").select(*keys)
     if not missing.isEmpty():
-        compute(missing).write.mode("append").partitionBy(*keys).parquet(path)
-    result = spark.read.parquet(path)
-    return result.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+        committed.save(compute(missing), path, keys, missing.select(name.alias("keys")))
+    saves = committed.manifest(spark, path)
+    last = saves.groupBy("keys").agg(F.max_by("commit", F.struct("number", "commit")).alias("commit"))
+    chosen = ask.withColumn("keys", name).join(last, "keys").select(*keys, "commit")
+    used = saves.join(chosen.select("commit").distinct(), "commit", "left_semi")
+    rows = committed.read(spark, path, used)
+    if rows is None:                        # nothing was wanted
+        return compute(ask)
+    same = rows["commit"] == chosen["commit"]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(chosen[k])
+    return rows.join(F.broadcast(chosen), same, "left_semi").drop("commit", "number")     # a row for each key
+
+
+#: What names a model: a save replaces the models with its keys, and leaves the others.
+REGISTRY_KEYS = ("run", "cv_id", "model", "fold", "target")
 
 
 def registry_save(df: DataFrame, path: str) -> None:
-    """Coefficient/model table keyed (run, cv_id, fold, target) (A7); overwrite
-    replaces only the partitions being written."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("run").parquet(path)
+    """Add models to the registry (A7), keyed by those of ``REGISTRY_KEYS`` that the table
+    has. Earlier saves stay as they are."""
+    committed.save(df, path, ["run"])
 
 
 def registry_load(spark: SparkSession, path: str, run: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("run") == run)
+    """The models of a run, of each key the one saved last."""
+    rows = committed.read(spark, path)
+    if rows is None:
+        raise ValueError(f"no model was saved at {path}")
+    rows = rows.where(F.col("run") == run)
+    return committed.latest(rows, [k for k in REGISTRY_KEYS if k in rows.columns]).drop("commit", "number")
 
 
 def log_metrics(df: DataFrame, path: str) -> None:
@@ -91,17 +105,17 @@ def log_metrics(df: DataFrame, path: str) -> None:
         .write.mode("append").parquet(path)
 
 
-def discover(spark: SparkSession, pattern: str, key_regex: str,
-             names: Sequence[str]) -> DataFrame:
-    """Files matching a glob with keys parsed from their path.
+def discover(spark: SparkSession, path: str, key_regex: str, names: Sequence[str],
+             glob: str = "*") -> DataFrame:
+    """Files below ``path`` whose names match a glob, with keys parsed from their paths
+    (A6, E9): ``(path, <names>…)``, one row per file whose whole path the regex finds.
 
-    Returns ``(path, <names>…)``; one row per file. Keys come from the regex
-    groups of ``key_regex`` applied to the full path.
+    Only the listing is used: paths come from the files' metadata, no file is opened.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(pattern) \
-        .select(F.col("path"))
-    return files.select("path", *[F.regexp_extract("path", key_regex, i + 1).alias(n)
-                                  for i, n in enumerate(names)])
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+             .load(path).select(F.col("_metadata.file_path").alias("path")))
+    found = files.where(F.col("path").rlike(key_regex))
+    return found.select("path", *[F.regexp_extract("path", key_regex, i + 1).alias(n) for i, n in enumerate(names)])
 
 
 def unique_match(found: DataFrame, keys: Sequence[str]) -> DataFrame:
