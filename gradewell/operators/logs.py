@@ -8,7 +8,7 @@ holds a third of the log is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.operators.rowindex import bucketed_running, global_row_index
@@ -54,27 +54,35 @@ def epoch_scores(log: DataFrame, run: str = "run") -> DataFrame:
     return log.groupBy(run, epoch.alias("epoch")).agg(F.avg("val").alias("score"))
 
 
+def _known(value: str, step: str) -> Column:
+    """Order by value and then step; NULL, and so passed over by min, where the value is."""
+    return F.when(F.col(value).isNotNull(), F.struct(value, step))
+
+
 def best_epoch(scores: DataFrame, run: str = "run") -> DataFrame:
     """Best epoch with strict improvement: ties keep the earliest epoch.
 
     ``scores`` has one row per (run, epoch) — bounded by the epochs of a run —
-    so the window per run is small.
+    so the window per run is small. A NULL score is no improvement and never the best;
+    without any other score the best is NULL.
     """
     prev = Window.partitionBy(run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     flagged = scores.withColumn("_prev_min", F.min("score").over(prev)).withColumn(
-        "_improved", F.col("_prev_min").isNull() | (F.col("score") < F.col("_prev_min")))
+        "_improved", F.col("score").isNotNull()
+        & (F.col("_prev_min").isNull() | (F.col("score") < F.col("_prev_min"))))
     return flagged.groupBy(run).agg(
-        F.min_by("epoch", F.struct("score", "epoch")).alias("best_epoch"),
+        F.min_by("epoch", _known("score", "epoch")).alias("best_epoch"),
         F.min("score").alias("best_score"),
         F.count(F.when(F.col("_improved"), 1)).alias("n_improvements"),
         F.count(F.lit(1)).alias("n_epochs"))
 
 
 def best_checked(stepped: DataFrame, every: int, run: str = "run") -> DataFrame:
-    """Best value among steps checked every ``every`` steps; ties keep the earliest."""
+    """Best value among steps checked every ``every`` steps; ties keep the earliest, and a
+    NULL value is checked but never the best."""
     checked = stepped.where(F.pmod(F.col("step"), F.lit(every)) == 0)
     return checked.groupBy(run).agg(
-        F.min_by("step", F.struct("val", "step")).alias("best_step"),
+        F.min_by("step", _known("val", "step")).alias("best_step"),
         F.min("val").alias("best_val"),
         F.count(F.lit(1)).alias("n_checks"))
 
@@ -84,12 +92,13 @@ def early_stop(stepped: DataFrame, patience: int, run: str = "run") -> DataFrame
     (or of the last step when the run never stops).
 
     Rows ``(run, stopped, end_step, best_step, best_val)``; ``end_step`` is the
-    stopping step, or the last step when ``stopped`` is false.
+    stopping step, or the last step when ``stopped`` is false. A NULL value never
+    improves; before the first known value there is no best and no stop.
     """
     # running min of (val, step): the best value so far and, among equal
     # values, its earliest step -- i.e. the last strict improvement
     running = bucketed_running(stepped, [run], ["step"], "bucket",
-                               {"_best": ("min", F.struct("val", "step"))})
+                               {"_best": ("min", _known("val", "step"))})
     best = running.withColumn("best_step", F.col("_best.step")) \
         .withColumn("best_val", F.col("_best.val"))
     cond = F.col("step") - F.col("best_step") >= F.lit(patience)

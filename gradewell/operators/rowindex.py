@@ -90,7 +90,7 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], b
     """
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
     # least/greatest skip NULLs, so an empty prefix or empty local frame is neutral.
-    comb = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    comb = {"sum": lambda a, b: F.coalesce(a + b, a, b),
             "min": F.least, "max": F.greatest}
     per_bucket = df.groupBy(*keys, bucket).agg(
         *[fn[f](c).alias(f"_br_{out}") for out, (f, c) in aggs.items()])

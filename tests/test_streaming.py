@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from gradewell.operators import linear
+from gradewell.operators import linear, logs
 from gradewell.plans import common as c
 from gradewell.sources import tables
-from gradewell.streaming import meter
+from gradewell.streaming import meter, stateful
 
 
 def test_windowed_meter_equals_batch(spark):
@@ -54,3 +54,38 @@ def test_stream_static_scoring(spark, tmp_path):
     batch = linear.univariate_predict_all_folds(docs, coef, "x_chars", c.TARGETS).select("text_id", *c.TARGETS)
     assert scored.count() == docs.count()
     assert scored.exceptAll(batch).count() == 0
+
+
+def test_state_over_files_in_any_order_equals_the_batch(spark, tmp_path):
+    """Rows dealt at random into files, unknown values, a late row that is the first of all, and a run of nulls."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(run, i * 1000 + run, 3_600_000_000 * (i // 3) + rng.randint(0, 3_599) * 1_000_000,
+             None if rng.random() < 0.2 or run == 3 else float(rng.randint(0, 40)), rng.choice([None, 0, 1, 5]))
+            for run in (1, 2, 3) for i in range(80)]
+    log = spark.createDataFrame(rows, "run long, event_id long, us long, val double, n int").select(
+        "run", F.timestamp_micros("us").alias("ts"), "event_id", "val", "n").cache()
+    for i in range(6):
+        part = log.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == i)
+        part.coalesce(1).write.parquet(str(tmp_path / f"log{i}"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log*"))
+    hours = stateful.drain(spark, stream).cache()
+    assert hours.agg(F.sum("n_updates")).first()[0] == len(rows) and hours.count() < len(rows)
+    key = lambda r: str(tuple(r))
+    steps = logs.with_steps(log.withColumn("ts", F.col("ts").cast("timestamp_ntz")), sizes=False)
+    for patience in (1, 4, 15, 500):
+        got, want = stateful.early_stops(hours, patience), logs.early_stop(steps, patience)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+    days = stateful.daily_meter(hours).select("run", "day", "n_updates", F.round("avg", 9).alias("avg"))
+    known = log.where("val is not null")
+    want = log.groupBy("run", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n_updates"), F.round(
+        F.try_divide(F.coalesce(F.sum(F.col("val") * F.col("n")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))), 9).alias("avg"))
+    assert sorted(days.collect(), key=key) == sorted(want.collect(), key=key) and known.count() < log.count()
+
+
+def test_a_stream_without_rows_has_no_hours(spark, tmp_path):
+    schema = "run long, ts timestamp, event_id long, val double, n int"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    hours = stateful.drain(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "none")))
+    assert stateful.early_stops(hours, 3).count() == 0 and stateful.daily_meter(hours).count() == 0
