@@ -20,6 +20,8 @@ pattern has are kept of the texts, so what is stored grows with the matches.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.operators.parallel import spread
+from gradewell.operators.rowindex import bucketed_running, range_bucket
 
 Q = 8            # characters per gram
 W = 16           # grams per window
@@ -63,7 +66,7 @@ def _grams(text: str, size: int) -> set[str]:
 
 
 def _key_rows(id_col: str, text_col: str, keys, dtype):
-    """Batches of (id, text) -> one row per distinct key of each text."""
+    """Batches of (text hash, text) -> one row per distinct key of each text."""
     def fn(batches):
         for pdf in batches:
             for i, t in zip(pdf[id_col].to_numpy(), pdf[text_col].to_numpy()):
@@ -74,36 +77,37 @@ def _key_rows(id_col: str, text_col: str, keys, dtype):
     return fn
 
 
-def _candidates(pats: DataFrame, docs: DataFrame, pat_id: str, text_id: str,
-                pat_keys, text_keys, short: bool) -> DataFrame:
-    """``(text_id, pat_id)``: texts that have the pattern's rarest key."""
+def _candidates(pats: DataFrame, docs: DataFrame, pat_keys, text_keys, short: bool) -> DataFrame:
+    """``(_tk, _pk)``: hashes of texts that have the pattern's rarest key."""
     kind, dtype = ("string", object) if short else ("long", np.int64)
-    pat_rows = pats.select(pat_id, "_p").mapInPandas(
-        _key_rows(pat_id, "_p", pat_keys, dtype), f"{pat_id} long, h {kind}")
+    pat_rows = pats.select("_pk", "_p").mapInPandas(
+        _key_rows("_pk", "_p", pat_keys, dtype), f"_pk long, h {kind}").distinct()
     wanted = pat_rows.select("h").distinct()
     # read twice (frequencies, then candidates): persisted so that the texts are
     # hashed once; only keys that a pattern has are stored
-    text_rows = docs.select(text_id, "_t").mapInPandas(
-        _key_rows(text_id, "_t", text_keys, dtype), f"{text_id} long, h {kind}") \
-        .join(wanted, "h", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    text_rows = docs.select("_tk", "_t").mapInPandas(
+        _key_rows("_tk", "_t", text_keys, dtype), f"_tk long, h {kind}") \
+        .join(wanted, "h", "left_semi").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     dfreq = text_rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = pat_rows.join(dfreq, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    anchors = ranked.groupBy(pat_id).agg(
+    anchors = ranked.groupBy("_pk").agg(
         F.min_by("h", F.struct("df", "h")).alias("h"), F.min("df").alias("_df")) \
-        .where(F.col("_df") > 0).select(pat_id, "h")
-    return text_rows.join(anchors, "h", "inner").select(text_id, pat_id)
+        .where(F.col("_df") > 0).select("_pk", "h")
+    return text_rows.join(anchors, "h", "inner").select("_tk", "_pk")
 
 
-def _sides(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
-           text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Patterns ``(pat_id, _p)``, texts ``(text_id, _t)`` and their candidate pairs."""
+def _sides(patterns: DataFrame, texts: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patterns with ``_p`` and its hash ``_pk``, texts with ``_t`` and ``_tk``, and the
+    candidate pairs of hashes. Rows are paired by text, so a NULL id is a row like any
+    other; two texts of one hash only make a candidate more."""
     # a pattern longer than every text cannot occur: exact pruning before hashing
     longest = texts.agg(F.max(F.length(text_col))).scalar()
-    pats = spread(patterns.select(F.col(pat_id), F.col(text_col).alias("_p")).where(
+    pats = spread(patterns.withColumnRenamed(text_col, "_p").where(
         F.col("_p").isNotNull() & (F.length("_p") > 0) & (F.length("_p") <= longest)))
-    docs = spread(texts.select(F.col(text_id), F.col(text_col).alias("_t")))
-    cand = _candidates(pats.where(F.length("_p") >= MIN_LEN), docs, pat_id, text_id,
-                       minimizers, minimizers, short=False)
+    pats = pats.withColumn("_pk", F.xxhash64("_p"))
+    docs = spread(texts.withColumnRenamed(text_col, "_t").where(F.col("_t").isNotNull()))
+    docs = docs.withColumn("_tk", F.xxhash64("_t"))
+    cand = _candidates(pats.where(F.length("_p") >= MIN_LEN), docs, minimizers, minimizers, short=False)
     short = pats.where(F.length("_p") < MIN_LEN)
     # which gram lengths the short patterns need: at most Q values
     sizes = sorted(r[0] for r in short.select(F.least(F.length("_p"), F.lit(Q)).alias("n")).distinct().collect())
@@ -114,7 +118,7 @@ def _sides(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
         def text_grams(t):
             return set().union(*(_grams(t, n) for n in sizes))
 
-        cand = cand.unionByName(_candidates(short, docs, pat_id, text_id, pat_grams, text_grams, short=True))
+        cand = cand.unionByName(_candidates(short, docs, pat_grams, text_grams, short=True))
     return pats, docs, cand
 
 
@@ -122,12 +126,56 @@ def contained_pairs(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id:
                     text_col: str = "text") -> DataFrame:
     """``(text_id, pat_id)`` for every pattern occurring verbatim in a text.
 
-    ``patterns``: (pat_id, text); ``texts``: (text_id, text). Empty patterns are
-    not matched.
+    ``patterns``: (pat_id, text); ``texts``: (text_id, text). Empty and NULL patterns are
+    not matched; rows with a NULL id are matched as others are.
+    """
+    pats, docs, cand = _sides(patterns.select(F.col(pat_id).alias("_pid"), text_col),
+                              texts.select(F.col(text_id).alias("_tid"), text_col), text_col)
+    return cand.join(docs, "_tk").join(pats, "_pk") \
+        .where(F.instr(F.col("_t"), F.col("_p")) > 0).select(F.col("_tid").alias(text_id), F.col("_pid").alias(pat_id))
+
+
+def joined_blocks(texts: DataFrame, order: Sequence[str], text_col: str, overlap: int, sep: str = " ",
+                  size: int = 1 << 16) -> DataFrame:
+    """``(block, text)``: the string that all texts make when joined by ``sep`` in an order,
+    cut into blocks of at least ``size`` characters, each with the ``overlap`` characters
+    that follow it.
+
+    Texts get their places by a running sum of lengths over ranges of the order, and are
+    cut at the blocks' edges where they lie, so no task holds more than a block and its
+    overlap. Any part of the string of ``overlap + 1`` characters or fewer lies in a block.
+    A NULL text is empty; ``order`` must tell rows apart.
     """
-    pats, docs, cand = _sides(patterns, texts, pat_id, text_id, text_col)
-    return cand.join(docs, text_id).join(pats, pat_id) \
-        .where(F.instr(F.col("_t"), F.col("_p")) > 0).select(text_id, pat_id)
+    size = max(size, overlap)
+    rows = texts.select(*order, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = range_bucket(rows, order[0], "_b").withColumn("_n", (F.length("_t") + F.lit(len(sep))).cast("long"))
+    placed = bucketed_running(rows, [], list(order), "_b", {"_end": ("sum", "_n")})
+    # the separator goes before a text; the first one's is cut off with the place -len(sep)
+    start = F.col("_end") - F.col("_n") - F.lit(len(sep))
+    piece = placed.select(F.concat(F.lit(sep), F.col("_t")).alias("_s"), start.alias("_at"))
+    first = F.greatest(F.col("_at"), F.lit(0))
+    last = F.col("_at") + F.length("_s") - 1
+    blocks_of = F.when(last >= first, F.sequence(F.expr(f"greatest(_at, 0L) div {size}L"), F.expr(f"(_at + length(_s) - 1) div {size}L")))
+    cut = piece.select("_s", "_at", F.explode(blocks_of).alias("block"))
+    low = F.greatest(F.col("_at"), F.col("block") * size, F.lit(0))
+    high = F.least(F.col("_at") + F.length("_s"), (F.col("block") + 1) * size)
+    parts = cut.select("block", low.alias("_low"), F.substring("_s", (low - F.col("_at") + 1).cast("int"),
+                                                                (high - low).cast("int")).alias("_s"))
+    # a block's start is also what follows the block before
+    lead = parts.where((F.col("block") > 0) & (F.col("_low") < F.col("block") * size + overlap))
+    lead = lead.select((F.col("block") - 1).alias("block"), "_low", F.substring(
+        "_s", F.lit(1), (F.col("block") * size + overlap - F.col("_low")).cast("int")).alias("_s"))
+    held = parts.unionByName(lead).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("_low", "_s"))).alias("_p"))
+    return held.select("block", F.array_join(F.col("_p._s"), "").alias(text_col))
+
+
+def joined_share(patterns: DataFrame, texts: DataFrame, pat_id: str, order: Sequence[str],
+                 text_col: str = "text", sep: str = " ", size: int = 1 << 16) -> DataFrame:
+    """One row ``(n_total, n_found, ratio)``: the share of patterns found in the string of
+    all texts joined in an order, across the ends of texts too."""
+    longest = patterns.agg(F.max(F.length(text_col))).first()[0] or 1
+    blocks = joined_blocks(texts, order, text_col, max(longest - 1, 0), sep, size)
+    return containment_share(patterns, blocks, pat_id, "block", text_col)
 
 
 def containment_share(patterns: DataFrame, texts: DataFrame, pat_id: str, text_id: str,
@@ -137,13 +185,10 @@ def containment_share(patterns: DataFrame, texts: DataFrame, pat_id: str, text_i
     Equal patterns and equal texts are looked up once; a semi-join ends at a
     pattern's first hit.
     """
-    alike = patterns.groupBy(text_col).agg(F.min(pat_id).alias(pat_id), F.count(F.lit(1)).alias("_n"))
-    distinct = texts.groupBy(text_col).agg(F.min(text_id).alias(text_id))
-    pats, docs, cand = _sides(alike, distinct, pat_id, text_id, text_col)
-    seen = cand.join(docs, text_id).select(F.col(pat_id).alias("_pid"), "_t")
-    found = pats.join(seen, (F.col(pat_id) == F.col("_pid")) & (F.instr(F.col("_t"), F.col("_p")) > 0),
-                      "left_semi").select(pat_id).withColumn("_hit", F.lit(1))
-    j = alike.select(pat_id, "_n").join(found, pat_id, "left")
-    return j.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_total"),
-                 F.coalesce(F.sum(F.when(F.col("_hit").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_found")) \
+    alike = patterns.groupBy(text_col).agg(F.count(F.lit(1)).alias("_n"))
+    pats, docs, cand = _sides(alike, texts.select(text_col).distinct(), text_col)
+    seen = cand.join(docs, "_tk").select(F.col("_pk").alias("_sk"), "_t")
+    found = pats.join(seen, (F.col("_pk") == F.col("_sk")) & (F.instr(F.col("_t"), F.col("_p")) > 0), "left_semi")
+    n_found = found.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    return patterns.agg(F.count(F.lit(1)).alias("n_total")).withColumn("n_found", n_found) \
         .withColumn("ratio", F.expr("try_divide(n_found, n_total)"))

@@ -9,6 +9,7 @@ on input order or partitioning.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -68,85 +69,79 @@ def fold_sizes(folds: DataFrame, fold_col: str = "fold") -> DataFrame:
 
 # --------------------------------------------------------------------------
 # Iterative stratification (Sechidis, Tsoumakas & Vlahavas, 2011) on the
-# aggregated label-tuple table. The greedy runs on the driver over at most
-# (#distinct tuples x k) numbers; rows are then assigned by rank ranges.
+# aggregated table of label tuples, for labels of any number of grades. The
+# greedy runs on the driver over (#distinct tuples x k) numbers; rows are then
+# assigned by rank ranges.
 # --------------------------------------------------------------------------
 
-def _waterfill(demand: np.ndarray, m: int) -> np.ndarray:
-    """Integer allocation of ``m`` units, each to the fold of largest remaining demand.
+#: Tuples that the driver shares out; more distinct ones are an error, not a sample.
+MOST_TUPLES = 1_000_000
 
-    Same result as handing out units one at a time, but O(k log) per block,
-    so the driver work does not grow with the row count.
-    """
-    d = demand.astype(float)
-    lo, hi = float(d.min()) - m - 1.0, float(d.max())
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if np.maximum(d - mid, 0).sum() > m:
-            lo = mid
-        else:
-            hi = mid
-    alloc = np.floor(np.maximum(d - hi, 0)).astype(np.int64)
-    for _ in range(int(m - alloc.sum())):
-        alloc[int(np.argmax(d - alloc))] += 1
-    return alloc
-
-
-def _iterative_quotas(tuples: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+
+def _iterative_quotas(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """Quota[t, f] = rows of tuple t that go to fold f.
 
-    Labels are handled rarest first; the rows of every tuple carrying that
-    label are spread over the folds by the remaining demand for the label.
-    Tuples with no positive label fill the remaining fold sizes.
+    ``codes[t]`` are the (label, value) pairs of tuple t, as numbers. Every fold gets a
+    k-th of a tuple's rows; what remains of each, fewer than k rows, goes to the folds
+    that are shortest of the tuple's pairs, the rarest pair's tuples first. Rows are then
+    exchanged between two folds as long as that brings the pairs' counts nearer to a k-th
+    each, so that in the end every grade is within one of its share where that can be.
     """
-    n_tup, n_lab = tuples.shape
-    fold_demand = np.full(k, counts.sum() / k)
-    label_demand = np.outer(np.ones(k), (tuples * counts[:, None]).sum(axis=0) / k)
-    quotas = np.zeros((n_tup, k), dtype=np.int64)
-    done = np.zeros(n_tup, dtype=bool)
-    while not done.all():
-        lab_left = (tuples * (~done * counts)[:, None]).sum(axis=0)
-        if lab_left.max() > 0:
-            lab = int(np.argmin(np.where(lab_left > 0, lab_left, np.inf)))
-            rows = [t for t in range(n_tup) if tuples[t, lab] and not done[t]]
-            demand = lambda: label_demand[:, lab]
-        else:
-            rows = [t for t in range(n_tup) if not done[t]]
-            demand = lambda: fold_demand
-        for t in rows:
-            alloc = _waterfill(demand(), int(counts[t]))
-            quotas[t] = alloc
-            fold_demand -= alloc
-            label_demand -= np.outer(alloc, tuples[t])
-            done[t] = True
-    return quotas
+    n_tup, n_lab = codes.shape
+    quotas = np.repeat((counts // k)[:, None], k, axis=1)
+    rest = counts % k
+    codes = np.hstack([codes, np.full((n_tup, 1), codes.max(initial=-1) + 1)])     # and the fold's size as a pair of all
+    pair_total = np.bincount(codes.ravel(), np.repeat(counts, n_lab + 1))
+    over = np.zeros((len(pair_total), k))                 # a pair's remainder rows in a fold, less their share
+    np.subtract.at(over, codes.ravel(), np.repeat(rest / k, n_lab + 1)[:, None])
+    extra = np.zeros((n_tup, k), dtype=bool)
+    rarest = pair_total[codes[:, :-1]].min(axis=1) if n_lab else counts
+    for t in np.lexsort((np.arange(n_tup), rarest)):
+        if rest[t]:
+            short = over[codes[t]]
+            # the rarest pair decides, then all pairs together
+            rare = over[codes[t, np.argmin(pair_total[codes[t]])]]
+            to = np.lexsort((np.arange(k), short.sum(axis=0), rare))[:rest[t]]
+            extra[t, to] = True
+            over[np.ix_(codes[t], to)] += 1
+    # each exchange lowers the sum of squares, so this ends
+    while True:
+        lean = over[codes].sum(axis=1)
+        give, take = np.where(extra, lean, -np.inf), np.where(extra, np.inf, lean)
+        gain = give.max(axis=1) - take.min(axis=1) - (n_lab + 1)
+        t = int(np.argmax(gain)) if n_tup else 0
+        if not n_tup or not gain[t] > 1e-9:
+            return quotas + extra
+        a, b = int(give[t].argmax()), int(take[t].argmin())
+        extra[t, a], extra[t, b] = False, True
+        over[codes[t], a] -= 1
+        over[codes[t], b] += 1
 
 
 def iterative_folds(df: DataFrame, id_col: str, label_cols: Sequence[str], k: int,
                     seed: int) -> DataFrame:
-    """Multilabel iterative stratification; binary labels (value > 0 counts as 1)."""
-    bin_cols = [F.when(F.col(c) > 0, 1).otherwise(0).alias(f"_lab{i}")
-                for i, c in enumerate(label_cols)]
-    lab = df.select(id_col, *bin_cols)
-    labs = [f"_lab{i}" for i in range(len(label_cols))]
-    agg = lab.groupBy(*labs).agg(F.count(F.lit(1)).alias("n")).orderBy(*labs)
-    rows = agg.collect()  # one row per distinct label tuple: at most 2^labels
-    tuples = np.array([[r[c] for c in labs] for r in rows], dtype=np.int64).reshape(-1, len(labs))
+    """Multilabel iterative stratification over (label, value) pairs: every value of every
+    label is a grade of its own, a NULL too."""
+    labels = list(label_cols)
+    lab = df.select(id_col, *[F.col(c).alias(f"_lab{i}") for i, c in enumerate(labels)])
+    values = [F.coalesce(F.col(f"_lab{i}").cast("string"), F.lit("null")) for i in range(len(labels))]
+    lab = lab.select(id_col, F.to_json(F.array(*values)).alias("_tuple"))
+    rows = (lab.groupBy("_tuple").agg(F.count(F.lit(1)).alias("n")).orderBy("_tuple")
+            .limit(MOST_TUPLES + 1).collect())          # one row per distinct label tuple
+    if len(rows) > MOST_TUPLES:
+        raise ValueError(f"more than {MOST_TUPLES} distinct label tuples: stratify on coarser grades")
+    pairs: dict[tuple[int, str], int] = {}
+    codes = np.array([[pairs.setdefault((i, v), len(pairs)) for i, v in enumerate(json.loads(r["_tuple"]))] for r in rows],
+                     dtype=np.int64).reshape(-1, len(labels))
     counts = np.array([r["n"] for r in rows], dtype=np.int64)
-    quotas = _iterative_quotas(tuples, counts, k)
-    bounds = []
-    for t, r in enumerate(rows):
-        start = 0
-        for f in range(k):
-            q = int(quotas[t, f])
-            if q:
-                bounds.append((*[int(r[c]) for c in labs], f, start + 1, start + q))
-            start += q
-    spark = df.sparkSession
-    bounds_df = spark.createDataFrame(bounds, [*labs, "fold", "_lo", "_hi"])
+    quotas = _iterative_quotas(codes, counts, k)
+    ends = np.cumsum(quotas, axis=1)
+    bounds = [(rows[t]["_tuple"], f, int(ends[t, f] - quotas[t, f]) + 1, int(ends[t, f]))
+              for t in range(len(rows)) for f in range(k) if quotas[t, f]]
+    bounds_df = df.sparkSession.createDataFrame(bounds, "_tuple string, fold int, _lo long, _hi long")
     ranked = global_row_index(lab.withColumn("_h", hash_key(id_col, seed)), ["_h", id_col],
-                              strata=labs, bucket=hex_bucket("_h"), name="_rn")
-    # bounds has at most tuples x k rows (bounded by 2^labels x k): safe to broadcast.
-    joined = ranked.join(F.broadcast(bounds_df), labs, "inner").where(
+                              strata=["_tuple"], bucket=hex_bucket("_h"), name="_rn")
+    # at most tuples x k rows, and MOST_TUPLES bounds these
+    joined = ranked.join(F.broadcast(bounds_df), "_tuple", "inner").where(
         (F.col("_rn") >= F.col("_lo")) & (F.col("_rn") <= F.col("_hi")))
     return joined.select(id_col, F.col("fold").cast("int"))

@@ -37,13 +37,14 @@ def merge_fragments(frags: DataFrame, id_col: str = "id", ord_col: str = "ord",
 def overlap(left_ids: DataFrame, right_ids: DataFrame, key: str = "id") -> DataFrame:
     """One row: distinct ids in both sets, rows of the right set, and their ratio.
 
-    ``right_ids`` plays the labelled table: its row count is the denominator.
+    ``right_ids`` plays the labelled table: its row count is the denominator. Without
+    a row there the ratio is NULL.
     """
     left_d = left_ids.select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(1))
     j = right_ids.select(F.col(key).alias("_k")).join(left_d, "_k", "left")
     return j.agg(F.countDistinct(F.when(F.col("_hit") == 1, F.col("_k"))).alias("n_common"),
                  F.count(F.lit(1)).alias("n_labelled")) \
-        .withColumn("ratio", F.col("n_common") / F.col("n_labelled"))
+        .withColumn("ratio", F.try_divide(F.col("n_common"), F.col("n_labelled")))
 
 
 def unlabelled_pool(merged: DataFrame, labelled: DataFrame, id_col: str = "id",

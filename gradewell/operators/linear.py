@@ -22,11 +22,17 @@ from gradewell.operators.treesum import BLOCK_SCHEMA, block_sum, blocks, collect
 # --------------------------------------------------------------------------
 
 
+#: A spread below this share of the sum of squares is rounding.
+FLAT = 1e-12
+
+
 def univariate_fold_fit(df: DataFrame, x: str, targets: Sequence[str], lam: float = 0.0,
                         fold_col: str = "fold") -> DataFrame:
     """Per fold: intercept ``a_<t>`` and slope ``b_<t>`` fitted on the other folds.
 
-    Ridge penalty ``lam`` on the slope only. Returns one row per fold (k rows).
+    Ridge penalty ``lam`` on the slope only. Returns one row per fold (k rows). A feature
+    that does not vary has slope 0 and so the mean as intercept; without a training row
+    the model is NULL.
     """
     aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"),
             F.sum(F.col(x) * F.col(x)).alias("sxx")]
@@ -36,15 +42,17 @@ def univariate_fold_fit(df: DataFrame, x: str, targets: Sequence[str], lam: floa
     whole = Window.partitionBy()  # k rows: the window runs over a k-row table
     stats = ["n", "sx", "sxx", *[f"s{p}_{t}" for t in targets for p in ("y", "xy")]]
     train = per_fold.select(fold_col, *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in stats])
+    # what rounding leaves of the spread of a constant is no spread
+    spread = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    spread = F.when(spread > F.lit(FLAT) * F.col("sxx"), spread).otherwise(0.0) + F.lit(lam)
     out = [fold_col]
     for t in targets:
-        b = (F.col(f"sxy_{t}") - F.col("sx") * F.col(f"sy_{t}") / F.col("n")) / (
-            F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n") + F.lit(lam))
-        out.append(b.alias(f"b_{t}"))
+        together = F.col(f"sxy_{t}") - F.try_divide(F.col("sx") * F.col(f"sy_{t}"), F.col("n"))
+        out.append(F.coalesce(F.try_divide(together, spread), F.lit(0.0)).alias(f"b_{t}"))
     fit = train.select(*out, "n", "sx", *[f"sy_{t}" for t in targets])
     return fit.select(fold_col, *[
         c for t in targets for c in (
-            ((F.col(f"sy_{t}") - F.col(f"b_{t}") * F.col("sx")) / F.col("n")).alias(f"a_{t}"),
+            F.try_divide(F.col(f"sy_{t}") - F.col(f"b_{t}") * F.col("sx"), F.col("n")).alias(f"a_{t}"),
             F.col(f"b_{t}"))])
 
 

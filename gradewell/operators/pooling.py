@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gradewell.config import MAX_POOL_FILL, MEAN_POOL_CLAMP
 from gradewell.functions import vectors as vf
+from gradewell.operators.treesum import SINGLE_LEVEL_MAX, partition_id
 
 
 def _weighted_mean(df: DataFrame, keys: list[str], weight: F.Column | None,
@@ -108,17 +109,37 @@ def softmax(score: F.Column, partition: list[str]) -> F.Column:
     return e / F.sum(e).over(w)
 
 
+def _merged(states: DataFrame, keys: list) -> DataFrame:
+    """Softmax states of each key put together: ``most`` (the largest score), ``total`` (the
+    sum of exp(score - most)) and ``vec`` (the sum of the vectors so weighted)."""
+    held = states.groupBy(*keys).agg(F.max("most").alias("_top"), F.collect_list(F.struct("most", "total", "vec")).alias("_s"))
+    scaled = F.transform("_s", lambda s: F.struct(
+        (s["total"] * F.exp(s["most"] - F.col("_top"))).alias("total"),
+        F.transform(s["vec"], lambda x: x * F.exp(s["most"] - F.col("_top"))).alias("vec")))
+    names = [c for c in held.columns if not c.startswith("_")]
+    held = held.select(*names, "_top", scaled.alias("_s"))
+    both = F.aggregate(F.slice("_s", F.lit(2), F.size("_s")), F.element_at("_s", 1), lambda acc, s: F.struct(
+        (acc["total"] + s["total"]).alias("total"),
+        F.zip_with(acc["vec"], s["vec"], lambda x, y: x + y).alias("vec")))
+    return held.select(*names, F.col("_top").alias("most"), both.alias("_m")).select(*names, "most", "_m.total", "_m.vec")
+
+
+def _attended(states: DataFrame, key: str) -> DataFrame:
+    """``(key, vec)``: softmax states of each key merged, weighted sum over total."""
+    return _merged(states, [key]).select(key, F.transform("vec", lambda x: x / F.col("total")).alias("vec"))
+
+
 def layer_attention(states: DataFrame, q: np.ndarray, w_h: np.ndarray,
                     layers: list[int]) -> DataFrame:
     """First-token layer attention (I5): softmax over layers of q.h_l, the
     attention-weighted sum of h_l, then a linear map to ``w_h.shape[1]`` outputs.
 
-    The softmax window is per document over its few layers.
+    One exchange; a document has one state for each of its few layers.
     """
-    s = first_token_layers(states, layers).withColumn("_score", vf.dot(F.col("vec"), vf.lit_array(q)))
-    s = s.withColumn("_a", softmax(F.col("_score"), ["doc_id"]))
-    ctx = _weighted_mean(s, ["doc_id"], F.col("_a"), out="ctx")
-    outs = vf.affine(F.col("ctx"), w_h, [0.0] * w_h.shape[1])
+    s = first_token_layers(states, layers)
+    scored = s.select("doc_id", vf.dot(F.col("vec"), vf.lit_array(q)).alias("most"), F.lit(1.0).alias("total"), "vec")
+    ctx = _attended(scored, "doc_id")
+    outs = vf.affine(F.col("vec"), w_h, [0.0] * w_h.shape[1])
     return ctx.select("doc_id", F.array(*outs).alias("vec"))
 
 
@@ -179,14 +200,66 @@ def _attention_scores(w1: np.ndarray, b1: np.ndarray, gamma: np.ndarray, beta: n
     return fn
 
 
+#: Softmax states that a task holds before it passes them on.
+HELD_STATES = 4096
+
+
+def _attention_states(score: Callable):
+    """Softmax states ``(doc_id, most, total, vec, part)`` of a task's rows: one for each
+    document, or a few where the task has more documents than it holds."""
+    def fn(batches):
+        part, held = partition_id(), {}
+
+        def rows():
+            out = pd.DataFrame([(d, m, t, v, part) for d, (m, t, v) in held.items()],
+                               columns=["doc_id", "most", "total", "vec", "part"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x, scores = np.stack(pdf["vec"].to_numpy()).astype(np.float64), score(pdf["vec"]).to_numpy()
+            docs, which = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
+            most = np.full(len(docs), -np.inf)
+            np.maximum.at(most, which, scores)
+            e = np.exp(scores - most[which])
+            total = np.bincount(which, e, len(docs))
+            vec = np.zeros((len(docs), x.shape[1]))
+            np.add.at(vec, which, e[:, None] * x)
+            for d, m, t, v in zip(docs.tolist(), most, total, vec):
+                if d in held:
+                    m0, t0, v0 = held[d]
+                    top = max(m, m0)
+                    held[d] = (top, t * np.exp(m - top) + t0 * np.exp(m0 - top),
+                               v * np.exp(m - top) + v0 * np.exp(m0 - top))
+                else:
+                    held[d] = (m, t, v)
+            if len(held) >= HELD_STATES:
+                yield rows()
+        if held:
+            yield rows()
+
+    return fn
+
+
 def attention_pool(states: DataFrame, layer: int, params: dict) -> DataFrame:
-    """Attention pooling (I4): MLP score per position (Arrow-batched pandas UDF,
-    the only step that needs erf), masked softmax over positions, weighted sum."""
-    score_udf = F.pandas_udf(_attention_scores(**params), "double")
-    s = states.where(F.col("layer") == layer).withColumn("_score", score_udf(F.col("vec")))
-    s = s.where(F.col("mask") == 1)  # masked positions get -inf, i.e. weight 0
-    s = s.withColumn("_a", softmax(F.col("_score"), ["doc_id"]))
-    return _weighted_mean(s, ["doc_id"], F.col("_a"))
+    """Attention pooling (I4): MLP score per position, masked softmax over positions,
+    weighted sum, in one pass and one exchange.
+
+    A task turns its positions into softmax states, which can be merged: a long document
+    is a state of each task that has a part of it, not rows of one window. Where there
+    are many tasks, states are merged in groups of tasks first. A document without an
+    unmasked position has no row.
+    """
+    rows = states.where((F.col("layer") == layer) & (F.col("mask") == 1)).select("doc_id", "vec")
+    found = rows.mapInPandas(_attention_states(_attention_scores(**params)),
+                             "doc_id long, most double, total double, vec array<double>, part int")
+    tasks = max(states.sparkSession.sparkContext.defaultParallelism,
+                int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if tasks > SINGLE_LEVEL_MAX:
+        found = _merged(found, ["doc_id", F.pmod(F.col("part"), F.lit(int(tasks ** 0.5))).alias("part")])
+    return _attended(found, "doc_id")
 
 
 def attention_params(seed: int, d: int) -> dict:

@@ -8,6 +8,10 @@ bucketed row index. Special ids: 0 = PAD, 1 = CLS, 2 = SEP, 3 = UNK.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +23,7 @@ from gradewell.operators.rowindex import global_row_index, ordered_row_index, ra
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
 N_SPECIAL = 4
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
-VOCAB_BROADCAST_MAX = 2_000_000   # entries (~100 MB); larger vocabularies are shuffle-joined
+VOCAB_BROADCAST_MAX = 2_000_000   # entries (~100 MB); of larger vocabularies a task holds what its documents need
 
 
 def tokens(text: Column) -> Column:
@@ -49,19 +53,46 @@ def build_vocab(tok_rows: DataFrame) -> DataFrame:
     return ranked.select("token", "cnt", (F.col("_rank") + F.lit(N_SPECIAL - 1)).alias("token_id"))
 
 
-def attach_ids(tok_rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Map tokens to ids.
+def encode_ids(docs: DataFrame, vocab: DataFrame, max_len: int, id_col: str = "doc_id", text_col: str = "text",
+               most: int = VOCAB_BROADCAST_MAX, docs_per_chunk: int = 4096) -> DataFrame:
+    """``(id, n_tokens, ids)``: how many tokens a document has, and the ids of its first
+    ``max_len - 2``; a token that the vocabulary lacks is ``UNK``.
 
-    The vocabulary is persisted and counted first (the counting pass is the
-    pass that builds it, so nothing is tokenised twice for it). It is
-    broadcast only when that count is within ``VOCAB_BROADCAST_MAX``;
-    otherwise it is a shuffle join, and AQE splits skewed hot-token partitions.
+    A document is encoded where it is read: tokens are looked up in tasks that hold the
+    vocabulary, so no token is a row. The vocabulary is persisted and counted first (the
+    counting pass is the pass that builds it), and sent out only if it has at most ``most``
+    entries. A larger one is joined with the distinct tokens of each chunk of documents,
+    and the chunks are encoded beside their own part of it.
     """
     v = vocab.select("token", "token_id").persist(StorageLevel.MEMORY_AND_DISK)
-    if v.count() <= VOCAB_BROADCAST_MAX:
-        v = F.broadcast(v)
-    return tok_rows.join(v, "token", "left").withColumn(
-        "token_id", F.coalesce(F.col("token_id"), F.lit(UNK)))
+    found = tokens(F.coalesce(F.col(text_col), F.lit("")))
+    rows = spread(docs.select(id_col, text_col)).select(
+        F.col(id_col), F.size(found).alias("n_tokens"), F.slice(found, 1, max_len - 2).alias("_toks"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, n_tokens int, ids array<int>"
+    if v.count() <= most:
+        table = v.toArrow()
+        spark = docs.sparkSession
+        held = spark.sparkContext.broadcast(dict(zip(table["token"].to_pylist(), table["token_id"].to_pylist())))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = held.value
+            for batch in batches:
+                ids = [[known.get(t, UNK) for t in toks] for toks in batch.column("_toks").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(id_col), batch.column("n_tokens"), pa.array(ids, pa.list_(pa.int32()))],
+                    [id_col, "n_tokens", "ids"])
+
+        return rows.mapInArrow(look_up, schema)
+    chunks = docs.count() // docs_per_chunk + 1
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "_toks"), F.lit(chunks)))
+    own = rows.select(F.col("_chunk").alias("_part"), F.explode("_toks").alias("token")).distinct().join(v, "token")
+
+    def beside(docs_: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(words["token"], words["token_id"]))
+        return docs_[[id_col, "n_tokens"]].assign(ids=[[known.get(t, UNK) for t in toks] for toks in docs_["_toks"]])
+
+    return rows.groupBy("_chunk").cogroup(own.groupBy("_part")).applyInPandas(beside, schema)
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,30 +102,13 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         id_col, n.alias("n_tokens"), (n + F.lit(2)).alias("token_length"))
 
 
-def truncate_pad_long(ids: DataFrame, lens: DataFrame, max_len: int,
-                      id_col: str = "doc_id") -> DataFrame:
-    """Long fixed-length sequences ``(id, pos, input_id, attention_mask)`` (H3 H4 H5).
-
-    Tokens past ``max_len - 2`` are dropped before any shuffle; CLS/SEP/PAD
-    rows are generated per document from its length.
-    """
-    keep = max_len - 2
-    body = ids.where(F.col("tpos") < keep).select(
-        id_col, (F.col("tpos") + 1).cast("int").alias("pos"),
-        F.col("token_id").cast("int").alias("input_id"), F.lit(1).alias("attention_mask"))
-    kept = F.least(F.col("n_tokens"), F.lit(keep)).cast("int")
-
-    def cell(pos, tok, m):
-        return F.struct(pos.cast("int").alias("pos"), F.lit(tok).alias("input_id"),
-                        F.lit(m).alias("attention_mask"))
-
-    # CLS, SEP and every PAD position of a document come from one generator over
-    # its length row, so the lengths are read once.
-    pads = F.transform(F.sequence(kept + 2, F.lit(max_len)), lambda p: cell(p, PAD, 0))
-    specials = F.concat(F.array(cell(F.lit(0), CLS, 1), cell(kept + 1, SEP, 1)),
-                        F.filter(pads, lambda c: c["pos"] < F.lit(max_len)))
-    frame = lens.select(id_col, F.inline(specials))
-    return body.unionByName(frame)
+def truncate_pad_long(encoded: DataFrame, max_len: int, id_col: str = "doc_id") -> DataFrame:
+    """Long fixed-length sequences ``(id, pos, input_id, attention_mask)`` (H3 H4 H5), made
+    of each document's arrays without a shuffle."""
+    arrays = truncate_pad_arrays(encoded, max_len)
+    cells = F.arrays_zip(F.col("input_ids").alias("input_id"), F.col("attention_mask").alias("attention_mask"))
+    return arrays.select(id_col, F.posexplode(cells).alias("pos", "_c")).select(
+        id_col, "pos", F.col("_c.input_id").alias("input_id"), F.col("_c.attention_mask").alias("attention_mask"))
 
 
 def truncate_pad_arrays(id_arrays: DataFrame, max_len: int, seq_col: str = "ids") -> DataFrame:
@@ -128,21 +142,10 @@ def id_batches(lens: DataFrame, batch_size: int, id_col: str = "doc_id",
         .drop("_r", "_range")
 
 
-def id_arrays(ids: DataFrame, lens: DataFrame, max_len: int, id_col: str = "doc_id") -> DataFrame:
-    """``lens`` with ``ids``: each document's first ``max_len - 2`` token ids in order.
-
-    Later tokens go before the shuffle; a document without tokens has an empty array.
-    """
-    rows = ids.where(F.col("tpos") < max_len - 2).groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("tpos", F.col("token_id").cast("int").alias("id")))).alias("_rows"))
-    own = F.coalesce(F.col("_rows")["id"], F.array().cast("array<int>"))
-    return lens.join(rows, id_col, "left").withColumn("ids", own).drop("_rows")
-
-
 def pad_to_longest(batched: DataFrame, max_len: int, id_col: str = "doc_id") -> DataFrame:
     """Per batch: every sequence padded to the longest truncated length (H6 H7 K4).
 
-    With an ``ids`` column (see ``id_arrays``) also ``input_ids`` and
+    With an ``ids`` column (see ``encode_ids``) also ``input_ids`` and
     ``attention_mask``, both of ``padded_length``.
     """
     length = F.least(F.col("token_length"), F.lit(max_len))

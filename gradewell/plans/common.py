@@ -123,10 +123,10 @@ def sql_coef(x: str, src: str = "ef", lam: float = 0.0) -> str:
     sums = ", ".join(f"sum({t}) AS sy_{t}, sum({x} * {t}) AS sxy_{t}" for t in TARGETS)
     tr = ", ".join(f"sum(sy_{t}) OVER () - sy_{t} AS sy_{t}, sum(sxy_{t}) OVER () - sxy_{t} AS sxy_{t}"
                    for t in TARGETS)
-    bs = ", ".join(f"(sxy_{t} - sx * sy_{t} / n) / (sxx - sx * sx / n + {float(lam)!r}) AS b_{t}"
-                   for t in TARGETS)
+    spread = f"(CASE WHEN sxx - sx * sx / nullif(n, 0) > {linear.FLAT!r} * sxx THEN sxx - sx * sx / n ELSE 0 END + {float(lam)!r})"
+    bs = ", ".join(f"coalesce((sxy_{t} - sx * sy_{t} / nullif(n, 0)) / nullif({spread}, 0), 0) AS b_{t}" for t in TARGETS)
     return f"""
-  SELECT fold, {', '.join(f'(sy_{t} - b_{t} * sx) / n AS a_{t}, b_{t}' for t in TARGETS)}
+  SELECT fold, {', '.join(f'(sy_{t} - b_{t} * sx) / nullif(n, 0) AS a_{t}, b_{t}' for t in TARGETS)}
   FROM (SELECT *, {bs} FROM (
     SELECT fold, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx,
            sum(sxx) OVER () - sxx AS sxx, {tr}

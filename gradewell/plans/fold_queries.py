@@ -89,3 +89,26 @@ FROM documents""")
 def profile(spark, sf):
     docs = tables.table(spark, sf, "documents")
     return sampling.profile(docs)
+
+
+GRADES = ("label", "third", "sign")
+SQL_GRADES = """SELECT vec_id, label, label // 3 AS third, CAST(embedding[1] > 0 AS INTEGER) AS sign FROM embeddings"""
+
+
+@query("kfold_iterative_grades", "J1", sql=" UNION ALL ".join(f"""
+SELECT '{g}' AS target, CAST({g} AS INTEGER) AS grade, CAST(f AS INTEGER) AS fold, count(*) AS n_rows, true AS within_one
+FROM ({SQL_GRADES}), (SELECT unnest(range({N_FOLDS})) AS f) GROUP BY ALL""" for g in GRADES))
+def kfold_iterative_grades(spark, sf):
+    """Iterative folds over labels of ten, four and two grades: whether every fold holds
+    each grade's share, to within one row."""
+    emb = tables.table(spark, sf, "embeddings")
+    lab = emb.select("vec_id", "label", F.expr("label div 3").cast("int").alias("third"),
+                     (F.col("embedding")[0] > 0).cast("int").alias("sign"))
+    folds = fo.iterative_folds(lab, "vec_id", list(GRADES), N_FOLDS, DEFAULT_SEED)
+    long = lab.join(folds, "vec_id").select("fold", F.inline(F.array(*[
+        F.struct(F.lit(g).alias("target"), F.col(g).alias("grade")) for g in GRADES])))
+    each = long.groupBy("target", "grade").agg(F.count("*").alias("n_rows"), *[
+        F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(N_FOLDS)])
+    return each.select("target", "grade", "n_rows", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("fold"), (F.abs(F.col(f"n{f}") - F.col("n_rows") / N_FOLDS) <= 1).alias("within_one"))
+        for f in range(N_FOLDS)])))

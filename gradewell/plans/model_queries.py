@@ -3,13 +3,16 @@ boosted trees, checkpoint scoring and ensembles, feature groups, file keys."""
 
 from __future__ import annotations
 
-import numpy as np
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.config import DEFAULT_SEED, GBT_PATIENCE, N_FOLDS, SEEDS
 from gradewell.functions import text as tx
 from gradewell.functions import vectors as vf
-from gradewell.operators import ensemble, features, folds as fo, gradient, linear, metrics, scoring, trees
+from gradewell.operators import (blockgram, encoders, ensemble, features, folds as fo, gradient, linear, metrics, nystrom, scoring,
+                                 trees, wide)
 from gradewell.plans import common as c
 from gradewell.plans.registry import query
 from gradewell.session import ensure_checkpoint_dir, scratch_path
@@ -51,6 +54,23 @@ def ridge_kfold(spark, sf):
     return out.select("fold", "target", R6("intercept").alias("intercept"), R6("slope").alias("slope"))
 
 
+#: Folds of the reference's longest regressor run.
+MANY_FOLDS = 25
+
+
+@query("ridge_kfold_25", "J6 J1", sql=lambda: f"""
+WITH ef AS ({c.sql_essays_folds(k=MANY_FOLDS)}), coef AS ({c.sql_coef('x_words', lam=RIDGE_LAMBDA)})
+{' UNION ALL '.join(f"SELECT fold, '{t}' AS target, round(a_{t}, 6) AS intercept, round(b_{t}, 6) AS slope FROM coef" for t in T)}""")
+def ridge_kfold_25(spark, sf):
+    """The one-feature ridge over 25 folds, from one pass as well."""
+    ef = c.essays_folds(spark, sf, k=MANY_FOLDS)
+    coef = linear.univariate_fold_fit(ef, "x_words", T, lam=RIDGE_LAMBDA)
+    pairs = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"a_{t}").alias("intercept"),
+                               F.col(f"b_{t}").alias("slope")) for t in T])
+    return coef.select("fold", F.inline(pairs)).select("fold", "target", R6("intercept").alias("intercept"),
+                                                       R6("slope").alias("slope"))
+
+
 @query("ridge_kfold_embeddings", "J6 J7")
 def ridge_kfold_embeddings(spark, sf):
     """64-feature ridge for every (fold, target): per-fold Gram matrices from one
@@ -71,7 +91,9 @@ def _cells_fit(train, loss, kernel):
     d = 64
     fmap = gradient.Identity()
     if kernel:
-        fmap = gradient.FourierFeatures.draw(d, 256, gradient.feature_scale_gamma(train, "x", d), seed=DEFAULT_SEED)
+        gamma = gradient.feature_scale_gamma(train, "x", d)
+        fmap = (nystrom.draw(train, "x", "vec_id", 256, gamma, seed=DEFAULT_SEED) if kernel == "nystrom"
+                else gradient.FourierFeatures.draw(d, 256, gamma, seed=DEFAULT_SEED))
     n_train = train.count() * (N_FOLDS - 1) / N_FOLDS
     return gradient.fit_cells(train, "x", EMB_T, N_FOLDS, d, fmap=fmap, loss=loss, lam=1.0 / n_train,
                               warm_start=False)
@@ -109,6 +131,12 @@ def svr_rff_kfold(spark, sf):
     return _cells_rmse(spark, sf, "eps_insensitive", True)
 
 
+@query("svr_nystrom_kfold", "J3 J7 C10")
+def svr_nystrom_kfold(spark, sf):
+    """The same regression on 256 landmarks drawn by leverage instead of Fourier features."""
+    return _cells_rmse(spark, sf, "eps_insensitive", "nystrom")
+
+
 @query("linear_head_fit", "J5")
 def linear_head_fit(spark, sf):
     """Multi-target linear head on frozen vectors with Smooth-L1 loss."""
@@ -117,7 +145,8 @@ def linear_head_fit(spark, sf):
 
 #: Twenty times the default step and a twentieth of the default patience: the same
 #: way without a better error ends a cell, in a twentieth of the passes.
-BOOSTING = {"step_size": 20 * trees.STEP_SIZE, "patience": GBT_PATIENCE // 20, "max_depth": 3, "bins": 16}
+BOOSTING = {"step_size": 20 * trees.STEP_SIZE, "patience": GBT_PATIENCE // 20, "max_leaves": 8, "max_depth": 4,
+            "bins": 16}
 
 
 @query("gbt_kfold", "J4 E5 E7")
@@ -174,9 +203,9 @@ def gbt_predictions(spark, sf):
 
 # ---------------------------------------------------------------- checkpoints
 
-def _checkpoints(spark, sf):
-    """Fit the three baseline families, save them to the model registry and load
-    them back as checkpoint rows (model, fold, target, intercept, slope, feature)."""
+def _family_rows(spark, sf):
+    """Checkpoint rows (model, fold, target, intercept, slope, feature) of the three
+    baseline families, before they are saved."""
     base = c.essays_folds(spark, sf).cache()
     frames = []
     for m, x in c.MODELS.items():
@@ -186,11 +215,13 @@ def _checkpoints(spark, sf):
         frames.append(coef.select(F.lit("baseline").alias("run"), F.lit(0).alias("cv_id"),
                                   F.lit(m).alias("model"), F.lit(x).alias("feature"), "fold",
                                   F.inline(pairs)))
-    allc = frames[0]
-    for f in frames[1:]:
-        allc = allc.unionByName(f)
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _checkpoints(spark, sf):
+    """The families' models saved to the registry and loaded back."""
     path = scratch_path(spark, "registry")
-    files.registry_save(allc, path)
+    files.registry_save(_family_rows(spark, sf), path)
     loaded = files.registry_load(spark, path, "baseline")
     return [r.asDict() for r in loaded.collect()]   # families x folds x targets rows
 
@@ -218,6 +249,23 @@ def batch_scoring(spark, sf):
     return s.select("text_id", "model", "fold", "target", R6("pred").alias("pred"))
 
 
+@query("registry_scoring", "A7 J9 J10", sql=lambda: f"""
+SELECT text_id, model, fold, target, round(pred, 6) AS pred FROM ({_sql_checkpoint_preds()})""")
+def registry_scoring(spark, sf):
+    """The registry saved model by model, as folds end, a first version of every model of
+    fold 0 among them; loading gives each (model, fold, target) as it was saved last."""
+    path = scratch_path(spark, "registry")
+    rows = _kept(spark, _family_rows(spark, sf), "registry-rows")
+    files.registry_save(rows.where("fold = 0").withColumn("intercept", F.lit(-1.0)), path)
+    for fold in range(N_FOLDS):
+        for t in T:
+            files.registry_save(rows.where((F.col("fold") == fold) & (F.col("target") == t)), path)
+    loaded = files.registry_load(spark, path, "baseline")
+    models = [r.asDict() for r in loaded.collect()]       # families x folds x targets rows
+    s = scoring.score_checkpoints(c.unlabelled_features(spark, sf), models, list(c.MODELS.values()))
+    return s.select("text_id", "model", "fold", "target", R6("pred").alias("pred"))
+
+
 @query("checkpoint_ensemble", "J8 J10 D8 D9 J17", sql=lambda: f"""
 WITH p AS (SELECT text_id, model, target, avg(pred) AS pred FROM ({_sql_checkpoint_preds()}) GROUP BY 1, 2, 3),
      w AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, {w} AS w" for m, w in WEIGHTS.items())}),
@@ -235,44 +283,139 @@ def checkpoint_ensemble(spark, sf):
     return out.select("text_id", *[R6(t).alias(t) for t in T])
 
 
+# ---------------------------------------------------------------- wide features
+
+WIDE = 4096
+
+
+def _wide_rows(spark, sf):
+    """``(text_id, indices, values, fold, quality, toxic)``: hashed words of the labelled
+    essays, and the same without fold for the unlabelled ones."""
+    docs = tables.table(spark, sf, "documents")
+    encoded = wide.hashed_words(docs, "doc_id", "text", WIDE).withColumnRenamed("id", "text_id")
+    encoded = _kept(spark, encoded, "wide")
+    folds = fo.assign_folds(c.labelled(spark, sf), "text_id", N_FOLDS, DEFAULT_SEED, strata=c.STRATA)
+    return _kept(spark, folds.join(encoded, "text_id"), "wide-folds"), folds, encoded
+
+
+def _kept(spark, df, name):
+    """A table of the shared folder that every pass reads again."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("ridge_wide_kfold", "J6 J7")
+def ridge_wide_kfold(spark, sf):
+    """Ridge on 4,096 hashed word columns for every (fold, target), by conjugate gradients
+    over passes: no Gram matrix anywhere. Held-out RMSE of each cell."""
+    rows, _, _ = _wide_rows(spark, sf)
+    model = wide.ridge_cells(rows, T, N_FOLDS, WIDE, RIDGE_LAMBDA)
+    long = wide.predict_rows(rows, model)
+    y = F.when(F.col("target") == T[0], F.col(T[0])).otherwise(F.col(T[1]))
+    endings = model.table(spark).select("fold", "target", "stopped_by")
+    return _fold_rmse(long.withColumn("y", y)).join(F.broadcast(endings), ["fold", "target"]).select(
+        "fold", "target", R6("rmse").alias("rmse"), "stopped_by")
+
+
+@query("ridge_wide_predictions", "J6 J7 J8")
+def ridge_wide_predictions(spark, sf):
+    """Out-of-fold rows of the labelled essays and fold-mean rows of the others."""
+    rows, folds, encoded = _wide_rows(spark, sf)
+    model = wide.ridge_cells(rows, T, N_FOLDS, WIDE, RIDGE_LAMBDA)
+    columns = ["text_id", "target", R6("pred").alias("pred")]
+    test = wide.predict_rows(encoded.join(folds.select("text_id"), "text_id", "left_anti"), model, fold_col=None)
+    return (wide.predict_rows(rows, model).select(F.lit("oof").alias("part"), "fold", *columns)
+            .unionByName(test.select(F.lit("test").alias("part"), F.lit(None).cast("int").alias("fold"), *columns)))
+
+
 # ---------------------------------------------------------------- feature groups
 
+#: Four encoders (blocks of the stored vectors) and the groups that are fitted of them.
+ENCODERS = [16, 16, 16, 16]
 GROUPS = {"g_low": [0, 1], "g_high": [2, 3], "g_all": [0, 1, 2, 3]}
+GROUP_WEIGHTS = {"g_low": 1.0, "g_high": 1.0, "g_all": 2.0}
 
 
-@query("feature_group_runner", "A5 J11 J12 C7")
-def feature_group_runner(spark, sf):
-    """Feature groups (sets of encoder blocks) -> feature store -> concatenation
-    -> k-fold ridge -> per-group, per-fold RMSE."""
+def _encoder_blocks(spark, sf):
+    """``(vec_id, vec)``: the encoders' unit vectors, computed where the feature store has
+    none yet, and put side by side."""
     emb = tables.table(spark, sf, "embeddings")
-    wanted = spark.createDataFrame([(b,) for b in range(4)], "block int")
+    wanted = spark.createDataFrame([(b,) for b in range(len(ENCODERS))], "block int")
     store = scratch_path(spark, "feature-store")
 
     def compute(missing):
         blocks = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("e")) \
             .select("vec_id", F.inline(F.array(*[
                 F.struct(F.lit(b).alias("block"), vf.l2_normalise(F.slice("e", b * 16 + 1, 16)).alias("vec"))
-                for b in range(4)])))
+                for b in range(len(ENCODERS))])))
         return blocks.join(F.broadcast(missing), "block", "left_semi")
 
     blocks = files.feature_store_get_or_compute(spark, store, wanted, ["block"], compute)
-    labels = _emb_folds(spark, sf).select("vec_id", "fold", *EMB_T)
-    results = []
-    for g, ids in GROUPS.items():
-        feats = features.hconcat(blocks.where(F.col("block").isin(ids)), "vec_id", n_blocks=len(ids))
-        ef = feats.join(labels, "vec_id").withColumnRenamed("vec", "x").cache()
-        d = 16 * len(ids)
-        gram = linear.fold_gram(ef, "x", EMB_T, d=d)
-        coef = linear.coef_table(spark, linear.solve_fold_ridge(gram, d, len(EMB_T), RIDGE_LAMBDA), EMB_T)
-        long = linear.predict_linear(ef, coef, "x").select(
-            "vec_id", "fold", "target",
-            F.when(F.col("target") == "label", F.col("label")).otherwise(F.col("label_high")).alias("y"),
-            "pred")
-        results.append(_fold_rmse(long).withColumn("group_id", F.lit(g)))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select("group_id", "fold", "target", R6("rmse").alias("rmse"))
+    return features.hconcat(blocks, "vec_id", n_blocks=len(ENCODERS))
+
+
+def _group_fits(spark, sf, rows):
+    """Every (group, seed, fold, target) of the rows from one scan of them."""
+    emb = tables.table(spark, sf, "embeddings").select(
+        "vec_id", F.col("label").cast("double").alias("label"), (F.col("label") >= 5).cast("double").alias("label_high"))
+    table = rows.join(emb, "vec_id")
+    for cv, seed in enumerate(SEEDS):
+        folds = fo.assign_folds(rows.select("vec_id"), "vec_id", N_FOLDS, seed)
+        table = table.join(folds.select("vec_id", F.col("fold").alias(f"fold{cv}")), "vec_id")
+    gram = blockgram.block_gram(table, "vec", ENCODERS, EMB_T, [f"fold{cv}" for cv in range(len(SEEDS))], N_FOLDS)
+    return blockgram.solve_groups(_kept(spark, gram, "gram"), GROUPS, ENCODERS, EMB_T, RIDGE_LAMBDA)
+
+
+@query("feature_group_runner", "A5 J11 J12 C7")
+def feature_group_runner(spark, sf):
+    """Feature groups (sets of encoder blocks) -> feature store -> concatenation -> one
+    block Gram matrix -> k-fold ridge of each group and seed -> held-out RMSE."""
+    fits = _group_fits(spark, sf, _encoder_blocks(spark, sf))
+    return fits.select("group_id", "cv_id", "fold", "target", R6("rmse").alias("rmse"))
+
+
+@query("feature_group_submission", "A9 J8 J11 J12 J17 D8 D9")
+def feature_group_submission(spark, sf):
+    """Groups over seeds and folds to submissions: a fifth of the ids set aside, scored by
+    each group's mean model and by the weighted blend of groups."""
+    vectors = _kept(spark, _encoder_blocks(spark, sf), "group-vectors")
+    test = F.coalesce(F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    fits = _group_fits(spark, sf, vectors.where(~test)).collect()      # groups x seeds x folds x targets models
+    out = blockgram.group_submissions(vectors.where(test), "vec_id", "vec", fits, GROUPS, ENCODERS, EMB_T, GROUP_WEIGHTS)
+    return out.select("vec_id", "group_id", *[R6(t).alias(t) for t in EMB_T])
+
+
+#: Encoders of texts with their widths, in the order of their vectors, and groups of them.
+TEXT_ENCODERS = {"char3": (48, 3), "char5": (32, 5), "words": (64, 0)}
+TEXT_GROUPS = {"chars": [0, 1], "words": [2], "all": [0, 1, 2]}
+
+
+@query("encoder_groups", "A5 J11 J12 C7")
+def encoder_groups(spark, sf):
+    """Essays encoded by plug-in encoders into the feature store, and groups of encoders
+    fitted over seeds and folds from one block Gram matrix: held-out RMSE."""
+    essays = tables.essays(spark, sf)
+    store = scratch_path(spark, "text-features")
+
+    def compute(missing):
+        made = {r["encoder"]: partial(encoders.hashed_units, *TEXT_ENCODERS[r["encoder"]]) for r in missing.collect()}
+        return encoders.encoded(essays.select("text_id", "full_text"), "text_id", "full_text", made)
+
+    def stored(names):
+        wanted = spark.createDataFrame([(n,) for n in names], "encoder string")
+        return files.feature_store_get_or_compute(spark, store, wanted, ["encoder"], compute)
+
+    stored(["words"])                                   # an earlier run had one encoder
+    vectors = features.hconcat(stored(list(TEXT_ENCODERS)), "text_id", n_blocks=len(TEXT_ENCODERS), block_col="encoder")
+    table = vectors.join(c.labelled(spark, sf), "text_id")
+    for cv, seed in enumerate(SEEDS):
+        folds = fo.assign_folds(c.labelled(spark, sf), "text_id", N_FOLDS, seed, strata=c.STRATA)
+        table = table.join(folds.select("text_id", F.col("fold").alias(f"fold{cv}")), "text_id")
+    widths = [w for w, _ in TEXT_ENCODERS.values()]
+    gram = blockgram.block_gram(table, "vec", widths, T, [f"fold{cv}" for cv in range(len(SEEDS))], N_FOLDS)
+    fits = blockgram.solve_groups(_kept(spark, gram, "text-gram"), TEXT_GROUPS, widths, T, RIDGE_LAMBDA)
+    return fits.select("group_id", "cv_id", "fold", "target", "n", R6("rmse").alias("rmse"))
 
 
 # ---------------------------------------------------------------- file keys

@@ -171,12 +171,14 @@ def ensemble_weighted(spark, sf):
 
 
 @query("ensemble_inverse_score", "D5 D9 D11", sql=lambda: f"""
-WITH sc AS ({' UNION ALL '.join(_sql_pooled_mcrmse(m) for m in c.MODELS)})
-SELECT s.text_id, {', '.join(f'round(sum(s.{t} / sc.score) / sum(1 / sc.score), 6) AS {t}' for t in T)}
+WITH sc AS (SELECT *, coalesce(CASE WHEN (min(score) OVER ()) = 0 THEN CAST(score = 0 AS DOUBLE)
+                                    ELSE 1 / nullif(score, 0) END, 0) AS w
+            FROM ({' UNION ALL '.join(_sql_pooled_mcrmse(m) for m in c.MODELS)}))
+SELECT s.text_id, {', '.join(f'round(sum(s.{t} * sc.w) / nullif(sum(sc.w), 0), 6) AS {t}' for t in T)}
 FROM ({_sql_submissions()}) s JOIN sc ON s.model = sc.model GROUP BY s.text_id""")
 def ensemble_inverse_score(spark, sf):
     """Blend weights 1/score with score = each model's pooled OOF MCRMSE."""
-    weights = _pooled_scores(spark, sf).select("model", (F.lit(1.0) / F.col("score")).alias("w"))
+    weights = ensemble.inverse_weights(_pooled_scores(spark, sf))
     out = ensemble.weighted_blend(_submissions(spark, sf), weights, "text_id", T)
     return out.select("text_id", *[R6(t).alias(t) for t in T])
 

@@ -55,9 +55,8 @@ UNION ALL SELECT doc_id, CAST(kk + 1 AS INTEGER), {sq.SEP}, 1 FROM k
 UNION ALL SELECT doc_id, CAST(unnest(range(kk + 2, {MAX_LEN})) AS INTEGER), {sq.PAD}, 0 FROM k""")
 def truncate_pad(spark, sf):
     docs = _docs(spark, sf)
-    rows = sq.token_rows(docs)
-    ids = sq.attach_ids(rows, sq.build_vocab(rows))
-    return sq.truncate_pad_long(ids, sq.lengths(docs), MAX_LEN)
+    encoded = sq.encode_ids(docs, sq.build_vocab(sq.token_rows(docs)), MAX_LEN)
+    return sq.truncate_pad_long(encoded, MAX_LEN)
 
 
 @query("attention_mask", "H4", sql=f"""
@@ -93,10 +92,10 @@ SELECT p.doc_id, batch_id, length, padded_length,
 FROM p LEFT JOIN i ON p.doc_id = i.doc_id""")
 def pad_to_longest(spark, sf):
     """Arrays of every batch's own width; shown as text, ids parted by spaces."""
-    rows = sq.token_rows(_docs(spark, sf))
-    ids = sq.attach_ids(rows, sq.build_vocab(rows))
-    batched = sq.length_batches(_lens(spark, sf), BATCH)
-    out = sq.pad_to_longest(sq.id_arrays(ids, batched, MAX_LEN), MAX_LEN)
+    docs = _docs(spark, sf)
+    encoded = sq.encode_ids(docs, sq.build_vocab(sq.token_rows(docs)), MAX_LEN)
+    batched = sq.length_batches(encoded.withColumn("token_length", F.col("n_tokens") + 2), BATCH)
+    out = sq.pad_to_longest(batched, MAX_LEN)
     return out.withColumns({x: F.array_join(F.col(x).cast("array<string>"), " ") for x in ("input_ids", "attention_mask")})
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.config import TEMPLATE_GRADE
 from gradewell.functions import text as tx
 from gradewell.operators import containment, fragments
+from gradewell.operators.rowindex import global_row_index, range_bucket
 from gradewell.plans import common as c
 from gradewell.plans.registry import query
 from gradewell.sources import tables
@@ -95,6 +99,45 @@ def containment_ratio(spark, sf):
     return out.select("direction", "n_total", "n_found", c.r6("ratio").alias("ratio"))
 
 
+SQL_JOINED = """(SELECT string_agg(coalesce(text, ''), ' ' ORDER BY doc_id, text) AS s FROM documents)"""
+SQL_JOINED_TURNS = """(SELECT string_agg(coalesce(text, ''), ' ' ORDER BY conv_id, turn, text) AS s FROM conversations)"""
+
+
+@query("containment_joined", "C8 D15", sql=f"""
+SELECT 'items_in_documents' AS direction, CAST(count(*) AS BIGINT) AS n_total,
+       CAST(count(*) FILTER (WHERE b.text <> '' AND contains(s, b.text)) AS BIGINT) AS n_found,
+       round(count(*) FILTER (WHERE b.text <> '' AND contains(s, b.text)) / count(*), 6) AS ratio
+FROM benchmark b, {SQL_JOINED}
+UNION ALL
+SELECT 'tails_in_documents', CAST(count(*) AS BIGINT),
+       CAST(count(*) FILTER (WHERE t <> '' AND contains(s, t)) AS BIGINT),
+       round(count(*) FILTER (WHERE t <> '' AND contains(s, t)) / count(*), 6)
+FROM (SELECT right(coalesce(text, ''), 30) || ' ' ||
+             left(coalesce(lead(text) OVER (ORDER BY doc_id, text), ''), 30) AS t FROM documents), {SQL_JOINED}
+UNION ALL
+SELECT 'items_in_turns', CAST(count(*) AS BIGINT),
+       CAST(count(*) FILTER (WHERE b.text <> '' AND contains(s, b.text)) AS BIGINT),
+       round(count(*) FILTER (WHERE b.text <> '' AND contains(s, b.text)) / count(*), 6)
+FROM benchmark b, {SQL_JOINED_TURNS}""")
+def containment_joined(spark, sf):
+    """Containment in the one string that all texts make, in id order: what crosses the end
+    of a text counts too. The tails, each text's end and the next one's start, all do."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    items = tables.table(spark, sf, "benchmark").select("item_id", "text")
+    turns = tables.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    ends = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    numbered = global_row_index(range_bucket(ends, "doc_id", "b"), ["doc_id", "text"], bucket=F.col("b"), name="i")
+    following = numbered.select((F.col("i") - 1).alias("i"), F.substring("text", 1, 30).alias("next"))
+    tail = F.expr("right(text, 30)")
+    tails = numbered.join(following, "i", "left").select(
+        "doc_id", F.concat(tail, F.lit(" "), F.coalesce("next", F.lit(""))).alias("text"))
+    parts = {"items_in_documents": containment.joined_share(items, docs, "item_id", ["doc_id", "text"]),
+             "tails_in_documents": containment.joined_share(tails, docs, "doc_id", ["doc_id", "text"]),
+             "items_in_turns": containment.joined_share(items, turns, "item_id", ["conv_id", "turn", "text"])}
+    out = reduce(DataFrame.unionByName, [p.withColumn("direction", F.lit(d)) for d, p in parts.items()])
+    return out.select("direction", "n_total", "n_found", c.r6("ratio").alias("ratio"))
+
+
 @query("url_parts", "A8 G5 G6", sql="""
 SELECT page_id, string_split(url, '/')[-1] AS basename,
        regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '') AS stem,

@@ -173,8 +173,8 @@ def test_golden_sequences(spark):
     assert vocab == {"a": (2, 4), "b": (2, 5), ",": (1, 6), "c": (1, 7)}
     lens = {r.doc_id: (r.n_tokens, r.token_length) for r in sq.lengths(docs).collect()}
     assert lens == {1: (5, 7), 2: (1, 3), 3: (0, 2)}
-    ids = sq.attach_ids(rows, sq.build_vocab(rows))
-    seq = sq.truncate_pad_long(ids, sq.lengths(docs), max_len=5).orderBy("doc_id", "pos").collect()
+    encoded = sq.encode_ids(docs, sq.build_vocab(rows), 5)
+    seq = sq.truncate_pad_long(encoded, max_len=5).orderBy("doc_id", "pos").collect()
     by_doc = {}
     for r in seq:
         by_doc.setdefault(r.doc_id, []).append((r.input_id, r.attention_mask))

@@ -7,6 +7,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from gradewell.operators import containment, pooling, pseudo, rowindex
 from gradewell.operators import sequences as sq
 
@@ -47,10 +49,9 @@ def test_batches_over_sparse_and_clustered_ids(spark, monkeypatch, ids):
 
 def test_padded_arrays_have_their_batch_width(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, "a b c d e f g h"), (4, None)], "doc_id long, text string")
-    rows = sq.token_rows(docs)
-    ids = sq.attach_ids(rows, sq.build_vocab(rows))
-    batched = sq.length_batches(sq.lengths(docs), 2)
-    out = {r.doc_id: r for r in sq.pad_to_longest(sq.id_arrays(ids, batched, 6), 6).collect()}
+    encoded = sq.encode_ids(docs, sq.build_vocab(sq.token_rows(docs)), 6)
+    batched = sq.length_batches(encoded.withColumn("token_length", F.col("n_tokens") + 2), 2)
+    out = {r.doc_id: r for r in sq.pad_to_longest(batched, 6).collect()}
     assert out[2].input_ids == [sq.CLS, sq.SEP] and out[4].attention_mask == [1, 1]
     assert len(out[1].input_ids) == len(out[3].input_ids) == 6       # cut to six, padded to six
     assert out[1].input_ids[3:] == [sq.SEP, sq.PAD, sq.PAD] and out[1].attention_mask == [1, 1, 1, 1, 0, 0]
