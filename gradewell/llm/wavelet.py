@@ -6,12 +6,16 @@ A shard holds the ids of consecutive documents (ascending id). Its record has
   plane is the current order's bits, after which ids with bit 0 go before those
   with bit 1, both stably;
 * ``ranks``: ones before each block of 512 bits of a plane, as 32-bit counts;
+* ``samples``: for ones and for zeros, the block that holds every 512th of them;
 * ``zeros``: zeros of each plane, and the document starts and ids.
 
-Access, counting and the place of an occurrence need one rank or select in each
-plane. The bytes are packed as one block (``MAGIC``, header, arrays, deflated)
-and stored with the shard's bounds as a row of a Parquet table in the shared
-folder, so that any executor and any store that Spark reads will do.
+A plane takes an eighth of a byte an id, so ids of 16 bits take two bytes and an
+eighth of rank and select data. Access and counting need one rank in each plane, the
+place of an occurrence one rank and one select: each reads one block of 512 bits (a
+select a few more counts), straight from the packed bytes, of which nothing has to be
+unpacked first. The bytes (``MAGIC``, header, arrays) are stored with the shard's bounds as a
+row of a Parquet table in the shared folder, so that any executor and any store that
+Spark reads will do.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from gradewell.llm.common import by_bytes, id_and_text
 from gradewell.llm.encode import encoder
 from gradewell.session import scratch_path
 
-MAGIC = b"GWM1"
+MAGIC = b"GWM2"
 BLOCK = 512
 _HEADER = struct.Struct("<4sBIQ")
 
@@ -43,25 +47,35 @@ class WaveletMatrix:
     def __init__(self, ids: np.ndarray | None = None):
         if ids is None:
             return
-        ids = np.asarray(ids, np.uint32)
+        ids = np.asarray(ids)
         self.n = len(ids)
-        self.levels = max(1, int(ids.max()).bit_length()) if self.n else 1
+        most = int(ids.max()) if self.n else 0
+        self.levels = max(1, most.bit_length())
+        ids = ids.astype(np.uint16 if most < 1 << 16 else np.uint32)
         self.bits, self.zeros = [], []
         for level in range(self.levels - 1, -1, -1):
-            one = (ids >> np.uint32(level)) & np.uint32(1) > 0
+            one = (ids & ids.dtype.type(1 << level)).astype(bool)
             self.bits.append(np.packbits(one, bitorder="little"))
-            self.zeros.append(int(self.n - np.count_nonzero(one)))
-            ids = np.concatenate([ids[~one], ids[one]])
+            moved = np.empty_like(ids)
+            zero = ids[~one]
+            moved[:len(zero)], moved[len(zero):] = zero, ids[one]
+            self.zeros.append(len(zero))
+            ids = moved
         self._index()
 
     def _index(self) -> None:
-        """Ones before each block, of each plane."""
-        self.ranks = []
+        """Ones before each block of each plane, and the blocks of every 512th bit of a kind."""
+        self.ranks, self.samples = [], ([], [])
         for plane in self.bits:
             padded = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
             padded[:len(plane)] = plane
-            ones = np.bitwise_count(padded.reshape(-1, BLOCK // 8)).sum(1, dtype=np.uint32)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones, dtype=np.uint32)]).astype(np.uint32))
+            ones = np.bitwise_count(padded.view(np.uint64).reshape(-1, BLOCK // 64)).sum(1, dtype=np.uint32)
+            ranks = np.concatenate([[0], np.cumsum(ones, dtype=np.uint32)]).astype(np.uint32)
+            self.ranks.append(ranks)
+            before = np.minimum(np.arange(len(ranks), dtype=np.int64) * BLOCK, self.n)
+            for kind, counts in enumerate((before - ranks, ranks.astype(np.int64))):
+                every = np.arange(0, int(counts[-1]), BLOCK)
+                self.samples[kind].append((np.searchsorted(counts, every, "right") - 1).astype(np.uint32))
 
     def _bit(self, level: int, i: np.ndarray) -> np.ndarray:
         return (self.bits[level][i >> 3] >> (i & 7).astype(np.uint8)) & 1
@@ -97,56 +111,83 @@ class WaveletMatrix:
                 start, end = start - a, end - b
         return end - start
 
+    def _select(self, level: int, one: int, k: int) -> int:
+        """The place of bit k (from 0) of a kind in a plane: from the sampled block before
+        it, along the counts to its own, and there to the byte and the bit."""
+        ranks, plane = self.ranks[level], self.bits[level]
+        before = lambda b: int(ranks[b]) if one else min(b * BLOCK, self.n) - int(ranks[b])
+        block = int(self.samples[one][level][k // BLOCK])
+        while before(block + 1) <= k:
+            block += 1
+        left = k - before(block)
+        at = block * BLOCK // 8
+        bits = np.unpackbits(plane[at:at + BLOCK // 8], bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == one)[left])
+
     def select(self, value: int, k: int) -> int:
-        """The place of occurrence k (from 0) of the id; -1 if there are fewer."""
-        if self.rank(value, self.n) <= k:
+        """The place of occurrence k (from 0) of the id; -1 if there are fewer. Down the
+        planes by rank to where the id's occurrences lie, and up again by select."""
+        if value >> self.levels or k < 0:
             return -1
-        lo, hi = 0, self.n
-        while lo < hi:                      # the least i with rank(value, i) > k
-            mid = (lo + hi) // 2
-            if self.rank(value, mid) > k:
-                hi = mid
+        start, end = 0, self.n
+        for level in range(self.levels):
+            a, b = self._rank1(level, start), self._rank1(level, end)
+            if value >> (self.levels - 1 - level) & 1:
+                start, end = self.zeros[level] + a, self.zeros[level] + b
             else:
-                lo = mid + 1
-        return lo - 1
+                start, end = start - a, end - b
+        if end - start <= k:
+            return -1
+        place = start + k
+        for level in range(self.levels - 1, -1, -1):
+            one = value >> (self.levels - 1 - level) & 1
+            place = self._select(level, one, place - self.zeros[level] if one else place)
+        return place
 
     def to_ids(self) -> np.ndarray:
         """All ids in order, by undoing the stable moves plane by plane."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             one = np.unpackbits(self.bits[level], count=self.n, bitorder="little").astype(bool)
-            back = np.empty(self.n, np.uint32)
-            back[~one], back[one] = ids[:self.zeros[level]], ids[self.zeros[level]:]
-            ids = back | (one.astype(np.uint32) << np.uint32(self.levels - 1 - level))
+            back = np.empty(self.n, kind)
+            back[~one] = ids[:self.zeros[level]]
+            back[one] = ids[self.zeros[level]:] | kind(1 << (self.levels - 1 - level))
+            ids = back
         return ids
 
     def to_bytes(self, doc_ends: np.ndarray) -> bytes:
-        """The planes, their rank blocks and the documents' ends, packed."""
-        body = b"".join([*(p.tobytes() for p in self.bits), *(r.tobytes() for r in self.ranks),
-                         np.asarray(self.zeros, np.uint64).tobytes(),
-                         np.asarray(doc_ends, np.uint64).tobytes()])
-        return _HEADER.pack(MAGIC, self.levels, len(doc_ends), self.n) + zlib.compress(body, 1)
+        """The planes, their rank and select data and the documents' ends, packed."""
+        sizes = np.array([len(x) for kind in self.samples for x in kind], "<u8")
+        return b"".join([_HEADER.pack(MAGIC, self.levels, len(doc_ends), self.n),
+                         np.asarray(self.zeros, "<u8").tobytes(), np.asarray(doc_ends, "<u8").tobytes(), sizes.tobytes(),
+                         *(p.tobytes() for p in self.bits), *(r.tobytes() for r in self.ranks),
+                         *(x.tobytes() for kind in self.samples for x in kind)])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
+        """A matrix that reads the packed bytes where they are."""
         magic, levels, n_docs, n = _HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        body, at = zlib.decompress(data[_HEADER.size:]), 0
+        at = _HEADER.size
 
         def take(kind, count):
             nonlocal at
-            out = np.frombuffer(body, kind, count, at)
+            out = np.frombuffer(data, kind, count, at)
             at += out.nbytes
             return out
 
         self = cls()
         self.n, self.levels = n, levels
+        self.zeros = take("<u8", levels).astype(int).tolist()
+        ends, sizes = take("<u8", n_docs), take("<u8", 2 * levels).astype(int)
         self.bits = [take(np.uint8, -(-n // 8)) for _ in range(levels)]
         blocks = -(-(-(-n // 8)) // (BLOCK // 8))
-        self.ranks = [take(np.uint32, blocks + 1) for _ in range(levels)]
-        self.zeros = take(np.uint64, levels).astype(int).tolist()
-        return self, take(np.uint64, n_docs)
+        self.ranks = [take("<u4", blocks + 1) for _ in range(levels)]
+        samples = [take("<u4", k) for k in sizes]
+        self.samples = samples[:levels], samples[levels:]
+        return self, ends
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1,
@@ -156,7 +197,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     Each document gives its ids and then ``end_id``. Null and empty texts give
     the end id alone; rows with a null id come first; rows with the same id
-    follow one another in text order. A document is never cut, so a shard holds
+    follow one another in text order, and many of them spread over tasks. A document is never cut, so a shard holds
     ``shard_tokens`` ids or, if its last document is long, more.
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +233,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     data = id_and_text(docs, id_col, text_col)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = data.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the ranges also go by the texts' first characters, so that no id's rows need fit one task
+    ordered = (data.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 32))
+               .sortWithinPartitions("doc_id", "text"))
     ordered.mapInArrow(build, SHARD_SCHEMA).write.parquet(path)
 
 
@@ -230,7 +273,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 docs, matrix, ends = unpack_shard(row["body"])
-                ids = matrix.to_ids().astype("<u4")
+                ids = matrix.to_ids().astype("<u4")        # 32 bits only for the checksums
                 ends = ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
