@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +24,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _PASSING:
+        _PASSING[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Within, staged tables pass: at the end those are deleted that were not given to
+    the function that this yields, which returns its table. What stays must not read
+    what goes, so it is a staged table too."""
+    mine: list[str] = []
+
+    def keep(table_: DataFrame) -> DataFrame:
+        if getattr(table_, "staged_at", None) is None:
+            table_ = staged(table_, "kept")
+        if table_.staged_at in mine:
+            mine.remove(table_.staged_at)
+            if len(_PASSING) > 1:
+                _PASSING[-2].append(table_.staged_at)
+        return table_
+
+    _PASSING.append(mine)
+    try:
+        yield keep
+    finally:
+        _PASSING.pop()
+        for path in mine:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

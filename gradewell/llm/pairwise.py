@@ -3,16 +3,16 @@
 A preference pair holds a document labelled good and one labelled bad. The
 chance that the first is preferred is the logistic function of the difference of
 their scores, and a score is linear in a text's statistics, so learning is
-logistic regression on differences. The threshold is the score quantile at the
-bad documents' share of the labelled sample; scores are mapped to 0..1 so that
-this quantile becomes the given decision level.
+logistic regression on differences, on a bounded sample. The threshold is the score
+quantile at the bad documents' share, over all labelled documents that are not held
+out; scores are mapped to 0..1 so that this quantile becomes the given decision level.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gradewell.llm import textstats
-from gradewell.llm.common import by_bytes, id_and_text, plain_texts
-from gradewell.llm.rules import labelled_sample
+from gradewell.llm.common import by_bytes, id_and_text, plain_texts, staged
+from gradewell.llm.rules import labelled_sample, labelled_texts
 
 #: Transformed statistics: small shares matter most near zero, so roots are used as well.
 FEATURES = textstats.JUDGED + [f"root_{c}" for c in ("symbol_share", "bang_share", "upper_share", "dup_line_share")]
@@ -38,9 +38,9 @@ class Ranker:
     def raw(self, features: list[Column]) -> Column:
         return sum((c * F.lit(w) for c, w in zip(features, self.weights)), F.lit(0.0))
 
-    def score(self, features: list[Column]) -> Column:
+    def score(self, raw: Column) -> Column:
         offset = math.log(self.level / (1 - self.level))
-        x = (self.raw(features) - F.lit(self.threshold)) * F.lit(self.slope) + F.lit(offset)
+        x = (raw - F.lit(self.threshold)) * F.lit(self.slope) + F.lit(offset)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
@@ -91,12 +91,33 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 50_000, ridge: float
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    s = z @ w
-    ordered = np.sort(s)
-    cut = len(down)                                      # bad documents' share, as a place in the order
-    threshold = (ordered[cut - 1] + ordered[cut]) / 2
-    spread = max(np.median(s[good]) - threshold, 1e-6)
-    return Ranker(tuple((w / scale).tolist()), float(threshold), float(3.0 / spread), level)
+    return Ranker(tuple((w / scale).tolist()), *_threshold(x @ (w / scale), good), level)
+
+
+def _threshold(scores: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """The score at the bad documents' share, and the slope of the map to 0..1."""
+    ordered, cut = np.sort(scores), int((~good).sum())
+    threshold = float(ordered[cut - 1] + ordered[cut]) / 2
+    return threshold, float(3.0 / max(np.median(scores[good]) - threshold, 1e-6))
+
+
+#: Precision of the quantiles: exact up to half as many scores, else within one in as many.
+QUANTILES = 100_000
+
+
+def over_all(ranker: Ranker, scores: DataFrame) -> Ranker:
+    """The ranker with threshold and slope from all of ``scores (label, raw)``, by
+    aggregation; as it is if labels of one kind are missing."""
+    counts = scores.agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good")).first()
+    if not counts["bad"] or not counts["good"]:
+        return ranker
+    n = counts["bad"] + counts["good"]
+    below, above = ((counts["bad"] + d) / n for d in (-0.5, 0.5))          # the places around the cut
+    at = lambda share, of="raw": F.percentile_approx(of, share, QUANTILES)
+    row = scores.where("label in (0, 1)").agg(
+        at([below, above]).alias("cut"), at(0.5, F.when(F.col("label") == 1, F.col("raw"))).alias("middle")).first()
+    threshold = sum(row["cut"]) / 2
+    return replace(ranker, threshold=threshold, slope=3.0 / max(row["middle"] - threshold, 1e-6))
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -104,17 +125,21 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int,
-          level: float, sample: int) -> Ranker:
-    """Fit on at most ``sample`` labelled documents that are not held out."""
-    open_labels = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col))
+          level: float, sample: int) -> tuple[Ranker, DataFrame]:
+    """Fit on at most ``sample`` labelled documents that are not held out, and set the
+    threshold by all of them. Also ``(doc_id, raw)``, the raw scores of all rows."""
+    open_labels = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
                    .where(~held_out(F.col("doc_id"), folds)))
-    some = labelled_sample(open_labels, "doc_id", label_col, sample)          # bounded by ``sample``
-    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id")
-    rows = (with_statistics(texts, "text")
+    some = labelled_sample(open_labels, "doc_id", "label", sample)          # bounded by ``sample``
+    rows = (with_statistics(labelled_texts(docs, some, id_col, text_col), "text")
             .select("doc_id", "label", *[c.alias(n) for c, n in zip(feature_columns(), FEATURES)])
-            .dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id"))
+            .toArrow().sort_by("doc_id"))
     x = np.column_stack([rows[n].to_numpy() for n in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
-    return fit_pairs(x, rows["label"].to_numpy() == 1, level=level)
+    ranker = fit_pairs(x, rows["label"].to_numpy() == 1, level=level)
+    scored = with_statistics(id_and_text(docs, id_col, text_col), "text")
+    raw = staged(scored.select("doc_id", ranker.raw(feature_columns()).alias("raw")), "raw-scores")
+    known = open_labels.dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    return over_all(ranker, raw.join(known, "doc_id")), raw
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -123,16 +148,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``(doc_id, held_out, score, predicted)`` for each row.
 
     Rows whose crc32 of the id as text leaves 0 modulo ``folds`` are held out:
-    their labels are never learned from. At most ``sample`` of the other labelled
-    documents are used. Null and empty texts have all statistics 0 and are scored
+    their labels are never learned from. The weights come from at most ``sample`` of the
+    other labelled documents (of texts with one id that of least hash), the threshold from
+    all of them. Null and empty texts have all statistics 0 and are scored
     like any other; a null id is not held out and never labelled; repeated rows
     each come back, and count once in learning; without labels of both kinds every
     score is alike; an empty table gives an empty result; other columns are not read.
     """
-    ranker = learn(docs, labels, id_col, text_col, label_col, folds, level, sample)
-    scored = (with_statistics(id_and_text(docs, id_col, text_col), "text")
-              .select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"),
-                      ranker.score(feature_columns()).alias("score")))
+    ranker, raw = learn(docs, labels, id_col, text_col, label_col, folds, level, sample)
+    scored = raw.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), ranker.score(F.col("raw")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= F.lit(level)).cast("int"))
 
 
@@ -141,6 +165,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    sample: int = 20_000) -> DataFrame:
     """The rows scored at the decision level or above, with all their columns, in
     one pass without a shuffle of texts. Scores as in ``quality_scores``."""
-    ranker = learn(docs, labels, id_col, text_col, label_col, folds, level, sample)
-    return (with_statistics(docs, text_col).where(ranker.score(feature_columns()) >= F.lit(level))
+    ranker, _ = learn(docs, labels, id_col, text_col, label_col, folds, level, sample)
+    return (with_statistics(docs, text_col).where(ranker.score(ranker.raw(feature_columns())) >= F.lit(level))
             .select(docs.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm import textstats
-from gradewell.llm.common import by_bytes, id_and_text, staged
+from gradewell.llm.common import by_bytes, id_and_text, staged, text_hash
 
 STATS = (["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], textstats.JUDGED)
 STATS_SCHEMA = "doc_id long, " + ", ".join(
@@ -70,10 +70,10 @@ def _gain(p0: int, n0: int, p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(p > 0, g, -np.inf)
 
 
-def _grow(values: dict, bad: np.ndarray, columns: list[str], max_conditions: int) -> list[Condition]:
+def _grow(values: dict, bad: np.ndarray, columns: list[str]) -> list[Condition]:
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
-    while len(rule) < max_conditions:
+    while True:
         p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
         if not p0 or not n0:
             break
@@ -107,19 +107,20 @@ def _covered(rule: list[Condition], values: dict, size: int) -> np.ndarray:
 
 
 def learn_list(values: dict[str, np.ndarray], bad: np.ndarray, columns: list[str], seed: int = 7,
-               precision: float = 0.9, least: int = 2, max_rules: int = 16,
-               max_conditions: int = 4) -> list[list[Condition]]:
+               precision: float = 0.9, least: int = 2) -> list[list[Condition]]:
     """Rules that mark ``bad`` examples, in order; whatever none covers is good.
 
-    Columns are taken in the given order, so ties have one outcome.
+    Columns are taken in the given order, so ties have one outcome. A rule takes
+    conditions as long as they gain, and the list rules as long as they are precise:
+    each takes some examples out, so both end.
     """
     rng = np.random.default_rng(seed)
     rest, rules = np.arange(len(bad)), []
-    while len(rules) < max_rules and bad[rest].any():
+    while bad[rest].any():
         shuffled = rng.permutation(rest)
         grow, prune = np.sort(shuffled[: -(-2 * len(rest) // 3)]), np.sort(shuffled[-(-2 * len(rest) // 3):])
         part = lambda rows: {c: values[c][rows] for c in columns}
-        rule = _grow(part(grow), bad[grow], columns, max_conditions)
+        rule = _grow(part(grow), bad[grow], columns)
         if not rule:
             break
 
@@ -161,21 +162,32 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int) -
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, label, text)`` of the ids in ``labels (doc_id, label)``, at most 20,000 or
+    as many as the caller's sample allows; of texts with the same id that of least hash,
+    so that what is learned does not depend on the table's layout."""
+    found = id_and_text(docs, id_col, text_col).join(F.broadcast(labels), "doc_id")
+    least = F.struct(*text_hash(F.col("text")), "text")
+    return found.groupBy("doc_id", "label").agg(F.min(least).alias("t")).select("doc_id", "label", "t.text")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", sample: int = 20_000) -> DataFrame:
     """Counts, base verdict and learned verdict of each row.
 
     ``base_failed``: fewer than 10 words, or more than a fifth of the words in
     repeated windows of five. ``kept``: false for those, else the decision
-    list's verdict, learned from at most ``sample`` labelled documents. Null and
+    list's verdict, learned from at most ``sample`` labelled documents (of texts with one
+    id from that of least hash). Null and
     empty texts have no words and fail; repeated rows each come back; a null id
     stays null and is never labelled; without labels, or with an empty table,
     the list is empty and only the base decides. Other columns are not read.
     """
-    stats = (staged(statistics(docs, id_col, text_col), "textstats")
-             .withColumn("repeat_share", F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))))
-    some = labelled_sample(labels, id_col, label_col, sample)
-    rows = (stats.select("doc_id", *LEARNED).dropDuplicates(["doc_id"]).join(F.broadcast(some), "doc_id")
+    share = F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))
+    stats = statistics(docs, id_col, text_col).withColumn("repeat_share", share)
+    some = staged(labelled_sample(labels, id_col, label_col, sample), "labelled")          # bounded by ``sample``
+    texts = labelled_texts(docs, some, id_col, text_col)
+    rows = (statistics(texts, "doc_id", "text").withColumn("repeat_share", share).join(F.broadcast(some), "doc_id")
             .select("doc_id", "label", *LEARNED).toArrow().sort_by("doc_id"))
     values = {c: rows[c].to_numpy() for c in LEARNED}
     rules = learn_list(values, rows["label"].to_numpy() == 0, LEARNED) if rows.num_rows else []

@@ -192,6 +192,25 @@ def test_quality_scores_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.95
 
 
+def test_learned_models_do_not_depend_on_the_layout_of_repeated_ids(spark, docs, labels):
+    """Two texts under every labelled id: the one of least hash is learned from, wherever it lies."""
+    other = docs.withColumn("text", F.concat(F.lit("### ### !! "), F.reverse("text")))
+    both = docs.unionByName(other)
+    layouts = [both.repartition(3), both.orderBy(F.desc("doc_id"), F.desc("text")), other.unionByName(docs).repartition(7)]
+    for scores in (lambda d: pairwise.quality_scores(d, labels).select("doc_id", F.round("score", 9)),
+                   lambda d: rules.quality_rules(d, labels).select("doc_id", "n_words", "kept")):
+        first, *rest = [rows(scores(d)) for d in layouts]
+        assert all(r == first for r in rest)
+
+
+def test_quality_threshold_covers_labels_beyond_the_sample(docs, labels):
+    """The share of open labelled documents below the level is that of bad ones, though few were fitted on."""
+    got = pairwise.quality_scores(docs, labels, sample=30)
+    known = got.where("NOT held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    below = sum(r["predicted"] == 0 for r in known)
+    assert abs(below - sum(r["quality"] == 0 for r in known)) <= 1
+
+
 def test_quality_scores_edges(odd, empty, labels):
     assert len(pairwise.quality_scores(odd, labels).collect()) == len(ODD) + 2
     assert pairwise.quality_scores(empty, labels).collect() == []
