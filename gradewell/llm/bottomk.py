@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import bitmap, by_bytes, id_and_text, in_bitmap, staged, text_hash
+from gradewell.llm.common import bitmap, by_bytes, id_and_text, in_bitmap, passing, staged, text_hash
 from gradewell.llm.links import linked_classes
 
 # A-Z are lowered, all else stays; words end at ASCII white space.
@@ -209,7 +209,6 @@ def judged(data: DataFrame, size: int, percent: int, k: int, keep: int) -> DataF
     classes = staged(rows.where("n_shingles > 0").groupBy("ha", "hb").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()), "sets")
-    entries = staged(inverted_lists(classes, k, keep), "entries")
 
     def compatible(x, y):
         # sizes, and what can be common from the first common value on, must allow the similarity
@@ -254,7 +253,9 @@ def judged(data: DataFrame, size: int, percent: int, k: int, keep: int) -> DataF
         return (dealt.join(hubs, ["a", "part"]).withColumn("both", both)
                 .where(100 * F.col("both") >= percent * (F.size("va") + F.size("vb") - F.col("both"))).select("a", "b"))
 
-    linked = linked_classes(entries, verify, compatible, refine, first)
+    with passing(data.sparkSession) as stays:
+        entries = staged(inverted_lists(classes, k, keep), "entries")
+        linked = stays(linked_classes(entries, verify, compatible, refine, first))
     with_comp = classes.select("node", "ha", "hb", "least").join(linked, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
     least = with_comp.groupBy("comp").agg(F.min("least").alias("component_id"))

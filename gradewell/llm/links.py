@@ -22,11 +22,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import staged
+from gradewell.llm.common import passing, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, comp)`` of the nodes of ``edges (a, b)``; ``comp`` is the least node."""
+    with passing(edges.sparkSession) as keep:
+        return keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     rest = staged(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                   .where("hi != lo").distinct(), "edges")
     nodes = rest.select(F.col("hi").alias("node")).union(rest.select("lo")).distinct()
@@ -79,30 +84,33 @@ def linked_classes(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     them are candidates again. ``first`` may deny a pair under a key if it is one
     under another key too, which it does not deny there; it only saves rows.
     """
+    spark = entries.sparkSession
     classes: DataFrame | None = None
     most = 4 * entries.count()
     # hubs, refined lists, hubs of these, and at last all pairs; each only if needed
     for step in ("hubs", "refine", "hubs", "pairs"):
-        rows, pairs = _live(entries, classes)
-        if pairs > most and step == "refine" and refine is not None:
-            entries = refine(rows.select("node").distinct())
-            continue
-        last = pairs <= most or step == "pairs"
-        indexed = rows.where("indexed").select("key", *[F.col(c).alias(f"{c}_i") for c in ("node", "trait", "comp")])
-        if not last:
-            order = F.struct(F.xxhash64("node_i", F.lit(step)).alias("order"), "node_i", "trait_i", "comp_i")
-            indexed = indexed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.*").drop("order")
-        if pairs:
-            across = (F.col("comp") != F.col("comp_i")) & compatible(F.col("trait"), F.col("trait_i"))
-            if last and first is not None:
-                across = across & first(F.col("trait"), F.col("trait_i"))
-            some = (rows.join(indexed, (rows["key"] == indexed["key"]) & across)
-                    .select(F.least("node", "node_i").alias("a"), F.greatest("node", "node_i").alias("b")).distinct())
-            classes = _merged(classes, staged(verify(staged(some, "pairs")).select("a", "b"), "links"))
+        with passing(spark) as keep:
+            rows, pairs = _live(entries, classes)
+            if pairs > most and step == "refine" and refine is not None:
+                entries = keep(refine(rows.select("node").distinct()))
+                continue
+            last = pairs <= most or step == "pairs"
+            indexed = rows.where("indexed").select("key", *[F.col(c).alias(f"{c}_i") for c in ("node", "trait", "comp")])
+            if not last:
+                order = F.struct(F.xxhash64("node_i", F.lit(step)).alias("order"), "node_i", "trait_i", "comp_i")
+                indexed = indexed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.*").drop("order")
+            if pairs:
+                across = (F.col("comp") != F.col("comp_i")) & compatible(F.col("trait"), F.col("trait_i"))
+                if last and first is not None:
+                    across = across & first(F.col("trait"), F.col("trait_i"))
+                some = (rows.join(indexed, (rows["key"] == indexed["key"]) & across)
+                        .select(F.least("node", "node_i").alias("a"), F.greatest("node", "node_i").alias("b")).distinct())
+                links = staged(verify(staged(some, "pairs")).select("a", "b"), "links")
+                classes = keep(_merged(classes, links))
         if last:
             break
     if classes is None:
-        classes = entries.select("node", F.col("node").alias("comp")).limit(0)
+        classes = staged(entries.select("node", F.col("node").alias("comp")).limit(0), "classes")
     return classes
 
 

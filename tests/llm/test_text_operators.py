@@ -585,7 +585,7 @@ def test_contamination_edges(spark, odd, empty):
 # ------------------------------------------------------------------ queries and pipeline
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
