@@ -205,10 +205,12 @@ def judged(data: DataFrame, size: int, percent: int, k: int, keep: int) -> DataF
     """Rows of ``data (doc_id, text, ...)`` without their texts, with ``n_shingles``,
     ``component_id`` and ``kept`` of ``near_duplicates``, and ``comp``: the class,
     null for a text without words."""
-    rows = staged(sketches(data, size, k), "sketches")
-    classes = staged(rows.where("n_shingles > 0").groupBy("ha", "hb").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id()), "sets")
+    with passing(data.sparkSession) as stays:          # a sketch is kept once for each set, not for each row
+        every = staged(sketches(data, size, k), "sketches")
+        classes = stays(staged(every.where("n_shingles > 0").groupBy("ha", "hb").agg(
+            F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+            .withColumn("node", F.monotonically_increasing_id()), "sets"))
+        rows = stays(staged(every.drop("sketch"), "rows"))
 
     def compatible(x, y):
         # sizes, and what can be common from the first common value on, must allow the similarity
@@ -261,6 +263,6 @@ def judged(data: DataFrame, size: int, percent: int, k: int, keep: int) -> DataF
     least = with_comp.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_set = with_comp.join(least, "comp").select("ha", "hb", "comp", "component_id")
     component = F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return (rows.drop("sketch").join(of_set, ["ha", "hb"], "left").withColumn("component_id", component)
+    return (rows.join(of_set, ["ha", "hb"], "left").withColumn("component_id", component)
             .select(*data.drop("text").columns, "n_shingles", "comp", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")))

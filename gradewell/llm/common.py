@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -58,6 +59,9 @@ def passing(spark: SparkSession):
         for path in mine:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        # shuffle files go once the driver has collected the plans that made them
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
