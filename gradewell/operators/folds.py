@@ -85,7 +85,8 @@ def _iterative_quotas(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarr
     k-th of a tuple's rows; what remains of each, fewer than k rows, goes to the folds
     that are shortest of the tuple's pairs, the rarest pair's tuples first. Rows are then
     exchanged between two folds as long as that brings the pairs' counts nearer to a k-th
-    each, so that in the end every grade is within one of its share where that can be.
+    each, and then at random with falling heat until every grade is within one of its
+    share, or the steps are over (such a table may have no such folds).
     """
     n_tup, n_lab = codes.shape
     quotas = np.repeat((counts // k)[:, None], k, axis=1)
@@ -111,6 +112,7 @@ def _iterative_quotas(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarr
         gain = give.max(axis=1) - take.min(axis=1) - (n_lab + 1)
         t = int(np.argmax(gain)) if n_tup else 0
         if not n_tup or not gain[t] > 1e-9:
+            _anneal(codes, extra, over)
             return quotas + extra
         a, b = int(give[t].argmax()), int(take[t].argmin())
         extra[t, a], extra[t, b] = False, True
@@ -118,6 +120,29 @@ def _iterative_quotas(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarr
         over[codes[t], b] += 1
 
 
+#: Exchanges that are tried, at most, where descent leaves a grade beyond one of its share.
+MOST_EXCHANGES = 400_000
+
+
+def _anneal(codes: np.ndarray, extra: np.ndarray, over: np.ndarray) -> None:
+    """Exchange remainder rows of tuples between folds, in place, by simulated annealing on
+    the sum of fourth powers, until no pair is more than one from its share."""
+    movable = np.flatnonzero(extra.any(axis=1) & ~extra.all(axis=1))
+    rng, heat = np.random.default_rng(0), 1.0
+    for _ in range(min(200 * len(movable) * extra.shape[1] + 20_000, MOST_EXCHANGES) if len(movable) else 0):
+        if np.abs(over).max() <= 1 + 1e-9:
+            return
+        t = movable[rng.integers(len(movable))]
+        a, b = rng.choice(np.flatnonzero(extra[t])), rng.choice(np.flatnonzero(~extra[t]))
+        x, y = over[codes[t], a], over[codes[t], b]
+        worse = ((x - 1) ** 4 - x ** 4 + (y + 1) ** 4 - y ** 4).sum()
+        if worse <= 0 or rng.random() < np.exp(-worse / (4 * heat)):
+            extra[t, a], extra[t, b] = False, True
+            over[codes[t], a] -= 1
+            over[codes[t], b] += 1
+        heat = max(0.02, heat * 0.9999)
+
+
 def iterative_folds(df: DataFrame, id_col: str, label_cols: Sequence[str], k: int,
                     seed: int) -> DataFrame:
     """Multilabel iterative stratification over (label, value) pairs: every value of every
