@@ -66,6 +66,8 @@ def global_row_index(df: DataFrame, order: Sequence, strata: Sequence[str] = (),
     offsets = counts.select(*[F.col(s).alias(f"_gw_s_{s}") for s in strata],
                             F.col("_gw_b").alias("_gw_b_r"),
                             F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias("_gw_before"))
+    if not strata:
+        offsets = F.broadcast(offsets)                        # a row for each bucket: the rows stay where they are
     cond = with_b["_gw_b"].eqNullSafe(offsets["_gw_b_r"])     # rows without an order key share a bucket
     for s in strata:
         cond = cond & with_b[s].eqNullSafe(offsets[f"_gw_s_{s}"])
@@ -105,6 +107,8 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], b
     own = [*keys, bucket]
     prefix = prefix.select(*[F.col(c).alias(f"_bk_{c}") for c in own], *[f"_bp_{out}" for out in aggs])
     cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(prefix[f"_bk_{c}"]) for c in own])
+    if not keys:
+        prefix = F.broadcast(prefix)                          # a row for each bucket
     joined = df.join(prefix, cond, "left")
     cols = [comb[f](F.col(f"_bp_{out}"), fn[f](c).over(inner)).alias(out)
             for out, (f, c) in aggs.items()]

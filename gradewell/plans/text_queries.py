@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.config import TEMPLATE_GRADE
@@ -13,6 +10,7 @@ from gradewell.operators import containment, fragments
 from gradewell.operators.rowindex import global_row_index, range_bucket
 from gradewell.plans import common as c
 from gradewell.plans.registry import query
+from gradewell.session import scratch_path
 from gradewell.sources import tables
 
 T = c.TARGETS
@@ -127,15 +125,23 @@ def containment_joined(spark, sf):
     turns = tables.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     ends = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     numbered = global_row_index(range_bucket(ends, "doc_id", "b"), ["doc_id", "text"], bucket=F.col("b"), name="i")
-    following = numbered.select((F.col("i") - 1).alias("i"), F.substring("text", 1, 30).alias("next"))
-    tail = F.expr("right(text, 30)")
+    path = scratch_path(spark, "text-ends")           # 60 characters of each text, read twice
+    numbered.select("i", F.expr("right(text, 30)").alias("tail"), F.substring("text", 1, 30).alias("head")).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    following = numbered.select((F.col("i") - 1).alias("i"), F.col("head").alias("next"))
     tails = numbered.join(following, "i", "left").select(
-        "doc_id", F.concat(tail, F.lit(" "), F.coalesce("next", F.lit(""))).alias("text"))
-    parts = {"items_in_documents": containment.joined_share(items, docs, "item_id", ["doc_id", "text"]),
-             "tails_in_documents": containment.joined_share(tails, docs, "doc_id", ["doc_id", "text"]),
-             "items_in_turns": containment.joined_share(items, turns, "item_id", ["conv_id", "turn", "text"])}
-    out = reduce(DataFrame.unionByName, [p.withColumn("direction", F.lit(d)) for d, p in parts.items()])
-    return out.select("direction", "n_total", "n_found", c.r6("ratio").alias("ratio"))
+        F.lit("tails_in_documents").alias("direction"),
+        F.concat("tail", F.lit(" "), F.coalesce("next", F.lit(""))).alias("text"))
+    # items and tails are looked up in one pass over the documents' string
+    either = items.select(F.lit("items_in_documents").alias("direction"), "text").unionByName(tails)
+    shares = containment.joined_share(either, docs, "direction", ["doc_id", "text"], by=["direction"]).unionByName(
+        containment.joined_share(items, turns, "item_id", ["conv_id", "turn", "text"])
+        .withColumn("direction", F.lit("items_in_turns")), allowMissingColumns=True)
+    names = spark.createDataFrame([(d,) for d in ("items_in_documents", "tails_in_documents", "items_in_turns")], "direction string")
+    none = F.lit(0).cast("long")                      # a side without patterns has a row too
+    return names.join(F.broadcast(shares), "direction", "left").select(
+        "direction", F.coalesce("n_total", none).alias("n_total"), F.coalesce("n_found", none).alias("n_found"),
+        c.r6("ratio").alias("ratio"))
 
 
 @query("url_parts", "A8 G5 G6", sql="""
