@@ -15,14 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.session import scratch_path
 from gradewell.sources import committed
 
-STATE = "ts array<long>, event_id array<long>, val array<double>, n array<double>"
 SUMMARY = ("run long, hour timestamp, n_updates long, val_n double, n double, val double, n_val long, "
            "offsets array<long>, values array<double>")
 
@@ -35,30 +35,44 @@ def improvements(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at]
 
 
-def _summarise(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Add arrived rows to the hour's, keep them in order, and give the summary."""
-    columns = ["ts", "event_id", "val", "n"]
-    kinds = [np.int64, np.int64, np.float64, np.float64]
-    held = [np.array(c, k) for c, k in zip(state.get, kinds)] if state.exists else [np.zeros(0, k) for k in kinds]
-    for pdf in batches:
-        held = [np.concatenate([c, pdf[name].to_numpy(k)]) for c, name, k in zip(held, columns, kinds)]
-    order = np.lexsort((held[1], held[0]))
-    ts, event_id, val, n = (c[order] for c in held)
-    state.update((ts.tolist(), event_id.tolist(), val.tolist(), n.tolist()))
-    offsets, values = improvements(val)
-    both = ~np.isnan(val) & ~np.isnan(n)
-    yield pd.DataFrame([(*key, len(val), float((val[both] * n[both]).sum()), float(np.nansum(n)), float(np.nansum(val)),
-                         int((~np.isnan(val)).sum()), offsets.tolist(), values.tolist())],
-                       columns=[c.split()[0] for c in SUMMARY.split(", ")])
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summary of each hour from its rows, put in order; many hours at a time."""
+    kinds = {"ts": np.int64, "event_id": np.int64, "val": np.float64, "n": np.float64}
+    for batch in batches:
+        lists = batch.column("rows")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        held = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(k) for c, k in kinds.items()}
+        hour = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((held["n"], held["val"], held["event_id"], held["ts"], hour))
+        val, n = held["val"][order], held["n"][order]
+        known, both = ~np.isnan(val), ~np.isnan(val) & ~np.isnan(n)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        better = known & np.repeat(sizes == 1, sizes)
+        for i in np.flatnonzero(sizes > 1):
+            better[starts[i] + improvements(val[starts[i]:ends[i]])[0]] = True
+        at = np.concatenate([[0], np.cumsum(np.bincount(hour[better], minlength=len(sizes)))]).astype(np.int32)
+        total = lambda x: np.bincount(hour, x, len(sizes))
+        lists_of = lambda x: pa.ListArray.from_arrays(pa.array(at), pa.array(x))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("run"), batch.column("hour"), pa.array(sizes), pa.array(total(np.where(both, val * n, 0.0))),
+             pa.array(total(np.nan_to_num(n))), pa.array(total(np.nan_to_num(val))),
+             pa.array(total(known).astype(np.int64)), lists_of((np.arange(len(val)) - starts[hour])[better]),
+             lists_of(val[better])], [c.split()[0] for c in SUMMARY.split(", ")])
 
 
 def hourly(stream: DataFrame) -> DataFrame:
     """Summaries of a metric stream ``(run, ts, event_id, val, n)`` by (run, hour), given
-    again whenever the hour gets rows. Rows without a time have an hour of their own."""
+    again whenever the hour gets rows. Rows without a time have an hour of their own.
+
+    Most hours have a row or a few, so the rows are kept by Spark's own aggregate, and the
+    hours that a trigger changed are summarised a batch at a time, not one by one."""
     rows = stream.select(F.col("run").cast("long").alias("run"), F.date_trunc("hour", "ts").alias("hour"),
                          F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("ts"), F.coalesce("event_id", F.lit(0)).alias("event_id"),
                          F.col("val").cast("double").alias("val"), F.col("n").cast("double").alias("n"))
-    return rows.groupBy("run", "hour").applyInPandasWithState(_summarise, SUMMARY, STATE, "update", "NoTimeout")
+    held = rows.groupBy("run", "hour").agg(F.collect_list(F.struct("ts", "event_id", "val", "n")).alias("rows"))
+    return held.mapInArrow(_summaries, SUMMARY)
 
 
 def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:

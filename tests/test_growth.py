@@ -45,3 +45,32 @@ def test_containment_of_patterns_of_every_length(spark):
     for r in got.collect():
         mine = pats[r["side"] == "odd"::2]
         assert (r["n_total"], r["n_found"]) == (len(mine), sum(bool(x) and x in joined for x in mine))
+
+
+# ------------------------------------------------------------------ streams
+
+def test_hours_of_a_stream_are_summarised_many_at_a_time(spark, tmp_path):
+    """No Python call for each (run, hour): most hours have one row. Values equal those of each hour alone."""
+    from gradewell.streaming import stateful
+
+    rng = random.Random(3)
+    rows = [(run, i, 3_600_000_000 * (i // 2) + rng.randrange(3_600) * 1_000_000 if i % 7 else None,
+             rng.choice([None, float("nan"), float(rng.randrange(9))]), rng.choice([None, 1, 4])) for run in (1, 2, None) for i in range(40)]
+    log = spark.createDataFrame(rows, "run long, event_id long, us long, val double, n int").select(
+        "run", F.timestamp_micros("us").alias("ts"), "event_id", "val", "n")
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    assert "InPandasWithState" not in stateful.hourly(stream)._jdf.queryExecution().logical().toString()
+    got = {(r["run"], r["hour"]): r for r in stateful.drain(spark, stream).collect()}
+    hours = {}
+    for r in log.select("*", F.date_trunc("hour", "ts").alias("hour")).collect():
+        hours.setdefault((r["run"], r["hour"]), []).append(r)
+    assert got.keys() == hours.keys()
+    for key, held in hours.items():
+        held.sort(key=lambda r: (r["ts"] or 0, r["event_id"]) if r["ts"] else (0, r["event_id"]))
+        val = [r["val"] if r["val"] == r["val"] else None for r in held]
+        best = [i for i, v in enumerate(val) if v is not None and all(x is None or x > v for x in val[:i])]
+        assert (got[key]["n_updates"], got[key]["n_val"]) == (len(held), sum(v is not None for v in val))
+        assert (got[key]["offsets"], got[key]["values"]) == (best, [val[i] for i in best])
+        assert got[key]["val_n"] == sum(v * r["n"] for v, r in zip(val, held) if v is not None and r["n"] is not None)
+        assert got[key]["n"] == sum(r["n"] or 0 for r in held) and got[key]["val"] == sum(v or 0 for v in val)
