@@ -13,13 +13,12 @@ index at most once in a row. ``hashed_words`` makes them from texts.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,48 +30,61 @@ def hashed_words(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     """``(id, indices, values)``: the square roots of word shares, by hash of the
     lower-cased word. An empty or null text has no entries."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, int] = {}                       # of words met; emptied when it grows long
         for batch in batches:
-            indices, values = [], []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").lower().split()
-                counts: Counter = Counter()
-                for word, n in Counter(words).items():
-                    counts[zlib.crc32(word.encode("utf-8", "surrogatepass")) % width] += n
-                at = sorted(counts)
-                indices.append(at)
-                values.append([(counts[i] / len(words)) ** 0.5 for i in at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
-                ["id", "indices", "values"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                docs = [(text or "").lower().split() for text in part.column("text").to_pylist()]
+                if len(slots) > 500_000:
+                    slots.clear()
+                for word in set().union(*docs).difference(slots):
+                    slots[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % width
+                sizes = np.array([len(words) for words in docs], np.int64)
+                slot = np.array([slots[w] for words in docs for w in words], np.int64)
+                entry, n = np.unique(np.repeat(np.arange(len(docs)), sizes) * width + slot, return_counts=True)
+                row = entry // width
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(docs)))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+                         for x in ((entry % width).astype(np.int32), (n / sizes[row]) ** 0.5)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *lists], ["id", "indices", "values"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, "id long, indices array<int>, values array<double>")
 
 
 class _Rows:
-    """Sparse rows of one batch, with products by dense matrices."""
+    """Sparse rows of one Arrow batch, with products by dense matrices. The lists' entries
+    are taken as they lie, and each cell's column is gathered and added up in one piece."""
 
-    def __init__(self, pdf: pd.DataFrame, width: int):
-        sizes = pdf["indices"].map(len).to_numpy()
-        self.n, self.width = len(pdf), width
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        self.n, self.width = batch.num_rows, width
+        lists = batch.column("indices")
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
         self.row = np.repeat(np.arange(self.n), sizes)
-        self.index = np.concatenate([*pdf["indices"], np.zeros(0)]).astype(np.int64)
-        self.value = np.concatenate([*pdf["values"], np.zeros(0)]).astype(np.float64)
+        self.index = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.value = batch.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
     def times(self, p: np.ndarray) -> np.ndarray:
         """``X p``"""
-        return np.stack([np.bincount(self.row, self.value * p[self.index, c], self.n) for c in range(p.shape[1])], 1)
+        columns = np.ascontiguousarray(p.T)
+        return np.stack([np.bincount(self.row, self.value * column[self.index], self.n) for column in columns], 1)
 
     def transposed_times(self, r: np.ndarray, power: int = 1) -> np.ndarray:
         """``X' r``, or with the entries' squares"""
-        v = self.value ** power
-        return np.stack([np.bincount(self.index, v * r[self.row, c], self.width) for c in range(r.shape[1])], 1)
+        v = self.value ** power if power != 1 else self.value
+        columns = np.ascontiguousarray(r.T)
+        return np.stack([np.bincount(self.index, v * column[self.row], self.width) for column in columns], 1)
 
 
-def _cells(pdf: pd.DataFrame, targets: Sequence[str], k: int, fold_col: str) -> tuple[np.ndarray, np.ndarray]:
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of numbers as doubles; null is NaN."""
+    return batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _cells(batch: pa.RecordBatch, targets: Sequence[str], k: int, fold_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Grades by cell (0 where absent), and which rows a cell is fitted on."""
-    y = np.tile(pdf[list(targets)].to_numpy(np.float64), k)
-    other = np.repeat(np.arange(k), len(targets))[None, :] != pdf[fold_col].to_numpy()[:, None]
+    y = np.tile(np.stack([_column(batch, t) for t in targets], 1), k)
+    other = np.repeat(np.arange(k), len(targets))[None, :] != _column(batch, fold_col)[:, None]
     return np.nan_to_num(y), (other & ~np.isnan(y)).astype(np.float64)
 
 
@@ -113,14 +125,16 @@ def ridge_cells(df: DataFrame, targets: Sequence[str], k: int, width: int, lam:
     def summed(share) -> dict:
         def fn(batches):
             total: dict = {}
-            for pdf in batches:
-                if len(pdf):
-                    y, mask = _cells(pdf, targets, k, fold_col)
-                    for name, part in share(_Rows(pdf, width), y, mask).items():
+            for batch in batches:
+                if batch.num_rows:
+                    y, mask = _cells(batch, targets, k, fold_col)
+                    for name, part in share(_Rows(batch, width), y, mask).items():
                         total[name] = total[name] + part if name in total else part
-            yield pd.DataFrame(blocks(total) if total else [], columns=["_name", "_blk", "_v", "_part"])
+            if total:
+                yield pa.RecordBatch.from_pylist(blocks(total), pa.schema(
+                    [("_name", pa.string()), ("_blk", pa.int32()), ("_v", pa.list_(pa.float64())), ("_part", pa.int32())]))
 
-        return collect_blocks(block_sum(rows.mapInPandas(fn, BLOCK_SCHEMA), []), []).get((), {})
+        return collect_blocks(block_sum(rows.mapInArrow(fn, BLOCK_SCHEMA), []), []).get((), {})
 
     got = summed(lambda x, y, m: {"n": m.sum(0), "sy": (m * y).sum(0), "sx": x.transposed_times(m),
                                   "sxy": x.transposed_times(m * y), "sxx": x.transposed_times(m, 2)})
@@ -156,23 +170,27 @@ def ridge_cells(df: DataFrame, targets: Sequence[str], k: int, width: int, lam:
                      ["passes" if x else "tolerance" for x in live])
 
 
-def predict_rows(df: DataFrame, model: WideRidge, fold_col: str | None = "fold") -> DataFrame:
-    """Long predictions, ``target`` and ``pred`` beside the rows' columns: by the model of
-    the row's own fold (J7), or without ``fold_col`` by the mean of the k models (J8).
-    A task holds the model's ``width x cells`` numbers."""
+def predict_rows(df: DataFrame, model: WideRidge, fold_col: str | None = "fold",
+                 keep: Sequence[str] | None = None) -> DataFrame:
+    """Long predictions, ``target`` and ``pred`` beside the rows' columns (or those to
+    ``keep``): by the model of the row's own fold (J7), or without ``fold_col`` by the mean
+    of the k models (J8). A task holds the model's ``width x cells`` numbers."""
     t_n = len(model.targets)
     w, b = model.weights, model.intercepts
     if fold_col is None:
         w, b = (np.stack([x[..., j::t_n].mean(-1) for j in range(t_n)], axis=-1) for x in (w, b))
+    kept = df.columns if keep is None else list(keep)
 
     def score(batches):
-        for pdf in batches:
-            if len(pdf):
-                z = _Rows(pdf, len(w)).times(w) + b
+        for batch in batches:
+            if batch.num_rows:
+                z = _Rows(batch, len(w)).times(w) + b
                 for j, t in enumerate(model.targets):
-                    at = j if fold_col is None else pdf[fold_col].to_numpy().astype(int) * t_n + j
-                    yield pdf.assign(target=t, pred=z[np.arange(len(pdf)), at])
+                    at = j if fold_col is None else _column(batch, fold_col).astype(int) * t_n + j
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c) for c in kept), pa.array([t] * batch.num_rows, pa.string()),
+                         pa.array(z[np.arange(batch.num_rows), at])], [*kept, "target", "pred"])
 
     rows = df.where(F.col(fold_col).isNotNull()) if fold_col else df
-    return rows.mapInPandas(score, T.StructType([*df.schema.fields, T.StructField("target", T.StringType()),
-                                                 T.StructField("pred", T.DoubleType())]))
+    return rows.mapInArrow(score, T.StructType([*df.select(*kept).schema.fields, T.StructField("target", T.StringType()),
+                                                T.StructField("pred", T.DoubleType())]))

@@ -311,7 +311,7 @@ def ridge_wide_kfold(spark, sf):
     over passes: no Gram matrix anywhere. Held-out RMSE of each cell."""
     rows, _, _ = _wide_rows(spark, sf)
     model = wide.ridge_cells(rows, T, N_FOLDS, WIDE, RIDGE_LAMBDA)
-    long = wide.predict_rows(rows, model)
+    long = wide.predict_rows(rows, model, keep=["fold", *T])
     y = F.when(F.col("target") == T[0], F.col(T[0])).otherwise(F.col(T[1]))
     endings = model.table(spark).select("fold", "target", "stopped_by")
     return _fold_rmse(long.withColumn("y", y)).join(F.broadcast(endings), ["fold", "target"]).select(
@@ -324,8 +324,8 @@ def ridge_wide_predictions(spark, sf):
     rows, folds, encoded = _wide_rows(spark, sf)
     model = wide.ridge_cells(rows, T, N_FOLDS, WIDE, RIDGE_LAMBDA)
     columns = ["text_id", "target", R6("pred").alias("pred")]
-    test = wide.predict_rows(encoded.join(folds.select("text_id"), "text_id", "left_anti"), model, fold_col=None)
-    return (wide.predict_rows(rows, model).select(F.lit("oof").alias("part"), "fold", *columns)
+    test = wide.predict_rows(encoded.join(folds.select("text_id"), "text_id", "left_anti"), model, fold_col=None, keep=["text_id"])
+    return (wide.predict_rows(rows, model, keep=["text_id", "fold"]).select(F.lit("oof").alias("part"), "fold", *columns)
             .unionByName(test.select(F.lit("test").alias("part"), F.lit(None).cast("int").alias("fold"), *columns)))
 
 
