@@ -131,6 +131,7 @@ def ordered_row_index(df: DataFrame, lead: str, rest: Sequence, bucket: Column,
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_lead.select(F.col(lead).alias("_or_lead"),
                               F.coalesce(F.sum("_or_n").over(before), F.lit(0)).alias("_or_off"))
-    joined = inner.join(offsets, inner[lead].eqNullSafe(offsets["_or_lead"]), "inner")
+    # a row for each lead value, which one task has sorted: the rows stay where they are
+    joined = inner.join(F.broadcast(offsets), inner[lead].eqNullSafe(offsets["_or_lead"]), "inner")
     return joined.withColumn(name, (F.col("_or_off") + F.col("_or_in")).cast("long")) \
         .drop("_or_in", "_or_lead", "_or_off")

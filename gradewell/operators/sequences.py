@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.operators.parallel import spread
 from gradewell.operators.rowindex import global_row_index, ordered_row_index, range_bucket
+from gradewell.session import scratch_path
 
 # FIXED VALUES: special token ids and the token pattern (words or one symbol)
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
@@ -62,7 +65,7 @@ def encode_ids(docs: DataFrame, vocab: DataFrame, max_len: int, id_col: str = "d
     vocabulary, so no token is a row. The vocabulary is persisted and counted first (the
     counting pass is the pass that builds it), and sent out only if it has at most ``most``
     entries. A larger one is joined with the distinct tokens of each chunk of documents,
-    and the chunks are encoded beside their own part of it.
+    and the chunks are encoded beside their own part of it; no other token is a row.
     """
     v = vocab.select("token", "token_id").persist(StorageLevel.MEMORY_AND_DISK)
     found = tokens(F.coalesce(F.col(text_col), F.lit("")))
@@ -84,15 +87,38 @@ def encode_ids(docs: DataFrame, vocab: DataFrame, max_len: int, id_col: str = "d
                     [id_col, "n_tokens", "ids"])
 
         return rows.mapInArrow(look_up, schema)
-    chunks = docs.count() // docs_per_chunk + 1
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(id_col, "_toks"), F.lit(chunks)))
-    own = rows.select(F.col("_chunk").alias("_part"), F.explode("_toks").alias("token")).distinct().join(v, "token")
+    # a task cuts its documents into chunks as they come and lists each chunk's words once;
+    # the documents are stored with their chunk, so that both sides have the same ones
+    spark = docs.sparkSession
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 33
+        for i, part in enumerate(b.slice(at, docs_per_chunk) for b in batches for at in range(0, b.num_rows, docs_per_chunk)):
+            toks = part.column("_toks")
+            words = pc.unique(toks.flatten())
+            sizes = pc.list_value_length(toks).to_numpy(zero_copy_only=False)
+            places = pc.index_in(toks.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int32)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            listed = pa.ListArray.from_arrays(pa.array(np.array([0] + [len(words)] * part.num_rows, np.int32)), words)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(id_col), part.column("n_tokens"), pa.ListArray.from_arrays(ends, pa.array(places)),
+                 pa.array(np.full(part.num_rows, first + i)), listed], [id_col, "n_tokens", "_at", "_chunk", "_words"])
+
+    path = scratch_path(spark, "token-chunks")
+    rows.mapInArrow(chunked, f"{id_col} {kind}, n_tokens int, _at array<int>, _chunk long, _words array<string>").write.parquet(path)
+    kept = spark.read.parquet(path)
+    # a chunk's words stand in its first row, each with its place
+    own = (kept.where(F.size("_words") > 0).select("_chunk", F.posexplode("_words").alias("_place", "token"))
+           .join(v, "token", "left").select(F.col("_chunk").alias("_part"), "_place", F.coalesce("token_id", F.lit(UNK)).cast("int").alias("id")))
 
     def beside(docs_: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(words["token"], words["token_id"]))
-        return docs_[[id_col, "n_tokens"]].assign(ids=[[known.get(t, UNK) for t in toks] for toks in docs_["_toks"]])
+        known = np.full(len(words), UNK, np.int32)
+        known[words["_place"].to_numpy(np.int64)] = words["id"].to_numpy()
+        return docs_[[id_col, "n_tokens"]].assign(ids=[known[at] for at in docs_["_at"]])
 
-    return rows.groupBy("_chunk").cogroup(own.groupBy("_part")).applyInPandas(beside, schema)
+    return kept.drop("_words").groupBy("_chunk").cogroup(own.groupBy("_part")).applyInPandas(beside, schema)
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,6 +168,18 @@ def id_batches(lens: DataFrame, batch_size: int, id_col: str = "doc_id",
         .drop("_r", "_range")
 
 
+def padded_batches(encoded: DataFrame, batch_size: int, max_len: int, id_col: str = "doc_id") -> DataFrame:
+    """``pad_to_longest`` of ``length_batches`` over ``encode_ids`` rows, whose ids stay where
+    they are while the rows are sorted: these are stored once with a number, the batches
+    are made of numbers and lengths alone, and the ids take one shuffle to their widths."""
+    path = scratch_path(encoded.sparkSession, "encoded")
+    encoded.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    kept = encoded.sparkSession.read.parquet(path)
+    lens = kept.select("_row", id_col, (F.col("n_tokens") + F.lit(2)).alias("token_length"))
+    batched = length_batches(lens, batch_size, id_col=id_col).select("_row", "batch_id", "token_length")
+    return _padded(kept.join(pad_to_longest(batched, max_len, "_row"), "_row"), id_col)
+
+
 def pad_to_longest(batched: DataFrame, max_len: int, id_col: str = "doc_id") -> DataFrame:
     """Per batch: every sequence padded to the longest truncated length (H6 H7 K4).
 
@@ -154,8 +192,12 @@ def pad_to_longest(batched: DataFrame, max_len: int, id_col: str = "doc_id") ->
     columns = [id_col, "batch_id", "length", "padded_length"]
     if "ids" not in batched.columns:
         return out.select(*columns)
+    return _padded(out, id_col)
+
+
+def _padded(rows: DataFrame, id_col: str) -> DataFrame:
     pad = F.col("padded_length") - F.col("length")
-    return out.select(
-        *columns,
+    return rows.select(
+        id_col, "batch_id", "length", "padded_length",
         F.concat(F.array(F.lit(CLS)), "ids", F.array(F.lit(SEP)), F.array_repeat(F.lit(PAD), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.col("length")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))

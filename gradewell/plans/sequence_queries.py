@@ -94,8 +94,7 @@ def pad_to_longest(spark, sf):
     """Arrays of every batch's own width; shown as text, ids parted by spaces."""
     docs = _docs(spark, sf)
     encoded = sq.encode_ids(docs, sq.build_vocab(sq.token_rows(docs)), MAX_LEN)
-    batched = sq.length_batches(encoded.withColumn("token_length", F.col("n_tokens") + 2), BATCH)
-    out = sq.pad_to_longest(batched, MAX_LEN)
+    out = sq.padded_batches(encoded, BATCH, MAX_LEN)
     return out.withColumns({x: F.array_join(F.col(x).cast("array<string>"), " ") for x in ("input_ids", "attention_mask")})
 
 

@@ -74,3 +74,53 @@ def test_hours_of_a_stream_are_summarised_many_at_a_time(spark, tmp_path):
         assert (got[key]["offsets"], got[key]["values"]) == (best, [val[i] for i in best])
         assert got[key]["val_n"] == sum(v * r["n"] for v, r in zip(val, held) if v is not None and r["n"] is not None)
         assert got[key]["n"] == sum(r["n"] or 0 for r in held) and got[key]["val"] == sum(v or 0 for v in val)
+
+
+# ------------------------------------------------------------------ sequences
+
+def test_padded_batches_sort_lengths_without_the_ids(spark):
+    """The same batches and arrays as over whole rows, also among repeated and null ids, and
+    no window or sort over the ids."""
+    from gradewell.operators import sequences as sq
+
+    rows = [(i if i % 5 else None, n, list(range(4, 4 + min(n, 8)))) for i, n in enumerate([3, 0, 12, 7, 7, 9, 1, 30, 2, 8, 8, 5, 4])]
+    encoded = spark.createDataFrame(rows, "doc_id long, n_tokens int, ids array<int>")
+    got = sq.padded_batches(encoded, 4, 10)
+    whole = sq.pad_to_longest(sq.length_batches(encoded.withColumn("token_length", F.col("n_tokens") + 2), 4), 10)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.count() == len(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("ids#" in line for line in plan if "Window" in line)
+
+
+def test_large_vocabularies_are_joined_by_chunk_words_only(spark):
+    from gradewell.operators import sequences as sq
+
+    docs = spark.createDataFrame([(i, "a b a c " * 40 + f"w{i}") for i in range(64)], "doc_id long, text string").coalesce(1)
+    vocab = sq.build_vocab(sq.token_rows(docs))
+    got = sq.encode_ids(docs, vocab, 200, most=0, docs_per_chunk=16)
+    assert sorted(map(str, got.collect())) == sorted(map(str, sq.encode_ids(docs, vocab, 200).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(_toks" not in plan and "posexplode(_words" in plan
+
+
+def test_hashed_words_and_wide_rows(spark):
+    import zlib
+
+    from gradewell.operators import wide
+
+    texts = [None, "", "The the cat", "a b c " * 300, "ünï É é"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    encoded = wide.hashed_words(docs, "k", "t", 64)
+    for r in encoded.collect():
+        words = (texts[r["id"]] or "").lower().split()
+        want = {}
+        for w in words:
+            at = zlib.crc32(w.encode()) % 64
+            want[at] = want.get(at, 0) + 1
+        assert r["indices"] == sorted(want)
+        assert all(abs(v * v - want[i] / len(words)) < 1e-12 for i, v in zip(r["indices"], r["values"]))
+    rows = encoded.withColumn("fold", (F.col("id") % 2).cast("int")).withColumn("y", F.col("id").cast("double"))
+    model = wide.ridge_cells(rows, ["y"], 2, 64, lam=1.0)
+    out = wide.predict_rows(rows, model, keep=["id"])
+    assert out.columns == ["id", "target", "pred"] and out.count() == 5
+    assert "indices" not in str(out._jdf.queryExecution().analyzed().output())
