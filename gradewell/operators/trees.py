@@ -57,14 +57,18 @@ class Tree:
         return at, at + 1
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        feature, cut = np.array(self.feature), np.array(self.cut)
-        left, right = np.array(self.left), np.array(self.right)
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while (inner := feature[node] >= 0).any():
-            above = bins[rows, np.maximum(feature[node], 0)] > cut[node]
-            node = np.where(inner, np.where(above, right[node], left[node]), node)
-        return node
+        """The leaf of each row: a mask of rows goes down each branch, so a node costs one
+        comparison of a column. A node stands after its parent."""
+        out = np.zeros(len(bins), np.int64)
+        held = {0: np.ones(len(bins), bool)}
+        for node, feature in enumerate(self.feature):
+            here = held.pop(node)
+            if feature < 0:
+                out[here] = node
+            else:
+                above = bins[:, feature] > self.cut[node]
+                held[self.right[node]], held[self.left[node]] = here & above, here & ~above
+        return out
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaves(bins)]
@@ -114,7 +118,7 @@ def _binned(vectors, edges: np.ndarray) -> np.ndarray:
 
 def _state_rows(pdf: pd.DataFrame, n_features: int):
     bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), n_features)
-    return bins, np.stack(pdf["pred"].to_numpy())
+    return bins, np.frombuffer(b"".join(pdf["pred"]), np.float64).reshape(len(pdf), -1)
 
 
 def _sampled(ids: np.ndarray, seed: int, share: float) -> np.ndarray:
@@ -284,13 +288,13 @@ def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
         f, t = divmod(c, len(targets))
         train = [r for r in parts if r[fold_col] != f]
         base[c] = sum(r[f"s_{targets[t]}"] or 0.0 for r in train) / max(sum(r[f"n_{targets[t]}"] for r in train), 1)
-    schema = (f"id long, fold int, {', '.join(f'{t} double' for t in targets)}, bins binary, pred array<double>")
+    schema = (f"id long, fold int, {', '.join(f'{t} double' for t in targets)}, bins binary, pred binary")
 
     def start(batches):
         for pdf in batches:
             if not pdf.empty:
                 packed = [row.tobytes() for row in _binned(pdf.pop("x").to_numpy(), edges)]
-                yield pdf.assign(bins=packed, pred=[base.tolist()] * len(pdf))
+                yield pdf.assign(bins=packed, pred=[base.tobytes()] * len(pdf))
 
     def stored(state):
         path = scratch_path(spark, "boosting")
@@ -302,7 +306,7 @@ def boost_cells(df: DataFrame, feature_col: str, targets: Sequence[str], k: int,
             for pdf in batches:
                 if not pdf.empty:
                     bins_, pred = _state_rows(pdf, n_features)
-                    yield pdf.assign(pred=list(_advance(pred, bins_, made, step_size)))
+                    yield pdf.assign(pred=[row.tobytes() for row in _advance(pred, bins_, made, step_size)])
 
         return fn
 

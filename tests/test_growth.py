@@ -124,3 +124,36 @@ def test_hashed_words_and_wide_rows(spark):
     out = wide.predict_rows(rows, model, keep=["id"])
     assert out.columns == ["id", "target", "pred"] and out.count() == 5
     assert "indices" not in str(out._jdf.queryExecution().analyzed().output())
+
+
+# ------------------------------------------------------------------ trees
+
+def test_leaves_are_found_by_one_comparison_a_node():
+    """Equal to walking down row by row, and without index arrays of all rows for each level."""
+    import tracemalloc
+
+    import numpy as np
+
+    from gradewell.operators import trees
+
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 16, (500, 6)).astype(np.uint8)
+    tree = trees.Tree()
+    leaves = [0]
+    for _ in range(9):
+        node = leaves.pop(int(rng.integers(len(leaves))))
+        leaves += tree.split(node, int(rng.integers(6)), int(rng.integers(15)), (float(rng.normal()), float(rng.normal())))
+
+    def walk(row):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = (tree.right if row[tree.feature[node]] > tree.cut[node] else tree.left)[node]
+        return node
+
+    assert tree.leaves(bins).tolist() == [walk(row) for row in bins]
+    assert trees.Tree().leaves(bins).tolist() == [0] * 500 and len(tree.leaves(bins[:0])) == 0
+    many = np.repeat(bins, 400, axis=0)
+    tracemalloc.start()
+    tree.leaves(many)
+    assert tracemalloc.get_traced_memory()[1] < 28 * len(many)
+    tracemalloc.stop()
