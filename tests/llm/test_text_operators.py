@@ -419,6 +419,57 @@ def test_lines_of_rows_that_share_an_id_or_have_none(spark):
         assert sorted(v[1:] for v in verdicts if v[0] == shared) == [(2, 0), (2, 0), (2, 1)]
 
 
+def test_line_keys_travel_packed(spark):
+    """A key of a line takes nine bytes at most in its block, and lines that share a run share a key."""
+    rng = random.Random(17)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([40, 70, 300, 900]))).strip() for _ in range(300)]
+    lines += [_edited(rng, x, 2) for x in lines[:60]]
+    docs = spark.createDataFrame([("\n".join(lines[i::4]),) for i in range(4)], "text string")
+    blocks = line_dedup.key_blocks(line_dedup.distinct_lines(docs, 25), 25, 8).collect()
+    n = sum(len(r["keys"]) // 5 for r in blocks)
+    assert n > 4000 and sum(len(r["keys"]) + len(r["steps"]) + len(r["info"]) for r in blocks) <= 9 * n
+    for x, y in zip(lines, lines[300:]):
+        runs = [{s[i:i + 25] for i in range(len(s) - 24)} for s in (x, y)]
+        keys = [set(line_dedup.run_keys([s])[0].tolist()) for s in (x, y)]
+        assert not runs[0] & runs[1] or keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("close", [1, 3, 128])
+def test_pairs_and_list_entries_cover_all_that_share_a_key(close):
+    rng = random.Random(close)
+    entries = [(rng.randrange(40), rng.choice([100, 101, 103, 130]), rng.random() < 0.3, i) for i in range(400)]
+    entries += [(7, 100, False, 5)] * 3
+    packed = np.array([k << 16 | n << 1 | p for k, n, p, _ in entries], np.uint64)
+    a, b, dense, ids = line_dedup._meet(packed, np.array([e[3] for e in entries], np.int64), close)
+    keys = set((dense >> np.uint64(16)).tolist())
+    assert (close == 128) == (not keys) and len(dense) == len({e for e in entries if e[0] in keys})
+    expected = {(min(x[3], y[3]), max(x[3], y[3])) for x in entries for y in entries
+                if x[0] == y[0] and x[0] not in keys and x[3] != y[3] and not (x[2] and y[2])
+                and abs(x[1] - y[1]) <= line_dedup.threshold(min(x[1], y[1]))}
+    assert set(zip(a.tolist(), b.tolist())) == expected and len(a) == len(expected)
+
+
+def test_lines_under_crowded_keys_are_linked(spark, monkeypatch):
+    """The same verdicts where buckets make no pairs themselves."""
+    rng = random.Random(23)
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (40, 80, 150, 400)]
+    rows = [(i, "\n".join(_edited(rng, x, rng.randrange(3)) for x in bases)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = sorted(map(tuple, line_dedup.line_verdicts(df).collect()), key=str)
+    found = line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda blocks: found(blocks, 1))
+    assert sorted(map(tuple, line_dedup.line_verdicts(df).collect()), key=str) == before
+    assert sum(r[2] for r in before) > 20
+
+
+def test_pairs_are_verified_many_at_a_time():
+    rng = random.Random(29)
+    xs = ["".join(rng.choice("abc \u4e00\U0001f600") for _ in range(rng.choice([25, 60, 120, 600, 1500]))) for _ in range(300)]
+    ys = [_edited(rng, x, rng.randrange(line_dedup.threshold(len(x)) + 3)) for x in xs]
+    expected = [line_dedup.within(x, y, line_dedup.threshold(min(len(x), len(y)))) for x, y in zip(xs, ys)]
+    assert line_dedup.all_within(xs, ys).tolist() == expected and 100 < sum(expected) < 300
+
+
 def test_line_dedup_edges(odd, empty):
     assert line_dedup.line_verdicts(empty).collect() == []
     assert line_dedup.dedup_lines(odd).count() == len(ODD) + 2
