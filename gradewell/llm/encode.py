@@ -59,15 +59,24 @@ class Encoder:
         self.plain = re.compile(PLAIN).fullmatch
         self.letters = str.maketrans(_byte_letters())
         self.known = Remembered(self._encode_word, limit)
+        # no word holds or follows from white space, so a text's words are those of its pieces between
+        self.apart = all(self.words(f"a{x}{y}") == ["a", y] for x in (" ", "\n", "  ", "\n ", " \n") for y in ("b", "7", "."))
+        self.pieces = Remembered(self._encode_piece, limit)
 
     def _encode_word(self, word: str) -> bytes:
         spelled = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def _encode_piece(self, piece: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.words(piece)))
+
     def _plain(self, text: str) -> bytes | None:
         if self.special in text or not self.plain(text):
             return None
-        return b"".join(map(self.known.__getitem__, self.words(text.lower() if self.lower else text)))
+        text = text.lower() if self.lower else text
+        if self.apart:
+            return b"".join(map(self.pieces.__getitem__, text.split()))
+        return b"".join(map(self.known.__getitem__, self.words(text)))
 
     def _any(self, chunk: str) -> bytes:
         ids = self._plain(chunk)

@@ -56,11 +56,9 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << level)).astype(bool)
             self.bits.append(np.packbits(one, bitorder="little"))
-            moved = np.empty_like(ids)
-            zero = ids[~one]
-            moved[:len(zero)], moved[len(zero):] = zero, ids[one]
+            zero = ids.compress(~one)                  # in half the time of a mask as an index
             self.zeros.append(len(zero))
-            ids = moved
+            ids = np.concatenate([zero, ids.compress(one)])
         self._index()
 
     def _index(self) -> None:
@@ -151,8 +149,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             one = np.unpackbits(self.bits[level], count=self.n, bitorder="little").astype(bool)
             back = np.empty(self.n, kind)
-            back[~one] = ids[:self.zeros[level]]
-            back[one] = ids[self.zeros[level]:] | kind(1 << (self.levels - 1 - level))
+            back[np.flatnonzero(~one)] = ids[:self.zeros[level]]
+            back[np.flatnonzero(one)] = ids[self.zeros[level]:] | kind(1 << (self.levels - 1 - level))
             ids = back
         return ids
 

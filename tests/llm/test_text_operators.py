@@ -470,6 +470,20 @@ def test_pairs_are_verified_many_at_a_time():
     assert line_dedup.all_within(xs, ys).tolist() == expected and 100 < sum(expected) < 300
 
 
+def test_pieces_between_white_space_give_the_library_s_ids():
+    """Words are looked up with their marks where the pattern leaves white space out, and nowhere else."""
+    from tokenizers import Tokenizer
+
+    texts = ["It's  a\ntest, don't (you) see? 12.5% \n\n of caf\u00e9's", " x", "a ", "'s 't", "", "<| a", "tab\there"]
+    for path, apart in ((WORD, True), (BYTE, False)):
+        encode, full = Encoder(path, limit=3), Tokenizer.from_file(path)
+        assert encode.apart == apart
+        for text in texts + texts:
+            ids = full.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encode(text), np.uint32).tolist() == ids
+        assert bool(encode.pieces) == apart and len(encode.pieces) <= 3
+
+
 def test_line_dedup_edges(odd, empty):
     assert line_dedup.line_verdicts(empty).collect() == []
     assert line_dedup.dedup_lines(odd).count() == len(ODD) + 2
