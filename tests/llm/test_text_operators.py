@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gradewell.llm import (bottomk, chat, decontam, line_dedup, links, packing, pairwise, pii, queries, rules,
                            textstats, tokens, wavelet)
-from gradewell.llm.common import table
+from gradewell.llm.common import staged, table
 from gradewell.llm.encode import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -462,6 +463,44 @@ def test_lines_under_crowded_keys_are_linked(spark, monkeypatch):
     assert sum(r[2] for r in before) > 20
 
 
+def test_only_pairs_with_fitting_characters_are_made(spark, monkeypatch):
+    """Lines that share a run and are not alike give no pairs, and of many alike under a key the pairs are not all made."""
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    run, base = text(40), "".join(rng.choice("ijklmnop") for _ in range(150))
+    lines = [f"x{run}{text(110)}{i % 10}" for i in range(60)] + [base[:i] + "yz" + base[i + 2:] for i in range(90, 149)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    distinct = line_dedup.distinct_lines(docs, 25).persist()
+    entries = line_dedup.candidates(line_dedup.key_blocks(distinct, 25, 8).repartitionById(8, F.col("bucket")))
+    dealt = entries.join(distinct.select("id", "trait.*"), "id").repartitionById(8, F.col("bucket")).persist()
+    text_of = dict(map(tuple, distinct.select("id", "line").collect()))
+    pairs = lambda df: {(r["a"], r["b"]) for r in df.collect() if r["key"] is None}
+    alike = lambda p: line_dedup.within(text_of[p[0]], text_of[p[1]], line_dedup.threshold(150))
+    whole = pairs(line_dedup.met(dealt))
+    expected = {(a, b) for a in text_of for b in text_of if a < b and alike((a, b))}
+    assert len(expected) > 1500 and expected <= whole and len(whole - expected) < 200
+    verdicts = sorted(map(tuple, line_dedup.line_verdicts(docs).collect()), key=str)
+    met = line_dedup.met
+    monkeypatch.setattr(line_dedup, "met", lambda entries: met(entries, 4))
+    found = line_dedup.met(dealt)
+    assert len(pairs(found)) < 500 and found.where("key IS NOT NULL AND trait IS NOT NULL").count() > 0
+    assert sorted(map(tuple, line_dedup.line_verdicts(docs).collect()), key=str) == verdicts
+    assert sum(r[2] for r in verdicts) == 58
+
+
+def test_shuffle_files_go_when_a_step_is_written(spark):
+    """A staged table's shuffle files are gone without a garbage collection, and the setting is as before."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, manager = spark.conf.get(setting, None), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    files = lambda: manager.diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    held = files()
+    out = staged(spark.range(5000).repartition(7, "id"), "cleaned")
+    deadline = time.time() + 20
+    while files() > held and time.time() < deadline:
+        time.sleep(0.1)
+    assert files() <= held and out.count() == 5000 and spark.conf.get(setting, None) == before
+
+
 def test_pairs_are_verified_many_at_a_time():
     rng = random.Random(29)
     xs = ["".join(rng.choice("abc \u4e00\U0001f600") for _ in range(rng.choice([25, 60, 120, 600, 1500]))) for _ in range(300)]
