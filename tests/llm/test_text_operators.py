@@ -488,6 +488,39 @@ def test_only_pairs_with_fitting_characters_are_made(spark, monkeypatch):
     assert sum(r[2] for r in verdicts) == 58
 
 
+def test_few_pairs_of_many_near_copies_are_verified(spark, monkeypatch):
+    """Lines that fall into one class through some of them are not all compared with one another."""
+    rng = random.Random(37)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    lines = sorted({base[:i] + rng.choice("ijklmnop") + base[i + 1:] for i in rng.choices(range(60, 200), k=900)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    made, verify_with = [], line_dedup.verify_with
+
+    def counting(lines_):
+        verify = verify_with(lines_)
+        return lambda pairs: made.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(line_dedup, "verify_with", counting)
+    assert sum(r["n_removed"] for r in line_dedup.line_verdicts(docs).collect()) == len(lines) - 1
+    assert len(lines) > 500 and sum(made) < len(lines) * (len(lines) - 1) / 6
+
+
+def test_runs_at_far_places_give_no_pairs(spark):
+    """A run that two lines share near the begin of one and the end of the other gives no pair."""
+    rng = random.Random(41)
+    run = "".join(rng.choice("abcdefgh") for _ in range(30))
+    half = sorted("".join(rng.choice("abcdefgh") for _ in range(270)))
+    shuffled = lambda: "".join(rng.sample(half, len(half)))
+    lines = [run + shuffled() for _ in range(10)] + [shuffled() + run for _ in range(10)]
+    docs = spark.createDataFrame([(x,) for x in lines], "text string")
+    distinct = line_dedup.distinct_lines(docs, 25).persist()
+    entries = line_dedup.candidates(line_dedup.key_blocks(distinct, 25, 8).repartitionById(8, F.col("bucket")))
+    dealt = entries.join(distinct.select("id", "trait.*"), "id").repartitionById(8, F.col("bucket"))
+    first = {r["id"]: r["line"].startswith(run) for r in distinct.select("id", "line").collect()}
+    pairs = {(r["a"], r["b"]) for r in line_dedup.met(dealt).collect() if r["key"] is None}
+    assert pairs and all(first[a] == first[b] for a, b in pairs)
+
+
 def test_shuffle_files_go_when_a_step_is_written(spark):
     """A staged table's shuffle files are gone without a garbage collection, and the setting is as before."""
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
