@@ -496,8 +496,8 @@ def test_few_pairs_of_many_near_copies_are_verified(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     made, verify_with = [], line_dedup.verify_with
 
-    def counting(lines_):
-        verify = verify_with(lines_)
+    def counting(*args):
+        verify = verify_with(*args)
         return lambda pairs: made.append(pairs.count()) or verify(pairs)
 
     monkeypatch.setattr(line_dedup, "verify_with", counting)
